@@ -461,8 +461,7 @@ select doc_id, case doc_id % 6 when 0 then concat('//srv/./', source, '/../f', d
 
 @query(f"select doc_id, path, {SQL_REPORT_PATH} as report_path from ({ODD_PATHS})")
 def q_report_path(spark, sf_dir):
-    source = f"parquet.`{sf_dir}/documents.parquet`"
-    return reports.with_report_path(spark.sql(ODD_PATHS.replace("from documents", f"from {source}")))
+    return reports.with_report_path(fx.derive(spark, sf_dir, ODD_PATHS))
 
 
 @query(f"select report_path, 0::bigint as part_no, markdown from ({SQL_REPORTS})", "reviews")

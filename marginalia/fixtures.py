@@ -6,6 +6,8 @@ rows. The views only derive; nothing is generated outside the given tables.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 VIEWS = {
@@ -93,9 +95,19 @@ def with_views(query: str, *views: str, documents: str | None = None, recursive:
     return f"with {'recursive ' if recursive else ''}" + ", ".join(parts) + "\n" + query
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.sql(with_views(f"select * from {name}", name, documents=f"parquet.`{sf_dir}/documents.parquet`"))
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table. One that comes in fewer pieces than there are cores is dealt out by its first column."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, df.columns[0])
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def derive(spark: SparkSession, sf_dir: str, query: str, *views: str) -> DataFrame:
+    """A query over ``documents`` of ``sf_dir`` and the views named."""
+    source = "documents_" + hashlib.md5(sf_dir.encode()).hexdigest()
+    table(spark, sf_dir, "documents").createOrReplaceTempView(source)
+    return spark.sql(with_views(query, *views, documents=source))
+
+
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return derive(spark, sf_dir, f"select * from {name}", name)

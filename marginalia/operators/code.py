@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as tx
+from ..storage import materialize
 
 BLOCK_LINES = 8192
 RANGE = ["project", "path", "start_line", "end_line"]
@@ -15,7 +16,7 @@ def _file_blocks(files: DataFrame, block_lines: int) -> DataFrame:
     lines = files.select("project", "path", tx.text_lines(F.col("content")).alias("_lines"))
     blocks = lines.select(
         "project", "path", "_lines", F.size("_lines").cast("bigint").alias("_n_lines"),
-        F.explode(F.expr(f"sequence(0L, greatest(size(_lines) - 1, 0) div {block_lines})")).alias("_block"),
+        F.explode_outer(F.expr(f"sequence(0L, greatest(size(_lines) - 1, 0) div {block_lines})")).alias("_block"),
     )
     first = (F.col("_block") * block_lines + 1).cast("int")
     return blocks.select(
@@ -50,8 +51,14 @@ def function_content(records: DataFrame, files: DataFrame, block_lines: int = BL
     )
     short = within.select(*columns, F.when(inside, cut).alias("content"))
 
-    # Ranges over several blocks: check the range on the first block, then fetch the rest.
-    spans = placed.filter(~one_block).select(*RANGE, "_block", "_last_block").distinct()
+    status = F.when(F.col("content").isNull(), "bad_range").otherwise("ok")
+    # Ranges over several blocks are rare, so look whether there are any. If so, check each range
+    # on its first block and fetch the rest, from their files only.
+    spans = materialize(placed.filter(~one_block).select(*RANGE, "_block", "_last_block").distinct(), "long-ranges")
+    if spans.isEmpty():
+        return short.withColumn("status", status)
+    theirs = files.join(spans.select("project", "path").distinct(), ["project", "path"], "left_semi")
+    blocks = _file_blocks(theirs, block_lines)
     sizes = blocks.select("project", "path", "_block", "_n_lines")
     valid = spans.join(sizes, ["project", "path", "_block"]).filter(inside)
     pieces = (
@@ -75,9 +82,7 @@ def function_content(records: DataFrame, files: DataFrame, block_lines: int = BL
         ).alias("content")
     )
     long = placed.filter(~one_block).select(*columns).join(whole, RANGE, "left").select(*columns, "content")
-    return short.unionByName(long).withColumn(
-        "status", F.when(F.col("content").isNull(), "bad_range").otherwise("ok")
-    )
+    return short.unionByName(long).withColumn("status", status)
 
 
 def code_functions(records: DataFrame, files: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:

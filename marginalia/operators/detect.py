@@ -7,7 +7,7 @@ run over several lines, and block comments over several lines, are read as code.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
 
@@ -55,15 +55,13 @@ BRACE_FAMILY |= {alias: BRACE_FAMILY[base] for alias, base in _SAME_AS.items() i
 _FOUND = "array<struct<name:string,start_line:bigint,end_line:bigint>>"
 
 
-def _by_extension(family: dict, field: int) -> Column:
-    chosen = F.lit(None).cast("string")
-    groups: dict[str | None, list[str]] = {}
-    for ext, spec in family.items():
-        groups.setdefault(spec[field], []).append(ext)
-    for value, extensions in groups.items():
-        if value is not None:
-            chosen = F.when(F.col("_ext").isin(*extensions), F.lit(value)).otherwise(chosen)
-    return chosen
+def _specs(spark: SparkSession) -> DataFrame:
+    """One row per extension; a fixed table, joined so that no line evaluates the choice again."""
+    rows = [(ext, fn, container or "(?!)()", comment, ext in INDENT_FAMILY)
+            for ext, (fn, container, comment) in (INDENT_FAMILY | BRACE_FAMILY).items()]
+    return spark.createDataFrame(
+        rows, "_ext string, _function_re string, _class_re string, _comment string, _indented boolean"
+    )
 
 
 def _match(line: Column, pattern: Column) -> Column:
@@ -123,9 +121,12 @@ def _entry(stack: Column, x: Column, level: Column) -> Column:
 _STACK = "array<struct<name:string,is_class:boolean,start:bigint,level:int,opened:boolean>>"
 
 
+def _is_header(x: Column) -> Column:
+    return (x["name"] != "") | (x["container"] != "")
+
+
 def _pushed(stack: Column, x: Column, level: Column) -> Column:
-    header = (x["name"] != "") | (x["container"] != "")
-    return F.when(header, F.array_append(stack, _entry(stack, x, level))).otherwise(stack)
+    return F.when(_is_header(x), F.array_append(stack, _entry(stack, x, level))).otherwise(stack)
 
 
 def _collected(found: Column, closed: Column, end) -> Column:
@@ -148,10 +149,12 @@ def _indent_spans(code: Column) -> Column:
         going = x["closer"] != ""
         over = lambda e: (e["level"] >= x["indent"]) & ~going
         kept = F.filter(acc["stack"], lambda e: ~over(e))
+        idle = ~_is_header(x) & ~F.exists(acc["stack"], over)
         return F.struct(
-            _pushed(kept, x, x["indent"]).alias("stack"),
+            F.when(idle, acc["stack"]).otherwise(_pushed(kept, x, x["indent"])).alias("stack"),
             x["no"].alias("last"),
-            _collected(acc["found"], F.filter(acc["stack"], over), acc["last"]).alias("found"),
+            F.when(idle, acc["found"])
+            .otherwise(_collected(acc["found"], F.filter(acc["stack"], over), acc["last"])).alias("found"),
         )
 
     return F.aggregate(code, start, step, lambda acc: _collected(acc["found"], acc["stack"], acc["last"]))
@@ -172,10 +175,14 @@ def _brace_spans(code: Column) -> Column:
         over = lambda e: e["opened"] & (depth <= e["level"])
         # A declaration without a body is forgotten at its semicolon or when its block closes.
         void = lambda e: ~e["opened"] & (x["ends"] | (depth < e["level"]))
+        idle = (
+            ~_is_header(x) & (x["opens"] == 0) & (x["closes"] == 0)
+            & ~(x["ends"] & F.exists(acc["stack"], lambda e: ~e["opened"]))
+        )
         return F.struct(
-            F.filter(opened, lambda e: ~over(e) & ~void(e)).alias("stack"),
+            F.when(idle, acc["stack"]).otherwise(F.filter(opened, lambda e: ~over(e) & ~void(e))).alias("stack"),
             depth.alias("depth"),
-            _collected(acc["found"], F.filter(opened, over), x["no"]).alias("found"),
+            F.when(idle, acc["found"]).otherwise(_collected(acc["found"], F.filter(opened, over), x["no"])).alias("found"),
         )
 
     return F.aggregate(code, start, step, lambda acc: acc["found"])
@@ -188,25 +195,21 @@ def detect_functions(files: DataFrame) -> DataFrame:
     row with status ``uncovered`` and no name.
     """
     known = files.select("project", "path", "content", tx.extension(F.col("path")).alias("_ext"))
-    both = INDENT_FAMILY | BRACE_FAMILY
-    ready = known.select(
-        "project", "path", "content", "_ext",
-        _by_extension(both, 0).alias("_function_re"),
-        F.coalesce(_by_extension(both, 1), F.lit("(?!)()")).alias("_class_re"),
-        _by_extension(both, 2).alias("_comment"),
+    ready = known.join(F.broadcast(_specs(files.sparkSession)), "_ext", "left")
+    code = ready.filter(F.col("_function_re").isNotNull()).select(
+        "project", "path", "_indented", _code_lines(tx.text_lines(F.col("content"))).alias("_code")
     )
-    covered = ready.filter(F.col("_function_re").isNotNull())
-    code = covered.select("project", "path", "_ext", _code_lines(tx.text_lines(F.col("content"))).alias("_code"))
     spans = code.select(
         "project", "path",
-        F.when(F.col("_ext").isin(*INDENT_FAMILY), _indent_spans(F.col("_code")))
-        .otherwise(_brace_spans(F.col("_code"))).alias("_spans"),
+        F.when(F.col("_indented"), _indent_spans(F.col("_code"))).otherwise(_brace_spans(F.col("_code"))).alias("_spans"),
     )
     # By start line; of two functions on one line the outer one first.
     ordered = F.array_sort(
         F.transform("_spans", lambda s: F.struct(s["start_line"], -s["end_line"], s["name"], s["end_line"].alias("end_line")))
     )
-    found = spans.select("project", "path", F.posexplode(ordered).alias("record_no", "_s")).select(
+    found = spans.select("project", "path", F.posexplode_outer(ordered).alias("record_no", "_s")).filter(
+        F.col("_s").isNotNull()
+    ).select(
         "project", "path", F.replace(F.col("_s.name"), F.lit("::"), F.lit(":")).alias("name"), F.col("_s.start_line").alias("start_line"),
         F.col("_s.end_line").alias("end_line"), F.col("record_no").cast("bigint").alias("record_no"),
         F.lit("found").alias("status"),

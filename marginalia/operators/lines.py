@@ -13,7 +13,9 @@ MAX_CHUNK_BYTES = 102_400
 def split_lines(df: DataFrame) -> DataFrame:
     """One row per line with its 1-based ``line_no``; other columns are kept."""
     keep = [c for c in df.columns if c != "content"]
-    return df.select(*keep, F.posexplode(tx.text_lines(F.col("content"))).alias("_pos", "line")).select(
+    # The outer form keeps Catalyst from computing the lines again in a filter it would infer.
+    filled = df.filter(F.col("content") != "")
+    return filled.select(*keep, F.posexplode_outer(tx.text_lines(F.col("content"))).alias("_pos", "line")).select(
         *keep, (F.col("_pos") + 1).cast("bigint").alias("line_no"), "line"
     )
 
@@ -50,14 +52,14 @@ def chunk_lines(df: DataFrame, max_bytes: int = MAX_CHUNK_BYTES) -> DataFrame:
     A file without lines gives no chunk.
     """
     keep = [c for c in df.columns if c != "content"]
-    numbered = df.withColumn(
+    numbered = df.filter(F.col("content") != "").withColumn(
         "_numbered",
         F.transform(tx.text_lines(F.col("content")), lambda line, i: tx.numbered_line(i + 1, line)),
     ).drop("content")
-    cut = numbered.filter(F.size("_numbered") > 0).withColumn(
+    cut = numbered.withColumn(
         "_starts", F.concat(F.array(F.lit(0)), _chunk_starts(F.col("_numbered"), max_bytes))
     )
-    chunks = cut.select(*keep, "_numbered", "_starts", F.posexplode("_starts").alias("_no", "_start"))
+    chunks = cut.select(*keep, "_numbered", "_starts", F.posexplode_outer("_starts").alias("_no", "_start"))
     last = F.coalesce(F.get("_starts", F.col("_no") + 1), F.size("_numbered"))
     return chunks.select(
         *keep,

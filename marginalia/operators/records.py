@@ -41,7 +41,7 @@ def explode_records(df: DataFrame, content: str = "cleaned") -> DataFrame:
     keep = [c for c in df.columns if c != content]
     lines = F.transform(tx.text_lines(F.col(content)), lambda x: F.rtrim(tx.trim_space(x), F.lit(",")))
     return (
-        df.select(*keep, F.posexplode(lines).alias("record_no", "record"))
+        df.select(*keep, F.posexplode_outer(lines).alias("record_no", "record"))
         .filter(F.col("record") != "")
         .withColumn("record_no", F.col("record_no").cast("bigint"))
     )

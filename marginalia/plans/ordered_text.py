@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..storage import materialize
 
 PART_BYTES = 32 << 20
+RANGE_BYTES = 64 << 20
 
 
 def _joined(order: list[str], sep: str):
@@ -48,7 +49,7 @@ def _small(rows: DataFrame, keys: list[str], order: list[str], sep: str) -> Data
 def _large(rows: DataFrame, total: int, keys: list[str], order: list[str], sep: str, part_bytes: int) -> DataFrame:
     # The text breaks ties, so equal order values cannot change the result.
     sort = [*order, "_text"]
-    ranges = max(8, min(20_000, total // part_bytes + 1))
+    ranges = max(8, min(20_000, total // RANGE_BYTES + 1))
     # Written once: the offsets below need every reader to see the same ranges.
     ranged = materialize(
         rows.repartitionByRange(ranges, *keys, *sort).withColumn("_range", F.spark_partition_id()), "ranges"

@@ -1,0 +1,104 @@
+"""The generated source tree, and everything that writes files."""
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from marginalia.operators import lines, records
+from marginalia.sinks import files as sinks
+from marginalia.sources import tree
+
+BIG = 1_000_001
+
+
+@pytest.fixture(scope="module")
+def root(tmp_path_factory):
+    root = tmp_path_factory.mktemp("tree")
+    contents = {
+        "pkg/__init__.py": b"x = 1\n", ".hidden.py": b"h", ".git/x.c": b"int x;", "_priv/p.rs": b"fn p() {}",
+        "a.py": b"one\r\ntwo\r\nthree", "a.rs": b"fn a() {}\n", "B.PY": b"no", "n.h": b"no", "notes.txt": b"no", ".py": b"no",
+        "bad.rs": b"\xff\xfe", "empty.go": b"", "sp ace.rs": b"fn s() {}", "long.js": b"x" * 120_000 + b"\nshort\n",
+        "big.ts": b"a\n" * BIG,
+    }
+    for name, data in contents.items():
+        path = root / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(data)
+    os.symlink(root / "pkg", root / "linked")
+    os.symlink(root / "missing", root / "dangling.py")
+    return root
+
+
+def scanned(spark, root, **kw):
+    return tree.source_tree_scan(spark, str(root), **kw).withColumn("path", F.substring("path", len(str(root)) + 2, 999))
+
+
+def test_scan_sees_hidden_files_and_follows_links(spark, root):
+    rows = {r["path"]: r for r in scanned(spark, root).select("path", "length", F.length("content").alias("n")).collect()}
+    assert len(rows) == 16 and {"pkg/__init__.py", ".hidden.py", ".git/x.c", "_priv/p.rs", "linked/__init__.py", "B.PY"} <= set(rows)
+    assert all(r["length"] == r["n"] for r in rows.values())
+
+
+def test_filter_decode_and_chunks(spark, root):
+    df = scanned(spark, root, extensions=("py", "rs", "go", "js", "ts", "c"))
+    sources = tree.decode_text(df).select(F.lit("p").alias("project"), "path", "content")
+    chunks = lines.mark_last_chunk(lines.chunk_lines(sources)).cache()
+    paths = {r["path"] for r in chunks.select("path").distinct().collect()}
+    assert paths == {
+        "pkg/__init__.py", "linked/__init__.py", ".hidden.py", ".git/x.c", "_priv/p.rs", "a.py", "a.rs", "sp ace.rs", "long.js", "big.ts"
+    }
+    assert [r["path"] for r in tree.decode_rejects(df).collect()] == ["bad.rs"]
+    long = chunks.filter("path = 'long.js'").orderBy("chunk_no").collect()
+    assert [(r["first_line"], r["last_line"]) for r in long] == [(1, 1), (2, 2)]
+    assert chunks.filter("path = 'a.py'").first()["content"] == "     1: one\n     2: two\n     3: three\n"
+    big = chunks.filter("path = 'big.ts'")
+    assert big.agg(F.sum(F.col("last_line") - F.col("first_line") + 1)).first()[0] == BIG
+    assert big.agg(F.max(F.octet_length("content"))).first()[0] <= lines.MAX_CHUNK_BYTES
+    assert big.orderBy(F.desc("chunk_no")).first()["content"].endswith(f"{BIG}: a\n")
+    assert [r["path"] for r in chunks.filter("is_last").collect()] == ["sp ace.rs"]
+
+
+def parts(spark, rows):
+    return spark.createDataFrame(rows, "report_path string, part_no bigint, markdown string")
+
+
+def test_reports_are_written_in_parts_and_again(spark, tmp_path):
+    rows = [("r/a.md", i, f"part {i} é\n" * (i % 3)) for i in range(50)] + [("r/b/c.md", 0, "one")]
+    for _ in range(2):  # writing again leaves the same files
+        sizes = {r["report_path"]: r["bytes"] for r in sinks.write_reports(parts(spark, rows), str(tmp_path)).collect()}
+    whole = "".join(r[2] for r in rows[:50])
+    assert (tmp_path / "r/a.md").read_text() == whole and (tmp_path / "r/b/c.md").read_text() == "one"
+    assert sizes == {"r/a.md": len(whole.encode()), "r/b/c.md": 3}
+    sinks.write_reports(parts(spark, [("r/a.md", 0, "short")]), str(tmp_path))
+    assert (tmp_path / "r/a.md").read_text() == "short"
+    base = spark.createDataFrame([("r/a.md", 5)], "report_path string, bytes bigint")
+    sinks.write_reports(parts(spark, [("r/a.md", 0, " more"), ("r/n.md", 0, "new")]), str(tmp_path), base)
+    assert (tmp_path / "r/a.md").read_text() == "short more" and (tmp_path / "r/n.md").read_text() == "new"
+
+
+def test_record_store_replaces_a_run_only(spark, shared):
+    store = shared("store")
+    rows = lambda *r: spark.createDataFrame([(x,) for x in r], "record string")
+    sinks.append_records(rows("a", "b"), store, "1")
+    sinks.append_records(rows("c"), store, "2")
+    sinks.append_records(rows("b"), store, "1")
+    assert sorted(r["record"] for r in tree.read_record_file(spark, store).collect()) == ["b", "c"]
+
+
+def test_record_file_skips_bad_lines(spark, tmp_path):
+    (tmp_path / "r.txt").write_bytes(b'{"a", "p", 1, 2}\n\xff\xfe\n{"b", "p", 3, 4}\n')
+    df = records.parse_records(tree.read_record_file(spark, str(tmp_path)).withColumn("project", F.lit("p")))
+    assert sorted(r["name"] for r in df.collect()) == ["a", "b"]
+
+
+def test_log_and_index(spark, shared):
+    log, dump = shared("log"), shared("dump")
+    message = lambda m: spark.createDataFrame([(m,)], "review_message string")
+    sinks.append_review_log(message("{a``1}"), log)
+    sinks.append_review_log(message("{b``2}"), log)
+    assert sorted(r["value"] for r in spark.read.text(log).collect()) == ["{a``1}", "{b``2}"]
+    for keys in (["p:a", "p:b"], ["p:c"]):
+        index = spark.createDataFrame([("x", k, "p") for k in keys], "project string, key string, path string")
+        sinks.dump_index(index, dump)
+    assert [r["value"] for r in spark.read.text(dump).collect()] == ["Key: p:c | Value: p"]
