@@ -70,8 +70,8 @@ folded as (
     case when f.size + strlen(n.numbered) > {max_bytes} then f.chunk_no + 1 else f.chunk_no end
   from folded f join n on n.path = f.path and n.line_no = f.line_no + 1),
 chunks as (
-  select f.project, f.path, f.chunk_no, min(f.line_no) as first_line, max(f.line_no) as last_line,
-    string_agg(n.numbered, '' order by f.line_no) as content
+  select f.project, f.path, f.chunk_no, count(*) over (partition by f.project, f.path) as n_chunks,
+    min(f.line_no) as first_line, max(f.line_no) as last_line, string_agg(n.numbered, '' order by f.line_no) as content
   from folded f join n on n.path = f.path and n.line_no = f.line_no
   group by f.project, f.path, f.chunk_no)
 """
@@ -129,7 +129,8 @@ select c.project, c.path, c.chunk_no, c.path = l.m.path and c.chunk_no = l.m.chu
 from chunks c join (select project, max(struct_pack(path := path, chunk_no := chunk_no)) as m from chunks group by project) l
   on c.project = l.project"""))
 def q_mark_last_chunk(spark, sf_dir):
-    return lines.mark_last_chunk(_chunks(spark, sf_dir)).select("project", "path", "chunk_no", "is_last")
+    marked = lines.mark_last_chunk(_chunks(spark, sf_dir), _files(spark, sf_dir))
+    return marked.select("project", "path", "chunk_no", "is_last")
 
 
 # ---------------------------------------------------------------- completions and records
@@ -496,7 +497,7 @@ union all select distinct project, 0, null, null, {quoted(tp.SEED_HEAD)} from co
 SQL_SEED_PARTS = sql_parts(SQL_SEED_ROWS, "project", "rank, doc_id, record_no")
 
 
-@query(chunk_sql(f"select project, path, chunk_no, first_line, last_line, {SQL_EXTRACT} as prompt, "
+@query(chunk_sql(f"select project, path, chunk_no, n_chunks, first_line, last_line, {SQL_EXTRACT} as prompt, "
                  f"{sql_settings(tp.EXTRACT_SYSTEM, tp.EXTRACT_TOKENS)} from chunks"))
 def q_extract_prompt(spark, sf_dir):
     return prompts.extract_prompt(_chunks(spark, sf_dir))
@@ -693,4 +694,4 @@ def q_stream_review_state(spark, sf_dir):
     sent.write.parquet(source)
     flow = flows.stream_review_state(spark.readStream.schema(sent.schema).parquet(source), index, out)
     flow.trigger(availableNow=True).option("checkpointLocation", f"{out}.offsets").start().awaitTermination()
-    return spark.read.parquet(out).drop("batch")
+    return spark.read.parquet(f"{out}/signals").drop("batch")

@@ -24,8 +24,7 @@ select project, path, doc_id, k.k as k,
   concat(case when doc_id % 3 = 0 then 'Cls:' else '' end, 'fn_', doc_id, '_', k.k) as name,
   cast(3 * k.k + 1 as bigint) as start_line,
   cast(case when doc_id % 13 = 0 and k.k = 1 then n_lines + 5 else least(3 * k.k + 3, n_lines) end as bigint) as end_line
-from code_files cross join (values (0), (1), (2)) as k(k)
-where 3 * k.k < n_lines
+from code_files join (values (0), (1), (2)) as k(k) on 3 * k.k < n_lines
 """,
     "completions": """
 select doc_id, project, path,

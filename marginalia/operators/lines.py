@@ -48,8 +48,8 @@ def _chunk_starts(numbered, max_bytes: int):
 def chunk_lines(df: DataFrame, max_bytes: int = MAX_CHUNK_BYTES) -> DataFrame:
     """Pack numbered lines greedily into chunks of at most ``max_bytes``; a longer line stands alone.
 
-    Adds ``chunk_no`` (from 0), ``first_line``, ``last_line`` and the chunk's ``content``.
-    A file without lines gives no chunk.
+    Adds ``chunk_no`` (from 0), ``n_chunks`` of the file, ``first_line``, ``last_line`` and the
+    chunk's ``content``. A file without lines gives no chunk.
     """
     keep = [c for c in df.columns if c != "content"]
     numbered = df.filter(F.col("content") != "").withColumn(
@@ -64,26 +64,26 @@ def chunk_lines(df: DataFrame, max_bytes: int = MAX_CHUNK_BYTES) -> DataFrame:
     return chunks.select(
         *keep,
         F.col("_no").cast("bigint").alias("chunk_no"),
+        F.size("_starts").cast("bigint").alias("n_chunks"),
         (F.col("_start") + 1).cast("bigint").alias("first_line"),
         last.cast("bigint").alias("last_line"),
         F.array_join(F.slice("_numbered", F.col("_start") + 1, last - F.col("_start")), "").alias("content"),
     )
 
 
-def mark_last_chunk(chunks: DataFrame) -> DataFrame:
+def mark_last_chunk(chunks: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """Mark the last chunk of each project's last file with ``is_last``.
 
-    The maximum is a map-side combined aggregate of narrow columns with one row per project. It is
-    written first, so the chunk texts are joined without a shuffle when it is small.
+    The last file is the greatest path that has any text: an aggregate with one row per project,
+    combined map-side. Given the ``files`` the chunks came from, it is found without chunking them
+    a second time. It is written first, so that Catalyst sees its size and joins the chunk texts
+    without a shuffle when it is small.
     """
-    last = materialize(
-        chunks.groupBy("project").agg(F.max(F.struct("path", "chunk_no")).alias("m")).select(
-            "project", F.col("m.path").alias("_last_path"), F.col("m.chunk_no").alias("_last_no")
-        ),
-        "last-chunk",
-    )
+    named = chunks if files is None else files.filter(F.col("content") != "")
+    last = materialize(named.groupBy("project").agg(F.max("path").alias("_last")), "last-file")
+    last_of_file = F.col("chunk_no") == F.col("n_chunks") - 1
     return (
         chunks.join(last, "project", "left")
-        .withColumn("is_last", (F.col("path") == F.col("_last_path")) & (F.col("chunk_no") == F.col("_last_no")))
-        .drop("_last_path", "_last_no")
+        .withColumn("is_last", last_of_file & (F.col("path") == F.col("_last")))
+        .drop("_last")
     )

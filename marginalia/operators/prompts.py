@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import templates as tp
 from ..plans.ordered_text import PART_BYTES, ordered_text
-from ..storage import materialize
 
 FUNCTION_KEY = ["project", "path", "name", "start_line", "end_line"]
 
@@ -41,10 +40,10 @@ def review_prompt(functions: DataFrame, remaining: DataFrame, part_bytes: int =
     """The review prompt of each function with its project's remaining keys in order, as parts.
 
     Every prompt repeats the list of its project, so give it the functions that are due now: the
-    review walk has one per project. The keys are the large side and stay where they are; the
-    functions are written first so that Catalyst sees their size.
+    review walk has one per project, in a table written before, so that Catalyst sees its size and
+    the keys, which are the large side, stay where they are.
     """
-    due = materialize(functions.select(*FUNCTION_KEY, "content").distinct(), "due")
+    due = functions.select(*FUNCTION_KEY, "content")
     text = lambda rank, key, body: due.select(
         *FUNCTION_KEY, F.lit(rank).alias("_rank"), F.lit(key).cast("string").alias("_key"), body.alias("text")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import text as tx
 from ..storage import materialize, run_dir
-from .code import code_functions, find_function, find_in, name_lookups
+from .code import code_functions, find_in, name_lookups
 from .model import ModelFn, review_functions
 from .records import function_index
 from .reviews import next_signal, parse_reviews, remaining_functions, suffix_index
@@ -78,7 +78,7 @@ def review_walk(reviews: DataFrame, max_steps: int | None = None, drop_seed: boo
         own = seeds.join(reviews.select("project", "record_no", "path", "name"), ["project", "record_no"])
         own.select("project", tx.index_key(F.col("path"), F.col("name")).alias("key")).write.parquet(f"{base}/taken/round=0")
 
-    rounds, bits = 0, 4
+    total, rounds, bits = moves.count(), 0, 4
     while True:
         rounds += 1
         while len(jumps) < bits:
@@ -121,17 +121,20 @@ def review_walk(reviews: DataFrame, max_steps: int | None = None, drop_seed: boo
             ), "walk-settled",
         )
         new.unionByName(settled.select("project", "key")).write.parquet(f"{base}/taken/round={rounds}")
-        onward = rows.filter(~stuck & F.col("last") & F.col("next_no").isNotNull()).select(
-            "project", (F.col("step") + 1).alias("step"), F.col("next_no").alias("record_no")
+        onward = rows.filter(~stuck & F.col("last")).select(
+            "project", (F.col("step") + 1).alias("step"), F.col("next_no").alias("record_no"), F.lit(1).alias("running")
         )
-        frontier = onward.unionByName(settled.select("project", "step", "record_no")).filter("record_no is not null")
+        due = onward.unionByName(settled.select("project", "step", "record_no", F.lit(0).alias("running")))
+        due = due.filter(F.col("record_no").isNotNull())
         if max_steps is not None:
-            frontier = frontier.filter(F.col("step") < max_steps)
-        state = onward.agg(F.count("*").alias("running")).crossJoin(frontier.agg(F.count("*").alias("active"))).first()
-        if not state["active"]:
+            due = due.filter(F.col("step") < max_steps)
+        active, running = due.agg(F.count("*"), F.sum("running")).first()
+        if not active:
             break
-        if state["running"]:
-            bits = min(bits + 2, MAX_JUMP_BITS)
+        if running:
+            # Further ahead, but not further than there are records for.
+            bits = max(bits, min(bits + 2, MAX_JUMP_BITS, (total // active).bit_length()))
+        frontier = due.drop("running")
     return spark.read.schema("project string, step bigint, record_no bigint").parquet(f"{base}/rows").select(
         "project", "step", "record_no"
     )
@@ -154,21 +157,21 @@ def model_walk(records: DataFrame, files: DataFrame, model_fn: ModelFn, seeds: D
         first = F.min(F.struct("record_no", "path", "name")).alias("s")
         seeds = records.groupBy("project").agg(first).select("project", "s.path", "s.name")
     asked = seeds.select("project", F.col("path").alias("next_path"), F.col("name").alias("next_key"))
-    taken_schema = "project string, key string"
-    own = seeds.select("project", tx.index_key(F.col("path"), F.col("name")).alias("key"))
-    (own if drop_seed else own.limit(0)).write.parquet(f"{base}/taken/step=-1")
+    lookups = [materialize(t, "walk-names") for t in name_lookups(records)]
+    taken = seeds.select("project", tx.index_key(F.col("path"), F.col("name")).alias("key"))
+    if not drop_seed:
+        taken = taken.filter(F.lit(False))
 
-    step, found_schema = 0, None
+    step, found_schema, gone = 0, None, taken
     while max_steps is None or step < max_steps:
-        found = find_function(asked, records).filter(F.col("found_name").isNotNull()).select(
+        found = find_in(asked, *lookups).filter(F.col("found_name").isNotNull()).select(
             "project", F.col("next_path").alias("path"), F.col("found_name").alias("name"),
             F.col("found_start_line").alias("start_line"), F.col("found_end_line").alias("end_line"),
         )
         due = materialize(code_functions(found, files), "walk-due")
         if due.isEmpty():
             break
-        taken = spark.read.schema(taken_schema).parquet(f"{base}/taken").select("project", "key")
-        left = remaining_functions(index.join(due.select("project").distinct(), "project", "left_semi"), taken)
+        left = remaining_functions(index.join(due.select("project"), "project", "left_semi"), gone)
         reviewed = review_functions(due, left, model_fn, concurrency)
         signals = next_signal(parse_reviews(reviewed), left).withColumn(
             "status", F.when(F.col("error").isNotNull(), "error").otherwise(F.col("status"))
@@ -179,10 +182,10 @@ def model_walk(records: DataFrame, files: DataFrame, model_fn: ModelFn, seeds: D
         )
         rows.write.parquet(f"{base}/rows/at={step}")
         found_schema = rows.schema
-        rows = spark.read.schema(found_schema).parquet(f"{base}/rows/at={step}")
-        moved = rows.filter(F.col("key").isNotNull())
-        moved.select("project", "key").write.parquet(f"{base}/taken/step={step}")
-        asked = moved.select("project", "next_path", "next_key")
+        ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found_schema)
+        moved = spark.read.schema(f"{ddl}, at int").parquet(f"{base}/rows").filter(F.col("key").isNotNull())
+        gone = taken.unionByName(moved.select("project", "key"))
+        asked = moved.filter(F.col("at") == step).select("project", "next_path", "next_key")
         step += 1
     columns = ["project", "step", "path", "name", "start_line", "end_line", "review_message", "error", "status"]
     if found_schema is None:

@@ -31,10 +31,11 @@ def ordered_text(df: DataFrame, keys: list[str], order: list[str], text: str, se
         "_bytes", F.octet_length("_text").cast("bigint") + len(sep.encode())
     )
     sizes = rows.groupBy(*keys).agg(F.sum("_bytes").alias("_total"))
-    large_keys = materialize(sizes.filter(F.col("_total") - len(sep.encode()) > part_bytes), "large-groups")
+    large_keys = sizes.filter(F.col("_total") - len(sep.encode()) > part_bytes)
     total = large_keys.agg(F.sum("_total")).first()[0]
     if total is None:
         return _small(rows, keys, order, sep)
+    large_keys = materialize(large_keys, "large-groups")
     small = rows.join(large_keys.select(*keys), keys, "left_anti")
     large = rows.join(large_keys.select(*keys), keys, "left_semi")
     return _small(small, keys, order, sep).unionByName(_large(large, total, keys, order, sep, part_bytes))

@@ -19,6 +19,10 @@ def tune(spark: SparkSession) -> SparkSession:
     """Set the runtime settings on a session that somebody else built."""
     for name, value in RUNTIME_CONF.items():
         spark.conf.set(name, value)
+    if not spark.sparkContext.master.startswith("local"):
+        # Start shuffles with enough partitions for a large cluster; AQE merges what stays small.
+        most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(most))
     return spark
 
 

@@ -7,6 +7,9 @@ runs again reads what the batches before it left and replaces its own.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -33,28 +36,28 @@ def stream_source_chunks(spark: SparkSession, root: str, max_bytes: int = MAX_CH
     return chunk_lines(files.select("path", "content"), max_bytes)
 
 
-def _before(spark: SparkSession, folder: str, schema: str, batch_id: int, since: int = 0) -> DataFrame:
-    """Rows that batches before this one left; the path filter prunes folders."""
-    try:
-        kept = spark.read.schema(f"{schema}, batch bigint").parquet(folder)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], schema)
-    return kept.filter((F.col("batch") >= since) & (F.col("batch") < batch_id)).drop("batch")
+def _so_far(spark: SparkSession, deltas: str, snapshots: str, schema: str, batch_id: int,
+            combine: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What the batches before this one left in ``deltas``, combined.
 
-
-def _report_sizes(spark: SparkSession, state: str, batch_id: int) -> DataFrame:
-    """Bytes per report before this batch: the last sum of the ledger and the batches since."""
-    schema = "report_path string, bytes bigint"
+    Every so often the combined rows are written, so a batch reads the last such snapshot and the
+    few batches since. The filter on the batch prunes folders.
+    """
     since = max(batch_id - 1, 0) // SNAPSHOT_EVERY * SNAPSHOT_EVERY
-    rows = _before(spark, f"{state}/ledger", schema, batch_id, since)
+    try:
+        rows = spark.read.schema(f"{schema}, batch bigint").parquet(deltas)
+        rows = rows.filter((F.col("batch") >= since) & (F.col("batch") < batch_id)).drop("batch")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], schema)
     if since:
-        rows = rows.unionByName(spark.read.schema(schema).parquet(f"{state}/snapshot/at={since}"))
-    sizes = rows.groupBy("report_path").agg(F.sum("bytes").alias("bytes"))
+        rows = rows.unionByName(spark.read.schema(schema).parquet(f"{snapshots}/at={since}"))
+    rows = combine(rows)
     if batch_id and batch_id % SNAPSHOT_EVERY == 0:
-        sizes.write.mode("overwrite").parquet(f"{state}/snapshot/at={batch_id}")
-    return sizes
+        rows.write.mode("overwrite").parquet(f"{snapshots}/at={batch_id}")
+        rows = spark.read.schema(schema).parquet(f"{snapshots}/at={batch_id}")
+    return rows
 
 
 def stream_reviews_to_reports(archived: DataFrame, root: str, state: str, order: list[str],
@@ -67,7 +70,10 @@ def stream_reviews_to_reports(archived: DataFrame, root: str, state: str, order:
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        base = _report_sizes(batch.sparkSession, state, batch_id)
+        base = _so_far(
+            batch.sparkSession, f"{state}/ledger", f"{state}/snapshot", "report_path string, bytes bigint", batch_id,
+            lambda rows: rows.groupBy("report_path").agg(F.sum("bytes").alias("bytes")),
+        )
         parts = assemble_reports(render_markdown(batch), order, part_bytes)
         known = parts.select("report_path").distinct().join(base, "report_path")
         # Sections behind earlier ones start with the separator.
@@ -89,16 +95,17 @@ def stream_review_state(reviews: DataFrame, index: DataFrame, out: str, order: s
     """Route reviews as they arrive: each takes its next function from what its project has left.
 
     ``reviews`` is a stream of ``project``, ``order`` (unique per project) and ``review_message``;
-    ``index`` is the static table of keys. Signals go to ``out``, one folder per batch; the keys
-    they took are the state, so nothing per project is held in one task. Reviews of one batch are
+    ``index`` is the static table of keys. Signals go to ``out/signals``, one folder per batch; the
+    keys they took are the state, so nothing per project is held in one task. Reviews of one batch are
     served in ``order``.
     """
-    schema = f"project string, {order} bigint, status string, key string, next_key string, next_path string"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        taken = _before(spark, out, schema, batch_id).filter(F.col("key").isNotNull()).select("project", "key")
+        taken = _so_far(
+            batch.sparkSession, f"{out}/signals", f"{out}/snapshot", "project string, key string", batch_id,
+            lambda rows: rows.filter(F.col("key").isNotNull()),
+        )
         routed = route_reviews(parse_reviews(batch), index, taken, order)
-        routed.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        routed.write.mode("overwrite").parquet(f"{out}/signals/batch={batch_id}")
 
     return reviews.writeStream.foreachBatch(write)

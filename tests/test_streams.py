@@ -42,12 +42,7 @@ def test_reports_grow_and_a_repeated_batch_changes_nothing(spark, shared, tmp_pa
     monkeypatch.setattr(flows, "SNAPSHOT_EVERY", 2)
     source, state, offsets = shared("in"), shared("ledger"), shared("offsets")
     batches = [[("a", f"f{b}{i}", 10 * b + i) for i in range(3)] + [("b", f"g{b}", 10 * b)] for b in range(6)]
-    seen = []
-
-    class Keep:
-        """Holds the batch function, to run a batch a second time."""
-
-    stream = None
+    seen, stream = [], None
     for rows in batches:
         sections(spark, rows).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
@@ -66,7 +61,8 @@ def test_reports_grow_and_a_repeated_batch_changes_nothing(spark, shared, tmp_pa
     assert (tmp_path / "review_output/s/a.md").read_text() == before
 
 
-def test_routing_state_lasts_over_batches(spark, shared):
+def test_routing_state_lasts_over_batches(spark, shared, monkeypatch):
+    monkeypatch.setattr(flows, "SNAPSHOT_EVERY", 2)
     records = random_records(7, 4, 24, 6)
     index = {}
     for r in records:
@@ -78,7 +74,7 @@ def test_routing_state_lasts_over_batches(spark, shared):
     for low in (0, 8, 16):
         spark.createDataFrame([m for m in messages if low <= m[1] < low + 8], schema).write.mode("append").parquet(source)
         drain(flows.stream_review_state(spark.readStream.schema(schema).parquet(source), keys, out), offsets)
-    got = spark.read.parquet(out)
+    got = spark.read.parquet(f"{out}/signals")
     assert got.select("batch").distinct().count() == 3
     rows = sorted((r["project"], r["seq"], r["status"], r["key"]) for r in got.collect())
     assert rows == brute.serve(messages, index)
