@@ -73,14 +73,19 @@ def _code_lines(lines: Column) -> Column:
     """Lines that hold code, with what the fold needs of them."""
 
     def read(line, i):
-        bare = F.regexp_replace(F.regexp_replace(line, r"\\.", "_"), r'"[^"]*"', '""')
-        bare = F.regexp_replace(bare, r"'[^']'", "''")
-        bare = F.regexp_replace(bare, r"/\*.*?\*/", "")
-        code = F.rtrim(F.call_function("substring_index", bare, F.col("_comment"), F.lit(1)), F.lit(" \t\r"))
+        comment = F.ltrim(line, F.lit(" \t")).startswith(F.col("_comment"))
+        return F.struct((i + 1).cast("bigint").alias("no"), F.when(comment, "").otherwise(line).alias("raw"))
+
+    def strip(x):
+        # Escapes, strings, characters and comments go; most lines have none and skip the patterns.
+        raw = x["raw"]
+        bare = F.regexp_replace(F.regexp_replace(raw, r"\\.", "_"), r'"[^"]*"', '""')
+        bare = F.regexp_replace(F.regexp_replace(bare, r"'[^']'", "''"), r"/\*.*?\*/", "")
+        bare = F.call_function("substring_index", bare, F.col("_comment"), F.lit(1))
+        code = F.when(raw.rlike(r"[\\\"']|/\*") | raw.contains(F.col("_comment")), bare).otherwise(raw)
         return F.struct(
-            (i + 1).cast("bigint").alias("no"),
-            code.alias("code"),
-            F.regexp_replace(line, r"\t", "        ").alias("raw"),
+            x["no"].alias("no"), F.rtrim(code, F.lit(" \t\r")).alias("code"),
+            F.replace(raw, F.lit("\t"), F.lit("        ")).alias("raw"),
         )
 
     def shape(x):
@@ -95,10 +100,11 @@ def _code_lines(lines: Column) -> Column:
             F.when(ends, "").otherwise(name).alias("name"),
             F.when(ends, "").otherwise(is_class).alias("container"),
             opens.alias("opens"), closes.alias("closes"), ends.alias("ends"),
-            F.regexp_extract(x["code"], r"^\s*([)\]}])", 1).alias("closer"),
+            F.left(F.ltrim(x["code"], F.lit(" \t")), F.lit(1)).isin(")", "]", "}").alias("closer"),
         )
 
-    return F.transform(F.filter(F.transform(lines, read), lambda x: F.btrim(x["code"], F.lit(" \t")) != ""), shape)
+    written = F.filter(F.transform(lines, read), lambda x: x["raw"] != "")
+    return F.transform(F.filter(F.transform(written, strip), lambda x: x["code"] != ""), shape)
 
 
 def _qualified(stack: Column, x: Column) -> Column:
@@ -146,7 +152,7 @@ def _indent_spans(code: Column) -> Column:
     )
 
     def step(acc, x):
-        going = x["closer"] != ""
+        going = x["closer"]
         over = lambda e: (e["level"] >= x["indent"]) & ~going
         kept = F.filter(acc["stack"], lambda e: ~over(e))
         idle = ~_is_header(x) & ~F.exists(acc["stack"], over)

@@ -30,7 +30,8 @@ def _run_ahead(frontier: DataFrame, jumps: list[DataFrame]) -> DataFrame:
         moves = F.col("_far").bitwiseAND(F.lit(1 << bit)) != 0
         hop = jump.withColumnRenamed("record_no", "_from")
         ahead = (
-            ahead.withColumn("_from", F.when(moves, F.col("record_no")))
+            # Rows that stay get a key that nothing matters for, spread over the partitions.
+            ahead.withColumn("_from", F.when(moves, F.col("record_no")).otherwise(-1 - F.col("_far")))
             .join(hop, ["project", "_from"], "left")
             .withColumn("record_no", F.when(moves, F.col("to")).otherwise(F.col("record_no")))
             .filter(F.col("record_no").isNotNull())

@@ -10,6 +10,7 @@ from ..functions import text as tx
 from ..operators import lines, prompts, records, reports, walk
 from ..operators.detect import detect_functions
 from ..operators.model import ModelFn, complete_prompts
+from ..session import tune
 from ..sinks.files import write_reports
 from ..sources import tree
 from ..storage import materialize
@@ -85,7 +86,7 @@ def review_tree(spark: SparkSession, roots: dict[str, str], out: str, review_fn:
     ``extract_fn`` lists functions (else they are detected), ``seed_fn`` chooses where each project
     starts (else its first record), ``review_fn`` reviews.
     """
-    files = materialize(scan_projects(spark, roots), "files")
+    files = materialize(scan_projects(tune(spark), roots), "files")
     found = extract_records(files, extract_fn, concurrency=concurrency)
     seeds = choose_seeds(found, seed_fn, concurrency) if seed_fn else None
     walked = walk.model_walk(found, files, review_fn, seeds, max_steps, concurrency=concurrency)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import time
+import zlib
 from collections.abc import Iterator
 from datetime import datetime, timezone
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
@@ -16,10 +18,16 @@ from ..storage import posix_path
 SCHEMA = "path string, modified timestamp, length bigint"
 
 
-class Folder(InputPartition):
-    def __init__(self, path: str, deep: bool, after: int, upto: int):
-        super().__init__(path)
-        self.path, self.deep, self.after, self.upto = path, deep, after, upto
+class Share(InputPartition):
+    """What one task lists: the files of a folder, and the folders below it when ``deep``.
+
+    Of a folder with very many entries it is one share of ``shares``, by a hash of the entry name.
+    """
+
+    def __init__(self, folder: str, deep: bool, after: int, upto: int, share: int = 0, shares: int = 1):
+        super().__init__((folder, share))
+        self.folder, self.deep, self.after, self.upto = folder, deep, after, upto
+        self.share, self.shares = share, shares
 
 
 class SourceTreeStream(DataSource):
@@ -27,8 +35,8 @@ class SourceTreeStream(DataSource):
 
     The offset is a point in time: a batch holds the files whose inode changed after the last
     offset, up to its own. Both ends are fixed when the batch is planned, so a batch that runs again
-    sees the same files. Options: ``path``, ``list_partitions`` (folders listed in parallel, 256)
-    and ``settle_ms`` (age a file must have before it is picked up, 0).
+    sees the same files. A file that changes is seen again. Options: ``path``, ``list_partitions``
+    (shares of the listing, 256) and ``settle_ms`` (age a change must have to be picked up, 0).
     """
 
     @classmethod
@@ -54,23 +62,31 @@ class SourceTreeReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return {"ns": time.time_ns() - self.settle_ns}
 
-    def partitions(self, start: dict, end: dict) -> list[Folder]:
-        """Open folders breadth-first until there are enough; tasks walk what is left unopened."""
+    def partitions(self, start: dict, end: dict) -> list[Share]:
+        """Open folders breadth-first until there are enough shares.
+
+        A folder with more subfolders than wanted is not kept here: tasks divide its entries.
+        """
         after, upto = start["ns"], end["ns"]
-        opened: list[Folder] = []
+        shares: list[Share] = []
         waiting = [self.root]
-        while waiting and len(opened) + len(waiting) < self.wanted:
+        while waiting and len(shares) + len(waiting) < self.wanted:
             folder = waiting.pop(0)
-            opened.append(Folder(folder, False, after, upto))
             try:
                 with os.scandir(folder) as entries:
-                    waiting.extend(e.path for e in entries if e.is_dir())
+                    below = list(islice((e.path for e in entries if e.is_dir()), self.wanted + 1))
             except OSError:
-                pass
-        return opened + [Folder(folder, True, after, upto) for folder in waiting]
-
-    def read(self, partition: Folder) -> Iterator[tuple]:
-        todo = [partition.path]
+                continue
+            if len(below) > self.wanted:
+                shares += [Share(folder, True, after, upto, i, self.wanted) for i in range(self.wanted)]
+            else:
+                shares.append(Share(folder, False, after, upto))
+                waiting += below
+        return shares + [Share(folder, True, after, upto) for folder in waiting]
+
+    def read(self, partition: Share) -> Iterator[tuple]:
+        todo = [partition.folder]
+        shares = partition.shares
         while todo:
             try:
                 entries = os.scandir(todo.pop())
@@ -78,6 +94,8 @@ class SourceTreeReader(DataSourceStreamReader):
                 continue
             with entries:
                 for entry in entries:
+                    if shares > 1 and zlib.crc32(os.fsencode(entry.name)) % shares != partition.share:
+                        continue
                     try:
                         if entry.is_dir():
                             if partition.deep:
@@ -88,6 +106,7 @@ class SourceTreeReader(DataSourceStreamReader):
                         continue
                     if partition.after < info.st_ctime_ns <= partition.upto:
                         yield entry.path, datetime.fromtimestamp(info.st_mtime, timezone.utc), info.st_size
+            shares = 1  # only the first folder is divided
 
 
 def read_tree_stream(spark: SparkSession, root: str, **options: str) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from marginalia.operators import reports
 from marginalia.streaming import flows
+from marginalia.streaming.tree_stream import SourceTreeReader
 from test_walk import random_records
 
 
@@ -30,6 +31,19 @@ def test_chunks_of_new_files_only(spark, shared, tmp_path):
     assert run() == sorted(first + [(".later.rs", 0, "     1: c\n")])
 
 
+def test_listing_shares_cover_every_file_once(tmp_path):
+    for i in range(30):
+        (tmp_path / f"d{i}/deep/deeper").mkdir(parents=True)
+        (tmp_path / f"d{i}/deep/deeper/f{i}.py").write_text("x")
+        (tmp_path / f"f{i}.py").write_text("x")
+    expect = sorted(str(p) for p in tmp_path.rglob("*.py"))
+    for wanted in (1, 4, 29, 40, 500):
+        reader = SourceTreeReader({"path": str(tmp_path), "list_partitions": str(wanted)})
+        shares = reader.partitions(reader.initialOffset(), reader.latestOffset())
+        assert len(shares) <= max(2 * wanted, 1) + 1
+        assert sorted(row[0] for share in shares for row in reader.read(share)) == expect
+
+
 def sections(spark, rows):
     return spark.createDataFrame(
         [("p", n, f"/s/{p}.rs", 1, 2, f"{{{n}``1``text {n}}}", "now", step) for p, n, step in rows],
