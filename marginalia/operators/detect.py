@@ -1,8 +1,8 @@
 """Finding functions without a model.
 
 Each file is scanned in place by a fold over its lines, so nothing is shuffled. It is a heuristic:
-headers are recognised by pattern, and braces or indentation close them. Braces inside strings that
-run over several lines, and block comments over several lines, are read as code.
+headers are recognised by pattern, and braces or indentation close them. Strings that run over
+several lines, and block comments that start behind code and end on a later line, are read as code.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ _CLASS = (
 
 # Extensions by family: how a function and its container start, and how a line comment does.
 INDENT_FAMILY = {
-    "py": (r"^\s*(?:async\s+)?def\s+(\w+)", r"^\s*class\s+(\w+)", "#"),
+    "py": (r"^\s*(?:async\s+)?def\s+(\w+)\s*[(\[]", r"^\s*class\s+(\w+)\s*[(\[:]", "#"),
 }
 BRACE_FAMILY = {
     "rs": (r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:(?:default|const|async|unsafe|extern(?:\s+\"[^\"]*\")?)\s+){0,4}fn\s+(\w+)",
@@ -69,6 +69,20 @@ def _match(line: Column, pattern: Column) -> Column:
     return F.coalesce(F.call_function("regexp_extract", line, pattern, F.lit(1)), F.lit(""))
 
 
+def _without_block_comments(content: Column) -> Column:
+    """The text with comments that start a line emptied; their line breaks stay, so lines keep their numbers."""
+    pieces = F.split(content, r"(?m)^[ \t]*/\*", -1)
+
+    def behind(piece):
+        comment = F.substring_index(piece, "*/", 1)
+        return F.concat(
+            F.regexp_replace(comment, r"[^\n]+", ""), F.substring(piece, F.length(comment) + 3, F.length(piece))
+        )
+
+    kept = F.array_join(F.concat(F.slice(pieces, 1, 1), F.transform(F.slice(pieces, 2, F.size(pieces)), behind)), "")
+    return F.when((F.col("_comment") == "//") & content.contains("/*"), kept).otherwise(content)
+
+
 def _code_lines(lines: Column) -> Column:
     """Lines that hold code, with what the fold needs of them."""
 
@@ -202,8 +216,9 @@ def detect_functions(files: DataFrame) -> DataFrame:
     """
     known = files.select("project", "path", "content", tx.extension(F.col("path")).alias("_ext"))
     ready = known.join(F.broadcast(_specs(files.sparkSession)), "_ext", "left")
-    code = ready.filter(F.col("_function_re").isNotNull()).select(
-        "project", "path", "_indented", _code_lines(tx.text_lines(F.col("content"))).alias("_code")
+    plain = ready.filter(F.col("_function_re").isNotNull()).withColumn("_text", _without_block_comments(F.col("content")))
+    code = plain.select(
+        "project", "path", "_indented", _code_lines(tx.text_lines(F.col("_text"))).alias("_code")
     )
     spans = code.select(
         "project", "path",

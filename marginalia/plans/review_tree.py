@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,9 +12,9 @@ from ..operators import lines, prompts, records, reports, walk
 from ..operators.detect import detect_functions
 from ..operators.model import ModelFn, complete_prompts
 from ..session import tune
-from ..sinks.files import write_reports
+from ..sinks.files import append_records, append_review_log, dump_index, write_reports
 from ..sources import tree
-from ..storage import materialize
+from ..storage import materialize, posix_path
 from .ordered_text import whole_texts
 
 
@@ -84,7 +85,8 @@ def review_tree(spark: SparkSession, roots: dict[str, str], out: str, review_fn:
     """Scan, extract, choose the first functions, walk, and write the reports below ``out``.
 
     ``extract_fn`` lists functions (else they are detected), ``seed_fn`` chooses where each project
-    starts (else its first record), ``review_fn`` reviews.
+    starts (else its first record), ``review_fn`` reviews. Next to the reports ``out`` gets the
+    function records of this run, the index and the log of all review messages.
     """
     files = materialize(scan_projects(tune(spark), roots), "files")
     found = extract_records(files, extract_fn, concurrency=concurrency)
@@ -93,4 +95,8 @@ def review_tree(spark: SparkSession, roots: dict[str, str], out: str, review_fn:
     reviewed = reports.with_modified_time(walked.filter(F.col("error").isNull()), files)
     sections = reports.render_markdown(reviewed)
     written = write_reports(reports.assemble_reports(sections, ["project", "step"]), out)
+    kept = "file://" + posix_path(out)
+    append_records(found, f"{kept}/function_records", uuid.uuid4().hex)
+    dump_index(records.function_index(found), f"{kept}/function_index")
+    append_review_log(walked.filter(F.col("review_message").isNotNull()), f"{kept}/review_log")
     return Review(files, found, walked, written)

@@ -25,6 +25,9 @@ CASES = {
     "l.kt": ("class A {\n  fun b(x: Int): Int {\n    return 1\n  }\n}\n", [("A:b", 2, 4)]),
     "m.swift": ("struct A {\n  func b() -> Int {\n  }\n}\n", [("A:b", 2, 3)]),
     "n.zig": ("const A = struct {\n  pub fn b() void {\n  }\n};\n", [("A:b", 2, 3)]),
+    "note.java": ("/* head } */\nclass A {\n  /**\n   * void fake() {\n   */ void real() {\n    s = \"/* \";\n    x(); /* } */\n  }\n"
+                  "  /* open\n void no() {\n", [("A:real", 5, 8)]),
+    "doc.py": ("class A:\n    def m(self):\n        class of things\n        pass\n    def n(self): pass\n", [("A:m", 2, 4), ("A:n", 5, 5)]),
     "empty.py": ("", []),
     "plain.c": ("int x;\n" + "a*b*c*d*" * 4000 + ";\n" + "word " * 4000 + "\n\"" + "\\x" * 20000 + "\";\n", []),
 }

@@ -42,6 +42,9 @@ def test_detected_functions_of_two_projects(spark, tmp_path):
     report = (tmp_path / "out/review_output" / str(tmp_path / "one/a.md")[1:]).read_text()
     assert report.count("## Function: `f`") == 2 and report.count("\n---\n\n") == 1 and "Error" not in report
     assert {r["report_path"].rsplit("/", 1)[1] for r in done.reports.collect()} == {"a.md", "__init__.md", "x.md"}
+    texts = lambda name: [r["value"] for r in spark.read.text(str(tmp_path / "out" / name)).collect()]
+    assert len(texts("function_records")) == 3 and len(texts("review_log")) == 5
+    assert f"Key: {tmp_path}/two/x.rs:main | Value: {tmp_path}/two/x.rs" in texts("function_index")
 
 
 def test_extraction_and_seed_by_model(spark, tmp_path):
