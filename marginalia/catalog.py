@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import fixtures as fx
 from .functions import templates as tp, text as tx
 from .operators import code, detect, lines, model, prompts, records, reports, reviews, walk
+from .plans.ordered_text import ROW_BYTES
 from .session import tune
 from .sinks import files as sinks
 from .sources import tree
@@ -481,10 +482,10 @@ SQL_EXTRACT = f"{quoted(tp.EXTRACT_HEAD)} || path || {quoted(tp.EXTRACT_MIDDLE)}
 
 
 def sql_parts(rows: str, keys: str, order: str) -> str:
-    """Texts cut into parts by the byte their text starts at."""
+    """Texts cut into parts by the weight of what stands before them."""
     return f"""
 select {keys}, part_no, string_agg(text, '' order by {order}, text) as text from (
-  select *, coalesce(sum(strlen(text)) over (partition by {keys} order by {order}, text
+  select *, coalesce(sum(strlen(text) + {ROW_BYTES}) over (partition by {keys} order by {order}, text
     rows between unbounded preceding and 1 preceding), 0)::bigint // {PART_BYTES} as part_no from ({rows}))
 group by {keys}, part_no
 """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import text as tx
@@ -141,7 +143,7 @@ def review_walk(reviews: DataFrame, max_steps: int | None = None, drop_seed: boo
     )
 
 
-def model_walk(records: DataFrame, files: DataFrame, model_fn: ModelFn, seeds: DataFrame | None = None,
+def model_walk(records: DataFrame, files: DataFrame | Callable[[DataFrame], DataFrame], model_fn: ModelFn, seeds: DataFrame | None = None,
                max_steps: int | None = None, drop_seed: bool = False, concurrency: int | None = None) -> DataFrame:
     """The same walk when every review is still to be asked for.
 
@@ -149,6 +151,8 @@ def model_walk(records: DataFrame, files: DataFrame, model_fn: ModelFn, seeds: D
     that are left, the answers name the next functions, and those are cut from the files. A project
     ends when its answer says so, is malformed, fails, or asks for something that is not there.
     ``seeds`` (``project, path, name``) chooses the first functions, else it is the first record.
+    ``files`` is a table of contents, or a function that reads the files of the records it is given:
+    then a step reads the files of the functions due and no others.
     Returns ``project, step, path, name, start_line, end_line, review_message, error, status``.
     """
     spark = records.sparkSession
@@ -169,7 +173,8 @@ def model_walk(records: DataFrame, files: DataFrame, model_fn: ModelFn, seeds: D
             "project", F.col("next_path").alias("path"), F.col("found_name").alias("name"),
             F.col("found_start_line").alias("start_line"), F.col("found_end_line").alias("end_line"),
         )
-        due = materialize(code_functions(found, files), "walk-due")
+        found = materialize(found, "walk-found")
+        due = materialize(code_functions(found, files(found) if callable(files) else files), "walk-due")
         if due.isEmpty():
             break
         left = remaining_functions(index.join(due.select("project"), "project", "left_semi"), gone)

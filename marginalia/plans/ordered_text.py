@@ -8,6 +8,8 @@ from ..storage import materialize
 
 PART_BYTES = 32 << 20
 RANGE_BYTES = 64 << 20
+# What a row weighs besides its text, so that many short texts do not make a large part.
+ROW_BYTES = 64
 
 
 def _joined(order: list[str], sep: str):
@@ -20,18 +22,19 @@ def ordered_text(df: DataFrame, keys: list[str], order: list[str], text: str, se
     """Concatenate ``text`` per group in ``order`` into parts: ``keys``, ``part_no``, ``text``.
 
     The parts of a group, concatenated by ``part_no``, are exactly its texts joined by ``sep``. A
-    text goes to the part its starting byte falls in, so a part holds at most ``part_bytes`` plus
-    one text and the result does not depend on the partitioning.
+    row weighs the bytes of its text and separator and ``ROW_BYTES``, and goes to the part that the
+    weight before it falls in. So a part weighs at most ``part_bytes`` plus one row, and the result
+    does not depend on the partitioning.
 
-    Group sizes are measured first. Groups that fit one part are aggregated directly. For the
-    others rows are range-partitioned, each range sums its own bytes and the ranges' totals give
-    every row its byte offset, so a group of any size is spread over the cluster.
+    Groups are weighed first. Those that fit one part are aggregated directly. For the others rows
+    are range-partitioned, each range sums its own weights and the ranges' totals give every row
+    its offset, so a group of any size is spread over the cluster.
     """
     rows = materialize(df.select(*keys, *order, F.col(text).alias("_text")), "texts").withColumn(
-        "_bytes", F.octet_length("_text").cast("bigint") + len(sep.encode())
+        "_bytes", F.octet_length("_text").cast("bigint") + len(sep.encode()) + ROW_BYTES
     )
     sizes = rows.groupBy(*keys).agg(F.sum("_bytes").alias("_total"))
-    large_keys = sizes.filter(F.col("_total") - len(sep.encode()) > part_bytes)
+    large_keys = sizes.filter(F.col("_total") > part_bytes)
     total = large_keys.agg(F.sum("_total")).first()[0]
     if total is None:
         return _small(rows, keys, order, sep)

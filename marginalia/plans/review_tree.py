@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -22,25 +23,27 @@ from .ordered_text import whole_texts
 class Review:
     """The tables a review leaves behind."""
 
-    files: DataFrame      # project, path, modified, content
+    files: DataFrame      # project, path, modified, length
     records: DataFrame    # project, path, name, start_line, end_line, record_no
     reviews: DataFrame    # project, step, path, name, start_line, end_line, review_message, error, status
     reports: DataFrame    # report_path, bytes
 
 
-def scan_projects(spark: SparkSession, roots: dict[str, str],
+def list_projects(spark: SparkSession, roots: dict[str, str],
                   extensions: tuple[str, ...] = tx.SOURCE_EXTENSIONS) -> DataFrame:
-    """The decoded source files of several projects, each with its root folder."""
+    """The source files of several projects, without their contents."""
     tables = [
-        tree.decode_text(tree.source_tree_scan(spark, root, extensions)).select(
-            F.lit(project).alias("project"), "path", "modified", "content"
-        )
+        tree.source_file_filter(tree.list_tree(spark, root), extensions).select(F.lit(project).alias("project"), "*")
         for project, root in roots.items()
     ]
-    out = tables[0]
-    for table in tables[1:]:
-        out = out.unionByName(table)
-    return out
+    return materialize(reduce(DataFrame.unionByName, tables), "files")
+
+
+def read_projects(files: DataFrame, most: int | None = None) -> DataFrame:
+    """The text of listed files, read by tasks that got their share of the paths; ``most`` files at most."""
+    n = files.sparkSession.sparkContext.defaultParallelism * 4
+    n = n if most is None else max(1, min(n, most))
+    return tree.decode_text(tree.read_files(files.repartition(n, "path"))).select("project", "path", "content")
 
 
 def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
@@ -88,10 +91,14 @@ def review_tree(spark: SparkSession, roots: dict[str, str], out: str, review_fn:
     starts (else its first record), ``review_fn`` reviews. Next to the reports ``out`` gets the
     function records of this run, the index and the log of all review messages.
     """
-    files = materialize(scan_projects(tune(spark), roots), "files")
-    found = extract_records(files, extract_fn, concurrency=concurrency)
+    files = list_projects(tune(spark), roots)
+    found = extract_records(read_projects(files), extract_fn, concurrency=concurrency)
     seeds = choose_seeds(found, seed_fn, concurrency) if seed_fn else None
-    walked = walk.model_walk(found, files, review_fn, seeds, max_steps, concurrency=concurrency)
+    # A step reads the files of the functions due; a path that no listing has is not opened.
+    due_files = lambda due: read_projects(
+        files.join(due.select("project", "path").distinct(), ["project", "path"]), due.count()
+    )
+    walked = walk.model_walk(found, due_files, review_fn, seeds, max_steps, concurrency=concurrency)
     reviewed = reports.with_modified_time(walked.filter(F.col("error").isNull()), files)
     sections = reports.render_markdown(reviewed)
     written = write_reports(reports.assemble_reports(sections, ["project", "step"]), out)

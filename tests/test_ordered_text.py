@@ -14,6 +14,8 @@ def test_parts_join_to_the_whole(spark, part_bytes):
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "g string, o bigint, t string")
     parts = ordered_text(df, ["g"], ["o"], "t", "\n-\n", part_bytes).collect()
+    hot_parts = sum(r["g"] == "hot" for r in parts)
+    assert hot_parts == 1 if part_bytes == 1 << 20 else hot_parts > 100
     for group in ("hot", "a", "b", "c"):
         mine = sorted((r["part_no"], r["text"]) for r in parts if r["g"] == group)
         texts = [t for _, t in sorted((o, t) for g, o, t in rows if g == group)]
