@@ -574,7 +574,7 @@ def q_review_functions(spark, sf_dir):
 SQL_TREE = "select path[2:] as path, strlen(content)::bigint as length, content from code_files"
 
 
-def _write_tree(spark: SparkSession, sf_dir: str, extra: str = "") -> str:
+def _write_tree(spark: SparkSession, sf_dir: str) -> str:
     """The documents as a source tree in the shared folder."""
     root = posix_path(run_dir(spark, "tree"))
     sinks.write_reports(
@@ -616,8 +616,8 @@ def q_append_records(spark, sf_dir):
 @query(f"select project, name, path, start_line, end_line from ({SQL_PARSED})", "completions")
 def q_read_record_file(spark, sf_dir):
     store = run_dir(spark, "records")
-    for project, rows in (("all", _records(spark, sf_dir)),):
-        sinks.append_records(rows.withColumn("record", F.concat("record", F.lit(" "), "project")), store, project)
+    tagged = _records(spark, sf_dir).withColumn("record", F.concat("record", F.lit(" "), "project"))
+    sinks.append_records(tagged, store, "all")
     stored = tree.read_record_file(spark, store).withColumn("project", F.regexp_extract("record", r"\} (.*)$", 1))
     return records.parse_records(stored.drop("run"))
 

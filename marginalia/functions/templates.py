@@ -10,8 +10,8 @@ EXTRACT_SYSTEM = "You find the functions in source files."
 EXTRACT_HEAD = """List every function of the source file below, one per line and nothing else.
 A line is {"name", "path", first_line, last_line}; a method is named {"Class:method", ...}.
 Use the numbers printed in front of the lines. Count blank and comment lines, but let a function
-start and end on a line of code. Example for a file /src/main.cpp:
-{"main", "/src/main.cpp", 1, 4}
+start and end on a line of code. Example for a file /lib/parser.js:
+{"Parser:next", "/lib/parser.js", 12, 40}
 
 File Path: """
 EXTRACT_MIDDLE = "\n\nFile Content:\n"

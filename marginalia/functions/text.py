@@ -122,6 +122,7 @@ SECTION_SEPARATOR = "\n---\n\n"
 
 def modified_label(modified: Column, path: Column) -> Column:
     """``YYYY-MM-DD HH:MM:SS`` in the session time zone, or an error text for an unknown file."""
+    # The time format and how the error text begins.
     return F.coalesce(
         F.date_format(modified, "yyyy-MM-dd HH:mm:ss"),
         F.concat(F.lit("Error: Failed to get metadata: "), path),

@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as tx
 
-STATUSES = ("malformed", "done", "exact", "suffix", "not_found")
-
 
 def parse_reviews(df: DataFrame, message: str = "review_message") -> DataFrame:
     """Add the fields of the message: severity, review, continue flag, next name and path, part count.

@@ -18,12 +18,12 @@ def test_content_of_responses(spark):
 
 
 def test_records_of_the_documented_format(spark):
-    text = '  {"main", "/src/main.cpp",1,4},,\n\n{"K:sum",\t"src/main.cpp", 5 , 7}\n{ "f", "p", 1, 2 }\n{f, p, 1, 2}\n{"big", "p", 1, 99999999999999999999}'
+    text = '  {"run", "/lib/a.go",1,4},,\n\n{"K:sum",\t"lib/a.go", 5 , 7}\n{ "f", "p", 1, 2 }\n{f, p, 1, 2}\n{"big", "p", 1, 99999999999999999999}'
     df = spark.createDataFrame([("q", text)], "project string, cleaned string")
     exploded = records.explode_records(df)
     assert [r["record_no"] for r in exploded.orderBy("record_no").collect()] == [0, 2, 3, 4, 5]
     got = records.parse_records(exploded).orderBy("record_no").select("name", "path", "start_line", "end_line").collect()
-    assert [tuple(r) for r in got] == [("main", "/src/main.cpp", 1, 4), ("f", "p", 1, 2), ("big", "p", 1, None)]
+    assert [tuple(r) for r in got] == [("run", "/lib/a.go", 1, 4), ("f", "p", 1, 2), ("big", "p", 1, None)]
 
 
 def test_seed_is_found_inside_other_text(spark):

@@ -6,13 +6,13 @@ from marginalia.operators import reports, reviews
 
 def test_message_of_the_documented_form(spark):
     texts = [
-        "{processFile``1``This function handles file processing``1``validateInput``src/utils.rs}",
+        "{load``1``Reads the settings``1``check``lib/check.go}",
         "{{ f `` 3 `` bad \u00a0`` 0 }}", "{f``2``x``1``g``p}\n", "plain", "", "{f```2``y}",
     ]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, review_message string")
     got = [tuple(r)[2:] for r in reviews.parse_reviews(df).orderBy("i").collect()]
     assert got == [
-        ("1", "This function handles file processing", "1", "validateInput", "src/utils.rs", 6),
+        ("1", "Reads the settings", "1", "check", "lib/check.go", 6),
         ("3", "bad", "0", None, None, 4),
         ("2", "x", "1", "g", "p}", 6),  # a brace before the line end stays
         ("Unknown", "No review provided", None, None, None, 1),
