@@ -4,23 +4,57 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality
+from . import byte_bpe, exact_dedup, lang_id, packing, quality, token_files
 from .common import documents
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = byte_bpe.byte_bpe_decode(byte_bpe.byte_bpe_encode(documents(spark, sf_dir), path, pattern), path, pattern)
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.language_id(documents(spark, sf_dir))
+
+
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(documents(spark, sf_dir))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.write_and_read(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op2_language_id": op2_language_id,
+    "op3_exact_dedup": op3_exact_dedup,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op7_token_files": op7_token_files,
     "op8_quality_rules": op8_quality_rules,
 }
 
 _FLOORS = ", ".join(f"('{rule}', {floor})" for rule, floor in quality.RULES.items())
 ORACLES = {
+    "op3_exact_dedup": """
+with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents)
+select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
+  doc_id is not distinct from max(doc_id) over w as kept, sha256(t) as text_sha256 from d window w as (partition by t)
+""",
     "op8_quality_rules": rf"""
 with d as (select doc_id, lang, source, coalesce(text, '') as text from documents),
 words as (select doc_id, unnest(w) as w, unnest(range(1, len(w) + 1)) as i
