@@ -32,7 +32,8 @@ SIMILARITY = 0.8
 GAP_COST = 0.1
 SEGMENT_WORDS = 16
 BAND = 12
-MARGIN = 2 * (SEED_WORDS + WINDOW)
+# Words fetched on either side of a chain: seeds of a passage may all have their first place elsewhere for a while.
+MARGIN = 128
 # Links in one task's group, about; a document's links stay together.
 GROUP_LINKS = 50_000
 
@@ -194,7 +195,7 @@ def _segments(pdf):
         other = theirs.get(key)
         if other is None:
             continue
-        a, b = np.frombuffer(row.words, np.uint32), np.frombuffer(other.words, np.uint32)
+        a, b = np.frombuffer(row.words, np.uint16), np.frombuffer(other.words, np.uint16)
         covered = -1
         for x, y in zip(row.places, other.places):
             if x < covered:
@@ -223,7 +224,7 @@ def _segments(pdf):
 
 
 def _cut_words(batches: Iterator):
-    """The words each request asks for, as 32-bit hashes; requests of one document come one after another."""
+    """The words each request asks for, as 16-bit hashes; requests of one document come one after another."""
     import numpy as np
     import pyarrow as pa
 
@@ -234,7 +235,7 @@ def _cut_words(batches: Iterator):
         for own, doc_id, from_id, n, places, text in zip(*[c for c in batch.columns]):
             owner = doc_id.as_py() if own.as_py() else from_id.as_py()
             if owner != last:
-                last, hashes = owner, hash_words([text.as_py() or ""])[0].astype(np.uint32)
+                last, hashes = owner, hash_words([text.as_py() or ""])[0].astype(np.uint16)
             at = places.as_py()
             first = max(at[0] - MARGIN, 0)
             out.append((own.as_py(), doc_id.as_py(), from_id.as_py(), n.as_py(), at, first, hashes[first:at[-1] + SEED_WORDS + MARGIN].tobytes()))
