@@ -291,9 +291,9 @@ def without_passages(docs: DataFrame) -> DataFrame:
 
         return pd.Series([one(t, s) for t, s in zip(text, cuts)])
 
-    rows = docs.join(found, F.col("doc_id") == F.col("_id"), "left")
-    text = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(cut("text", "_cuts"))
-    new = rows.withColumn("_text", text).filter(F.col("_cuts").isNull() | (F.col("_text").rlike("[^\\x20\\x09-\\x0D]")))
-    columns = [F.col("_text").alias(c) if c == "text" else
-               F.when(F.col("_cuts").isNull(), F.col(c)).otherwise(F.length("_text")).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return new.select(*columns)
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc"), "text").join(found, F.col("_doc") == F.col("_id"), "left")
+    whole = F.col("_cuts").isNull()
+    new = rows.withColumn("_text", F.when(whole, F.col("text")).otherwise(cut("text", "_cuts")))
+    new = new.filter(whole | F.col("_text").rlike("[^\\x20\\x09-\\x0D]"))
+    changed = {"text": F.col("_text"), "n_chars": F.when(whole, F.col("_row.n_chars") if "n_chars" in docs.columns else F.lit(None)).otherwise(F.length("_text"))}
+    return new.select(*[changed.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
