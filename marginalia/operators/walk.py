@@ -90,7 +90,7 @@ def review_walk(reviews: DataFrame, max_steps: int | None = None, drop_seed: boo
             taken = spark.read.schema(taken_schema).parquet(f"{base}/taken").select("project", "key")
         span = (1 << bits) - 1
         gone = taken.withColumn("_gone", F.lit(True))
-        same_key = W.partitionBy("project", "key").orderBy("step")
+        same_key = W.partitionBy("project", "key").orderBy("_far")
         project = W.partitionBy("project")  # at most 2^bits rows, as a project has one frontier row
         ahead = _run_ahead(frontier, jumps[:bits]).join(moves, ["project", "record_no"]).join(gone, ["project", "key"], "left")
         meets = F.col("key").isNotNull() & (F.col("_gone").isNotNull() | (F.row_number().over(same_key) > 1))

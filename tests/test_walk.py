@@ -27,10 +27,22 @@ def random_records(seed, projects, size, names):
     return out
 
 
+@pytest.fixture(params=["broadcast", "sorted"])
+def joins(spark, request):
+    """Joins of either kind; the order of rows after a join is not to matter."""
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    if request.param == "sorted":
+        for name in names:
+            spark.conf.set(name, "-1")
+    yield
+    for name in names:
+        spark.conf.unset(name)
+
+
 @pytest.mark.parametrize("seed,size,names,drop_seed,max_steps", [
-    (1, 12, 4, False, None), (2, 60, 60, True, None), (3, 40, 8, False, 7),
+    (1, 12, 4, False, None), (2, 60, 60, True, None), (3, 40, 8, False, 7), (5, 60, 20, False, None),
 ])
-def test_walk_matches_one_project_at_a_time(spark, seed, size, names, drop_seed, max_steps):
+def test_walk_matches_one_project_at_a_time(spark, joins, seed, size, names, drop_seed, max_steps):
     records = random_records(seed, 8, size, names)
     df = spark.createDataFrame([tuple(r[c] for c in ("project", "path", "record_no", "name", "review_message")) for r in records], SCHEMA)
     got = sorted(map(tuple, review_walk(df, max_steps, drop_seed).collect()))
