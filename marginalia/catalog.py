@@ -33,6 +33,8 @@ def query(sql: str | None = None, *views: str, recursive: bool = False):
         name = fn.__name__.removeprefix("q_")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # The SQL of the queries labels times in UTC.
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return fn(tune(spark), sf_dir)
 
         QUERIES[name] = run
@@ -378,7 +380,7 @@ def q_remaining_functions(spark, sf_dir):
 
 
 @query(signal_sql("""
-f as materialized (select c.*, p.next_name, (
+,f as materialized (select c.*, p.next_name, (
     select arg_min(w.record_no, case when w.name = p.next_name then 0 else 1000000000000 end + w.record_no)
     from walk_reviews w where w.project = c.project and w.path = c.key_path
       and string_split(w.name, ':')[-1] = string_split(p.next_name, ':')[-1]) as found
@@ -389,7 +391,7 @@ visit as (
   select v.project, v.step + 1, n.found, list_append(v.taken, n.key) from visit v, lateral (
     select found, key from f where f.project = v.project and f.record_no = v.record_no
       and not list_contains(v.taken, f.key) order by rk, key limit 1) n where n.found is not null)
-select project, step, record_no from visit""".replace("f as mat", ",f as mat", 1), "walk_reviews", "record_no", recursive=True))
+select project, step, record_no from visit""", "walk_reviews", "record_no", recursive=True))
 def q_review_walk(spark, sf_dir):
     return walk.review_walk(_reviews(spark, sf_dir, "walk_reviews"))
 
@@ -509,25 +511,33 @@ def q_seed_prompt(spark, sf_dir):
     return prompts.seed_prompt(_records(spark, sf_dir), ["doc_id", "record_no"], PART_BYTES)
 
 
-def digest_model(texts: list[str]) -> list[str]:
-    """A stand-in for the model that answers with a digest of its prompt and refuses some."""
-    digests = [hashlib.md5(t.encode()).hexdigest() for t in texts]
-    if any(d.startswith("0") for d in digests):
-        raise ValueError("refused")
-    return [
-        json.dumps({"choices": [{"message": {"content": f"{len(t)}:{d}"}}]}, separators=(",", ":"))
-        for t, d in zip(texts, digests)
-    ]
+def digest_model(texts: list[str], settings: list[dict]) -> list:
+    """A stand-in for the model that answers with a digest of its prompt and settings and refuses some."""
+    digest = lambda t: hashlib.md5(t.encode()).hexdigest()
+
+    def one(text: str, given: dict):
+        if digest(text).startswith("0"):
+            return ValueError("refused")
+        content = f"{len(text)}:{digest(text)}:{digest(given['system'])}:{given['max_tokens']}:{given['temperature']:g}"
+        return json.dumps({"choices": [{"message": {"content": content}}]}, separators=(",", ":"))
+
+    return [one(t, s) for t, s in zip(texts, settings)]
+
+
+def sql_digest(system: str, tokens: int) -> str:
+    """What ``digest_model`` answers to ``prompt``."""
+    settings = f"{hashlib.md5(system.encode()).hexdigest()}:{tokens}:{tp.TEMPERATURE:g}"
+    return f"length(prompt) || ':' || md5(prompt) || ':{settings}'"
 
 
 @query(chunk_sql(f"""
 select project, path, chunk_no, case when left(md5(prompt), 1) <> '0' then
-  '{{"choices":[{{"message":{{"content":"' || length(prompt) || ':' || md5(prompt) || '"}}}}]}}' end as response,
+  '{{"choices":[{{"message":{{"content":"' || {sql_digest(tp.EXTRACT_SYSTEM, tp.EXTRACT_TOKENS)} || '"}}}}]}}' end as response,
   case when left(md5(prompt), 1) = '0' then 'refused' end as error
 from (select *, {SQL_EXTRACT} as prompt from chunks)""", 2048))
 def q_complete_prompts(spark, sf_dir):
     asked = prompts.extract_prompt(lines.chunk_lines(_files(spark, sf_dir), 2048))
-    return model.complete_prompts(asked.select("project", "path", "chunk_no", "prompt"), digest_model)
+    return model.complete_prompts(asked.select("project", "path", "chunk_no", "prompt", *model.SETTINGS), digest_model)
 
 
 def _due(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -562,7 +572,7 @@ def q_review_prompt(spark, sf_dir):
 
 
 @query(SQL_DUE_VIEW + f"""
-select {SQL_FUNCTION_KEY}, case when left(md5(prompt), 1) <> '0' then length(prompt) || ':' || md5(prompt) end as review_message,
+select {SQL_FUNCTION_KEY}, case when left(md5(prompt), 1) <> '0' then {sql_digest(tp.REVIEW_SYSTEM, tp.REVIEW_TOKENS)} end as review_message,
   case when left(md5(prompt), 1) = '0' then 'refused' end as error
 from (select {SQL_FUNCTION_KEY}, string_agg(text, '' order by rank, key) as prompt from ({SQL_REVIEW_ROWS}) group by all)""")
 def q_review_functions(spark, sf_dir):

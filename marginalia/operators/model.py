@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -11,46 +12,57 @@ from ..storage import materialize
 from .prompts import FUNCTION_KEY, review_prompt
 from .records import completion_content
 
-ModelFn = Callable[[list[str]], list[str]]
+# Takes prompts, and if it has a second parameter their settings (``system``, ``max_tokens``, ``temperature``);
+# returns a response document, or an exception, for each prompt.
+ModelFn = Callable[..., list]
+SETTINGS = ("system", "max_tokens", "temperature")
+
+
+def _takes_settings(model_fn: ModelFn) -> bool:
+    return len(inspect.signature(model_fn).parameters) > 1
 
 
 def complete_prompts(df: DataFrame, model_fn: ModelFn, prompt: str = "prompt",
-                     concurrency: int | None = None, batch: int = 32) -> DataFrame:
-    """Call ``model_fn`` once per prompt; adds ``response`` and ``error`` and drops the prompt.
+                     concurrency: int | None = None, batch: int = 1) -> DataFrame:
+    """Call ``model_fn`` once per prompt; adds ``response`` and ``error`` and drops the prompt and its settings.
 
-    ``model_fn`` takes and returns a list of texts. If it raises for a batch, its prompts are sent
-    one by one, so an error stays with the prompt that caused it. ``concurrency`` bounds the calls
-    in flight. The answers are written before use: no later job pays for a call twice.
+    ``model_fn`` gets up to ``batch`` prompts at a time, each of them once: an exception in its place is the
+    error of that prompt, and one that is raised is the error of all prompts of the call. ``concurrency`` bounds
+    the calls in flight. The answers are written before use: no later job pays for a call twice.
     """
-    kept = [c for c in df.columns if c != prompt]
+    settings = [c for c in SETTINGS if c in df.columns]
+    kept = [c for c in df.columns if c != prompt and c not in settings]
     schema = T.StructType(
         [df.schema[c] for c in kept] + [T.StructField("response", T.StringType()), T.StructField("error", T.StringType())]
     )
+    with_settings = _takes_settings(model_fn)
+
+    def said(error: BaseException) -> str:
+        return str(error) or type(error).__name__
 
-    def answer(prompts: list[str]) -> list[tuple[str | None, str | None]]:
+    def answer(piece) -> list[tuple[str | None, str | None]]:
+        prompts = piece[prompt].tolist()
         try:
-            responses = list(model_fn(prompts))
+            given = [prompts, piece[settings].to_dict("records")] if with_settings else [prompts]
+            responses = list(model_fn(*given))
             if len(responses) != len(prompts):
                 raise ValueError(f"{len(responses)} responses for {len(prompts)} prompts")
-            return [(r, None) for r in responses]
         except Exception as error:
-            if len(prompts) == 1:
-                return [(None, str(error) or type(error).__name__)]
-            return [answer([p])[0] for p in prompts]
+            return [(None, said(error))] * len(prompts)
+        return [(None, said(r)) if isinstance(r, BaseException) else (r, None) for r in responses]
 
     def run(frames):
         for frame in frames:
-            for at in range(0, len(frame), batch):
-                piece = frame.iloc[at:at + batch]
-                texts = piece[prompt].tolist()
-                sent = [i for i, p in enumerate(texts) if p is not None]
-                answers = [(None, "prompt too large")] * len(texts)
-                for i, pair in zip(sent, answer([texts[i] for i in sent]) if sent else []):
+            answers = [(None, "no prompt")] * len(frame)
+            sent = [i for i, p in enumerate(frame[prompt].tolist()) if p is not None]
+            for at in range(0, len(sent), batch):
+                some = sent[at:at + batch]
+                for i, pair in zip(some, answer(frame.iloc[some])):
                     answers[i] = pair
-                out = piece[kept].copy()
-                out["response"] = [r for r, _ in answers]
-                out["error"] = [e for _, e in answers]
-                yield out
+            out = frame[kept].copy()
+            out["response"] = [r for r, _ in answers]
+            out["error"] = [e for _, e in answers]
+            yield out
 
     spread = df.repartition(concurrency) if concurrency else df
     return materialize(spread.mapInPandas(run, schema), "completions")
@@ -60,9 +72,9 @@ def review_functions(functions: DataFrame, remaining: DataFrame, model_fn: Model
                      concurrency: int | None = None) -> DataFrame:
     """Review each function once. Adds nothing but ``review_message`` and ``error`` to its key.
 
-    A missing message in the response is an error, as is a prompt above the whole-text limit.
+    A missing message in the response is an error.
     """
-    prompts = whole_texts(review_prompt(functions, remaining), FUNCTION_KEY).withColumnRenamed("text", "prompt")
+    prompts = whole_texts(review_prompt(functions, remaining), FUNCTION_KEY, carried=SETTINGS).withColumnRenamed("text", "prompt")
     answered = completion_content(complete_prompts(prompts, model_fn, concurrency=concurrency), out="review_message")
     no_text = F.col("review_message").isNull() & F.col("error").isNull()
     return answered.select(

@@ -51,12 +51,13 @@ def _small(rows: DataFrame, keys: list[str], order: list[str], sep: str) -> Data
 
 
 def _large(rows: DataFrame, total: int, keys: list[str], order: list[str], sep: str, part_bytes: int) -> DataFrame:
-    # The text breaks ties, so equal order values cannot change the result.
+    # The text breaks ties, so equal order values cannot change the result. Rows with equal keys and order
+    # lie in one range, so the ranges need no texts, which Spark would sample to the driver.
     sort = [*order, "_text"]
-    ranges = max(8, min(20_000, total // RANGE_BYTES + 1))
+    ranges = max(8, total // RANGE_BYTES + 1)
     # Written once: the offsets below need every reader to see the same ranges.
     ranged = materialize(
-        rows.repartitionByRange(ranges, *keys, *sort).withColumn("_range", F.spark_partition_id()), "ranges"
+        rows.repartitionByRange(ranges, *keys, *order).withColumn("_range", F.spark_partition_id()), "ranges"
     )
     totals = ranged.groupBy(*keys, "_range").agg(F.sum("_bytes").alias("_range_bytes"))
     before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
@@ -77,16 +78,12 @@ def _large(rows: DataFrame, total: int, keys: list[str], order: list[str], sep:
     )
 
 
-def whole_texts(parts: DataFrame, keys: list[str], text: str = "text", max_bytes: int = PART_BYTES) -> DataFrame:
-    """Put the parts of each group together where the whole is at most ``max_bytes``.
+def whole_texts(parts: DataFrame, keys: list[str], text: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+    """Put the parts of each group together: ``keys``, ``text`` and the columns ``carried``, equal in all parts.
 
-    Larger groups keep NULL text and their ``bytes``; their parts remain the exact result.
+    For a reader that needs a whole text at once, as a model does; its row holds it, whatever its size.
     """
-    bounded = parts.groupBy(*keys).agg(F.sum(F.octet_length(text).cast("bigint")).alias("bytes"))
-    fits = bounded.filter(F.col("bytes") <= max_bytes).select(*keys)
-    joined = (
-        parts.join(fits, keys, "left_semi").groupBy(*keys)
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part_no", text))), lambda p: p[text]), "")
-             .alias(text))
+    rows = F.array_sort(F.collect_list(F.struct("part_no", text)))
+    return parts.groupBy(*keys).agg(
+        F.array_join(F.transform(rows, lambda p: p[text]), "").alias(text), *[F.first(c).alias(c) for c in carried]
     )
-    return bounded.join(joined, keys, "left")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import text as tx
 from ..operators import lines, prompts, records, reports, walk
 from ..operators.detect import detect_functions
-from ..operators.model import ModelFn, complete_prompts
+from ..operators.model import SETTINGS, ModelFn, complete_prompts
 from ..session import tune
 from ..sinks.files import append_records, append_review_log, dump_index, write_reports
 from ..sources import tree
@@ -65,7 +65,7 @@ def extract_records(files: DataFrame, model_fn: ModelFn | None, max_bytes: int =
         record = F.format_string('{"%s", "%s", %d, %d}', "name", "path", "start_line", "end_line")
         return _numbered(found.withColumn("record", record).drop("status"), ["path", "line_no"])
     asked = prompts.extract_prompt(lines.chunk_lines(files.select("project", "path", "content"), max_bytes))
-    answered = complete_prompts(asked.select("project", "path", "chunk_no", "prompt"), model_fn, concurrency=concurrency)
+    answered = complete_prompts(asked.select("project", "path", "chunk_no", "prompt", *SETTINGS), model_fn, concurrency=concurrency)
     texts = records.clean_completion(records.completion_content(answered)).filter(F.col("cleaned").isNotNull())
     lines_of = records.explode_records(texts.select("project", "path", "chunk_no", "cleaned")).withColumnsRenamed(
         {"path": "file_path", "record_no": "line_no"}
@@ -76,7 +76,7 @@ def extract_records(files: DataFrame, model_fn: ModelFn | None, max_bytes: int =
 
 def choose_seeds(found: DataFrame, model_fn: ModelFn, concurrency: int | None = None) -> DataFrame:
     """Ask the model once per project which function comes first; without an answer there is no seed."""
-    asked = whole_texts(prompts.seed_prompt(found, ["record_no"]), ["project"]).withColumnRenamed("text", "prompt")
+    asked = whole_texts(prompts.seed_prompt(found, ["record_no"]), ["project"], carried=SETTINGS).withColumnRenamed("text", "prompt")
     answered = records.completion_content(complete_prompts(asked, model_fn, concurrency=concurrency))
     one = answered.filter(F.col("content").isNotNull()).withColumn("record_no", F.lit(0))
     return records.seed_function(one).select("project", "path", "name")

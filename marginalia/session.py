@@ -10,7 +10,6 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join key even when the join feeds an aggregate on the same key.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -36,6 +35,7 @@ def local_session(cpus: int | str = "*", app: str = "marginalia", **conf: str) -
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.session.timeZone", "UTC")
     )
     for name, value in conf.items():
         builder = builder.config(name, value)

@@ -1,6 +1,20 @@
 from marginalia.operators.model import complete_prompts
 
 
+def test_each_prompt_is_sent_once_with_its_settings(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+
+    def model(prompts, settings):
+        with open(calls, "a") as log:
+            log.writelines(f"{p}\n" for p in prompts)
+        return [ValueError("refused") if p == "p3" else f"{p} {s['system']} {s['max_tokens']}" for p, s in zip(prompts, settings)]
+
+    df = spark.createDataFrame([(i, f"p{i}", "s", 7) for i in range(9)], "i int, prompt string, system string, max_tokens long")
+    got = sorted(map(tuple, complete_prompts(df.coalesce(1), model, batch=4).collect()))
+    assert got == [(i, None, "refused") if i == 3 else (i, f"p{i} s 7", None) for i in range(9)]
+    assert sorted(open(calls).read().split()) == [f"p{i}" for i in range(9)]
+
+
 def test_errors_stay_with_their_prompt(spark):
     def model(prompts):
         if any(p == "bad" for p in prompts):
@@ -9,9 +23,9 @@ def test_errors_stay_with_their_prompt(spark):
 
     rows = [(i, p) for i, p in enumerate(["a", "bad", "c", None, "d"])]
     df = spark.createDataFrame(rows, "i int, prompt string")
-    got = sorted(map(tuple, complete_prompts(df, model, concurrency=2, batch=3).collect()))
+    got = sorted(map(tuple, complete_prompts(df, model, concurrency=2).collect()))
     assert got == [
-        (0, "A", None), (1, None, "status 429"), (2, "C", None), (3, None, "prompt too large"), (4, "D", None),
+        (0, "A", None), (1, None, "status 429"), (2, "C", None), (3, None, "no prompt"), (4, "D", None),
     ]
 
 

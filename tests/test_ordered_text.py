@@ -24,7 +24,18 @@ def test_parts_join_to_the_whole(spark, part_bytes):
         assert all(len(t.encode()) <= part_bytes + longest + 6 for _, t in mine)
 
 
-def test_whole_texts_keeps_groups_that_are_too_large(spark):
-    df = spark.createDataFrame([("a", 0, "xx"), ("a", 1, "yy"), ("b", 0, "z" * 9)], "g string, part_no bigint, text string")
-    got = {r["g"]: (r["text"], r["bytes"]) for r in whole_texts(df, ["g"], max_bytes=5).collect()}
-    assert got == {"a": ("xxyy", 4), "b": (None, 9)}
+def test_whole_texts_are_whole_at_any_size(spark):
+    rows = [("a", 1, "yy", 3), ("a", 0, "xx", 3), *[("b", i, "z" * (1 << 20), 4) for i in range(40)]]
+    df = spark.createDataFrame(rows, "g string, part_no bigint, text string, n int")
+    got = {r["g"]: (r["text"], r["n"]) for r in whole_texts(df, ["g"], carried=("n",)).collect()}
+    assert got == {"a": ("xxyy", 3), "b": ("z" * (40 << 20), 4)}
+
+
+def test_ranges_are_not_made_from_texts(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    seen, make = [], DataFrame.repartitionByRange
+    monkeypatch.setattr(DataFrame, "repartitionByRange", lambda self, n, *cols: seen.append(cols) or make(self, n, *cols))
+    df = spark.createDataFrame([("a", i, "t" * 50) for i in range(30)], "g string, o bigint, t string")
+    ordered_text(df, ["g"], ["o"], "t", "", 100).collect()
+    assert seen == [("g", "o")]
