@@ -215,29 +215,27 @@ def detect_functions(files: DataFrame) -> DataFrame:
     row with status ``uncovered`` and no name.
     """
     known = files.select("project", "path", "content", tx.extension(F.col("path")).alias("_ext"))
-    ready = known.join(F.broadcast(_specs(files.sparkSession)), "_ext", "left")
-    plain = ready.filter(F.col("_function_re").isNotNull()).withColumn("_text", _without_block_comments(F.col("content")))
+    # One pass over the contents: a file without functions, or of another language, gives one row without a span.
+    ready = known.join(F.broadcast(_specs(files.sparkSession)), "_ext", "left").withColumn(
+        "_covered", F.col("_function_re").isNotNull()
+    )
+    plain = ready.withColumn("_text", F.when(F.col("_covered"), _without_block_comments(F.col("content"))))
     code = plain.select(
-        "project", "path", "_indented", _code_lines(tx.text_lines(F.col("_text"))).alias("_code")
+        "project", "path", "_covered", "_indented", _code_lines(tx.text_lines(F.col("_text"))).alias("_code")
     )
     spans = code.select(
-        "project", "path",
-        F.when(F.col("_indented"), _indent_spans(F.col("_code"))).otherwise(_brace_spans(F.col("_code"))).alias("_spans"),
+        "project", "path", "_covered",
+        F.when(F.col("_covered"), F.when(F.col("_indented"), _indent_spans(F.col("_code"))).otherwise(_brace_spans(F.col("_code"))))
+        .alias("_spans"),
     )
     # By start line; of two functions on one line the outer one first.
     ordered = F.array_sort(
         F.transform("_spans", lambda s: F.struct(s["start_line"], -s["end_line"], s["name"], s["end_line"].alias("end_line")))
     )
-    found = spans.select("project", "path", F.posexplode_outer(ordered).alias("record_no", "_s")).filter(
-        F.col("_s").isNotNull()
+    return spans.select("project", "path", "_covered", F.posexplode_outer(ordered).alias("record_no", "_s")).filter(
+        F.col("_s").isNotNull() | ~F.col("_covered")
     ).select(
         "project", "path", F.replace(F.col("_s.name"), F.lit("::"), F.lit(":")).alias("name"), F.col("_s.start_line").alias("start_line"),
         F.col("_s.end_line").alias("end_line"), F.col("record_no").cast("bigint").alias("record_no"),
-        F.lit("found").alias("status"),
-    )
-    skipped = ready.filter(F.col("_function_re").isNull()).select(
-        "project", "path", F.lit(None).cast("string").alias("name"), F.lit(None).cast("bigint").alias("start_line"),
-        F.lit(None).cast("bigint").alias("end_line"), F.lit(None).cast("bigint").alias("record_no"),
-        F.lit("uncovered").alias("status"),
+        F.when(F.col("_covered"), "found").otherwise("uncovered").alias("status"),
     )
-    return found.unionByName(skipped)

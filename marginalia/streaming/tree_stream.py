@@ -30,6 +30,14 @@ class Share(InputPartition):
         self.share, self.shares = share, shares
 
 
+def _is_folder(entry: os.DirEntry) -> bool:
+    """Whether an entry is a folder; one that cannot be looked at, such as a link loop, is none."""
+    try:
+        return entry.is_dir()
+    except OSError:
+        return False
+
+
 class SourceTreeStream(DataSource):
     """``source_tree``: file names as they appear, hidden ones included; contents are read downstream.
 
@@ -74,7 +82,7 @@ class SourceTreeReader(DataSourceStreamReader):
             folder = waiting.pop(0)
             try:
                 with os.scandir(folder) as entries:
-                    below = list(islice((e.path for e in entries if e.is_dir()), self.wanted + 1))
+                    below = list(islice((e.path for e in entries if _is_folder(e)), self.wanted + 1))
             except OSError:
                 continue
             if len(below) > self.wanted:
