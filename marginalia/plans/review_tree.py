@@ -41,7 +41,7 @@ def list_projects(spark: SparkSession, roots: dict[str, str],
 
 def read_projects(files: DataFrame, most: int | None = None) -> DataFrame:
     """The text of listed files, read by tasks that got their share of the paths; ``most`` files at most."""
-    n = files.sparkSession.sparkContext.defaultParallelism * 4
+    n = tree.partitions_for(files)
     n = n if most is None else max(1, min(n, most))
     return tree.decode_text(tree.read_files(files.repartition(n, "path"))).select("project", "path", "content")
 

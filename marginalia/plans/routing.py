@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import text as tx
 from ..operators.reviews import suffix_index
@@ -16,6 +16,10 @@ def route_reviews(parsed: DataFrame, index: DataFrame, taken: DataFrame, order:
     smallest key left that ends with its name. All ask at once; a key stays with the earliest review
     that asked for it and the others ask for their next choice, until nobody is turned down. As
     every key prefers the earlier review, this ends in the same assignment as serving one by one.
+
+    Reviews that ask for one name are ranked and ask for different keys at once: a key that an earlier one
+    of them asks for, or was turned down at, is out of reach for the later ones. So rounds come from
+    reviews that meet over different names, not from the number of reviews of one name.
     """
     asks = materialize(
         parsed.select("project", order, "n_parts", "continue_flag", "next_name",
@@ -31,29 +35,34 @@ def route_reviews(parsed: DataFrame, index: DataFrame, taken: DataFrame, order:
     near = materialize(
         suffix_index(index).withColumnRenamed("suffix", "next_name")
         .join(live.select("project", "next_name").distinct(), ["project", "next_name"], "left_semi")
-        .join(taken, ["project", "key"], "left_anti"),
+        .join(taken, ["project", "key"], "left_anti")
+        .withColumn("pos", F.row_number().over(W.partitionBy("project", "next_name").orderBy("key"))),
         "near-keys",
     )
     first = (
         live.join(exact.select("project", F.col("key").alias("probe"), "path"), ["project", "probe"], "left")
         .withColumn("key", F.when(F.col("path").isNotNull(), F.col("probe")))
         .withColumn("how", F.when(F.col("path").isNotNull(), "exact"))
-        .withColumn("after", F.lit(""))
+        .withColumn("after", F.lit(0))
         .select("project", order, "next_name", "key", "path", "how", "after",
                 F.col("path").isNull().alias("asking"))
     )
     state = materialize(first, "asking")
     while True:
-        # Next choice of the reviews that were turned down: one lookup per name and position.
-        spots = state.filter("asking").select("project", "next_name", "after").distinct()
+        # Each review turned down asks for the key behind its own last one and behind those of the earlier ones.
+        same_name = W.partitionBy("project", "next_name").orderBy(order)
+        nth = F.row_number().over(same_name)
         choice = (
-            spots.join(near, ["project", "next_name"])
-            .filter(F.col("key") > F.col("after"))
-            .groupBy("project", "next_name", "after").agg(F.min(F.struct("key", "path")).alias("_c"))
+            state.filter("asking").withColumn("_nth", nth)
+            .withColumn("pos", F.col("_nth") + F.max(F.col("after") + 1 - F.col("_nth")).over(same_name))
+            .select("project", order, "next_name", "pos")
+            .join(near, ["project", "next_name", "pos"])
+            .select("project", order, F.struct("key", "path", "pos").alias("_c"))
         )
         turn = F.col("asking")
-        asked = state.join(choice, ["project", "next_name", "after"], "left").select(
-            "project", order, "next_name", "after",
+        asked = state.join(choice, ["project", order], "left").select(
+            "project", order, "next_name",
+            F.coalesce("_c.pos", "after").alias("after"),
             F.when(turn, F.col("_c.key")).otherwise(F.col("key")).alias("key"),
             F.when(turn, F.col("_c.path")).otherwise(F.col("path")).alias("path"),
             F.when(turn & F.col("_c").isNotNull(), "suffix").otherwise(F.col("how")).alias("how"),
@@ -66,9 +75,7 @@ def route_reviews(parsed: DataFrame, index: DataFrame, taken: DataFrame, order:
                 "project", order, "next_name",
                 F.when(~lost, F.col("key")).alias("key"), F.when(~lost, F.col("path")).alias("path"),
                 F.when(~lost, F.col("how")).alias("how"),
-                # Suffix choices are tried in ascending order; after an exact one they start afresh.
-                F.when(F.col("how") == "suffix", F.col("key")).otherwise(F.col("after")).alias("after"),
-                lost.alias("asking"),
+                "after", lost.alias("asking"),
             ),
             "asking",
         )

@@ -20,6 +20,8 @@ from ..storage import posix_path, run_dir
 
 LISTED = "path string, is_dir boolean, modified timestamp, length bigint"
 BATCH_BYTES = 64 << 20
+# What a task reads, about.
+TASK_BYTES = 256 << 20
 
 
 def _entries(folder: str) -> Iterator[tuple[str, bool, int, int]]:
@@ -102,6 +104,12 @@ def read_files(files: DataFrame) -> DataFrame:
     return files.mapInPandas(_read_files, f"{schema}, content binary")
 
 
+def partitions_for(files: DataFrame) -> int:
+    """How many tasks are to read listed files, by their bytes."""
+    total = files.agg(F.sum("length")).first()[0] or 0
+    return max(files.sparkSession.sparkContext.defaultParallelism * 4, -(-total // TASK_BYTES))
+
+
 def source_tree_scan(spark: SparkSession, root: str, extensions: tuple[str, ...] | None = None,
                      partitions: int | None = None) -> DataFrame:
     """Every file below ``root``: ``path, modified, length, content``.
@@ -111,8 +119,7 @@ def source_tree_scan(spark: SparkSession, root: str, extensions: tuple[str, ...]
     files = list_tree(spark, root)
     if extensions is not None:
         files = source_file_filter(files, extensions)
-    n = partitions or spark.sparkContext.defaultParallelism * 4
-    return read_files(files.repartition(n, "path"))
+    return read_files(files.repartition(partitions or partitions_for(files), "path"))
 
 
 def source_file_filter(df: DataFrame, extensions: tuple[str, ...] = tx.SOURCE_EXTENSIONS) -> DataFrame:

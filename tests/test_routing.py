@@ -28,3 +28,21 @@ def test_serving_all_at_once_equals_one_by_one(spark, seed):
     )
     rows = sorted((r["project"], r["seq"], r["status"], r["key"]) for r in got.collect())
     assert rows == brute.serve(messages, index, taken)
+
+
+def test_reviews_of_one_name_take_few_rounds(spark, monkeypatch):
+    from marginalia.plans import routing
+
+    n, written = 200, []
+    keep = routing.materialize
+    monkeypatch.setattr(routing, "materialize", lambda df, label: written.append(label) or keep(df, label))
+    index = {"p": {f"f{i:03}:n": f"f{i:03}" for i in range(n)}}
+    messages = [("p", seq, "{a``1``b``1``n``nowhere}") for seq in range(n + 5)]
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = route_reviews(
+        parse_reviews(table(messages, "project string, seq bigint, review_message string")),
+        table([("p", k, v) for k, v in index["p"].items()], "project string, key string, path string"),
+        table([], "project string, key string"),
+    )
+    assert sorted((r["project"], r["seq"], r["status"], r["key"]) for r in got.collect()) == brute.serve(messages, index, [])
+    assert written.count("asked") == 1
