@@ -239,3 +239,9 @@ def detect_functions(files: DataFrame) -> DataFrame:
         F.col("_s.end_line").alias("end_line"), F.col("record_no").cast("bigint").alias("record_no"),
         F.when(F.col("_covered"), "found").otherwise("uncovered").alias("status"),
     )
+
+
+def uncovered_files(files: DataFrame) -> DataFrame:
+    """The rows of ``files`` whose extension belongs to neither family, by ``path`` alone."""
+    known = F.broadcast(_specs(files.sparkSession).select("_ext"))
+    return files.withColumn("_ext", tx.extension(F.col("path"))).join(known, "_ext", "left_anti").drop("_ext")

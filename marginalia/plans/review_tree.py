@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
 from ..operators import lines, prompts, records, reports, walk
-from ..operators.detect import detect_functions
+from ..operators.detect import detect_functions, uncovered_files
 from ..operators.model import SETTINGS, ModelFn, complete_prompts
 from ..session import tune
 from ..sinks.files import append_records, append_review_log, dump_index, write_reports
@@ -27,16 +26,22 @@ class Review:
     records: DataFrame    # project, path, name, start_line, end_line, record_no
     reviews: DataFrame    # project, step, path, name, start_line, end_line, review_message, error, status
     reports: DataFrame    # report_path, bytes
+    skipped: DataFrame    # project, path, reason
 
 
 def list_projects(spark: SparkSession, roots: dict[str, str],
                   extensions: tuple[str, ...] = tx.SOURCE_EXTENSIONS) -> DataFrame:
     """The source files of several projects, without their contents."""
-    tables = [
-        tree.source_file_filter(tree.list_tree(spark, root), extensions).select(F.lit(project).alias("project"), "*")
-        for project, root in roots.items()
-    ]
-    return materialize(reduce(DataFrame.unionByName, tables), "files")
+    return materialize(tree.source_file_filter(tree.list_trees(spark, roots), extensions), "files")
+
+
+def skipped_files(files: DataFrame, detected: bool) -> DataFrame:
+    """``project, path, reason`` of the listed files that give no records; read when the table is asked for."""
+    contents = tree.read_files(files.repartition(tree.partitions_for(files), "path"))
+    rejects = tree.decode_rejects(contents).select("project", "path", F.lit("not readable as UTF-8").alias("reason"))
+    if not detected:
+        return rejects
+    return rejects.unionByName(uncovered_files(files).select("project", "path", F.lit("no detector for its language").alias("reason")))
 
 
 def read_projects(files: DataFrame, most: int | None = None) -> DataFrame:
@@ -106,4 +111,4 @@ def review_tree(spark: SparkSession, roots: dict[str, str], out: str, review_fn:
     append_records(found, f"{kept}/function_records", uuid.uuid4().hex)
     dump_index(records.function_index(found), f"{kept}/function_index")
     append_review_log(walked.filter(F.col("review_message").isNotNull()), f"{kept}/review_log")
-    return Review(files, found, walked, written)
+    return Review(files, found, walked, written, skipped_files(files, extract_fn is None))

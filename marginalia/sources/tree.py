@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import text as tx
 from ..storage import posix_path, run_dir
 
-LISTED = "path string, is_dir boolean, modified timestamp, length bigint"
+LISTED = "project string, path string, is_dir boolean, modified timestamp, length bigint"
 BATCH_BYTES = 64 << 20
 # What a task reads, about.
 TASK_BYTES = 256 << 20
@@ -39,18 +39,18 @@ def _entries(folder: str) -> Iterator[tuple[str, bool, int, int]]:
             yield entry.path, stat.S_ISDIR(info.st_mode), info.st_mtime_ns, info.st_size
 
 
-def _frame(rows: list[tuple[str, bool, int, int]]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=["path", "is_dir", "modified", "length"])
+def _frame(rows: list[tuple[str, str, bool, int, int]]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=["project", "path", "is_dir", "modified", "length"])
     frame["modified"] = pd.to_datetime(frame["modified"] // 1000, unit="us", utc=True)
     return frame
 
 
 def _list_folders(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        for folder in frame["path"]:
-            rows: list[tuple[str, bool, int, int]] = []
+        for project, folder in zip(frame["project"], frame["path"]):
+            rows: list[tuple[str, str, bool, int, int]] = []
             for row in _entries(folder):
-                rows.append(row)
+                rows.append((project, *row))
                 if len(rows) == 10_000:
                     yield _frame(rows)
                     rows = []
@@ -60,19 +60,24 @@ def _list_folders(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
     """All files below ``root``: ``path, modified, length``. One job per level of the tree."""
+    return list_trees(spark, {"": root}).drop("project")
+
+
+def list_trees(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
+    """All files of several projects: ``project, path, modified, length``. One job per level of the deepest tree."""
     base = run_dir(spark, "listing")
-    level, folders = 0, spark.createDataFrame([(posix_path(root),)], "path string")
+    level, folders = 0, spark.createDataFrame([(p, posix_path(root)) for p, root in roots.items()], "project string, path string")
     while True:
         out = f"{base}/level={level}"
         folders.mapInPandas(_list_folders, LISTED).write.parquet(out)
-        found = spark.read.schema(LISTED).parquet(out).filter("is_dir").select("path")
+        found = spark.read.schema(LISTED).parquet(out).filter("is_dir").select("project", "path")
         # Deal the next level out evenly, however its folders are spread.
         folders = found.repartition(spark.sparkContext.defaultParallelism * 4)
         if found.isEmpty():
             break
         level += 1
     files = spark.read.schema(LISTED).parquet(base).filter("not is_dir")
-    return files.select("path", "modified", "length")
+    return files.select("project", "path", "modified", "length")
 
 
 def _read_files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
