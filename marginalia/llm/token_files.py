@@ -18,11 +18,11 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from ..storage import materialize, run_dir
+from ..storage import run_dir
 from .word_ids import word_ids
 
 BLOCK_IDS = 1 << 20
-BLOCK_FIELDS = ("block int, before long, doc_ids array<long>, lengths array<long>, n_ids long, control binary, data binary")
+PLACE = "block int, before long, doc_ids array<long>, lengths array<long>, n_ids long"
 
 
 def pack(ranks) -> tuple[bytes, bytes]:
@@ -51,23 +51,60 @@ def unpack(control: bytes, data: bytes, n: int):
     return ranks
 
 
-def encode_documents(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """``doc_id, ids``: the ids of each text and the end id, as little-endian 32-bit integers."""
+def _table(rows: list[list], streams: list[str]):
+    """Block rows as an Arrow batch: the columns of ``PLACE`` and byte streams."""
+    import pyarrow as pa
+
+    kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), *[pa.binary()] * len(streams)]
+    names = ["block", "before", "doc_ids", "lengths", "n_ids", *streams]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+
+def id_blocks(docs: DataFrame, path: str, end_id: int, block_ids: int = BLOCK_IDS) -> DataFrame:
+    """The documents' ids in ascending ``doc_id`` order: ``shard``, the columns of ``PLACE`` and ``ids``.
+
+    Texts are sorted, not ids, so that each is tokenized once; ``ids`` has two bytes an id where that is enough.
+    """
 
     def run(batches: Iterator):
-        import pyarrow as pa
+        import numpy as np
 
         encode, end = word_ids(path).encode, end_id.to_bytes(4, "little")
+        block, before, keys, parts, held = 0, 0, [], [], 0
+
+        def flush():
+            nonlocal block, before, keys, parts, held
+            ids = np.concatenate(parts)
+            row = [block, before, keys, [len(p) for p in parts], held, ids.astype("<u2" if ids.max() < 1 << 16 else "<u4").tobytes()]
+            block, before, keys, parts, held = block + 1, before + held, [], [], 0
+            return _table([row], ["ids"])
+
         for batch in batches:
-            ids = [encode(t.as_py()) + end for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            for key, text in zip(batch.column(0), batch.column(1)):
+                part = np.frombuffer(encode(text.as_py()) + end, "<u4")
+                if held and held + len(part) > block_ids:
+                    yield flush()
+                keys.append(key.as_py())
+                parts.append(part)
+                held += len(part)
+        if held:
+            yield flush()
+
+    spark = docs.sparkSession
+    shards = max(1, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    given = docs.select(F.col("doc_id").cast("long"), "text").withColumn("tie", F.xxhash64("text"))
+    ordered = given.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
+    return ordered.mapInArrow(run, f"{PLACE}, ids binary").select(F.spark_partition_id().alias("shard"), "*")
+
+
+def _ids(stream: bytes, n: int):
+    import numpy as np
 
-    given = docs.select(F.col("doc_id").cast("long"), "text")
-    return given.mapInArrow(run, "doc_id long, ids binary")
+    return np.frombuffer(stream, "<u2" if len(stream) == 2 * n else "<u4")
 
 
-def id_counts(encoded: DataFrame) -> DataFrame:
-    """``id, n`` over all rows; each task sums up its own rows first."""
+def id_counts(blocks: DataFrame) -> DataFrame:
+    """``id, n`` over all blocks; each task sums up its own blocks first."""
 
     def run(batches: Iterator):
         import numpy as np
@@ -75,22 +112,24 @@ def id_counts(encoded: DataFrame) -> DataFrame:
 
         total = np.zeros(1, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                seen = np.bincount(np.frombuffer(ids.as_py(), "<u4"))
+            for n, ids in zip(batch.column(0), batch.column(1)):
+                seen = np.bincount(_ids(ids.as_py(), n.as_py()))
                 if len(seen) > len(total):
                     seen, total = total, seen.astype(np.int64)
                 total[:len(seen)] += seen
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
 
-    return encoded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return blocks.select("n_ids", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, block_ids: int = BLOCK_IDS) -> None:
     spark = docs.sparkSession
-    encoded = materialize(encode_documents(docs, path, end_id), "ids")
+    raw = run_dir(spark, "ids")
+    id_blocks(docs, path, end_id, block_ids).write.option("compression", "zstd").parquet(raw)
+    blocks = spark.read.parquet(raw)
     # One row per id of the vocabulary at most, here and in each task.
-    by_rank = [r["id"] for r in id_counts(encoded).orderBy(F.desc("n"), "id").collect()]
+    by_rank = [r["id"] for r in id_counts(blocks).orderBy(F.desc("n"), "id").collect()]
     spark.createDataFrame([(r, i) for r, i in enumerate(by_rank)], "rank long, id long").coalesce(1).write.parquet(f"{folder}/ranks")
 
     def run(batches: Iterator):
@@ -99,33 +138,15 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, bloc
 
         rank_of = np.zeros(max(by_rank, default=0) + 1, np.uint32)
         rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
-        block, before, keys, parts, held = 0, 0, [], [], 0
-
-        def flush():
-            nonlocal block, before, keys, parts, held
-            control, data = pack(rank_of[np.concatenate(parts)])
-            row = [block, before, keys, [len(p) for p in parts], held, control, data]
-            block, before, keys, parts, held = block + 1, before + held, [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=names)
-
-        names = ["block", "before", "doc_ids", "lengths", "n_ids", "control", "data"]
-        kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary()]
         for batch in batches:
-            for key, ids in zip(batch.column(0), batch.column(1)):
-                part = np.frombuffer(ids.as_py(), "<u4")
-                if held and held + len(part) > block_ids:
-                    yield flush()
-                keys.append(key.as_py())
-                parts.append(part)
-                held += len(part)
-        if held:
-            yield flush()
-
-    shards = max(1, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = encoded.withColumn("tie", F.xxhash64("ids")).repartitionByRange(shards, "doc_id", "tie")
-    ordered = ranged.sortWithinPartitions("doc_id", "tie", "ids").select("doc_id", "ids")
-    blocks = ordered.mapInArrow(run, BLOCK_FIELDS).select(F.spark_partition_id().alias("shard"), "*")
-    blocks.write.parquet(f"{folder}/blocks")
+            for *place, ids in zip(*batch.columns):
+                place = [p.as_py() for p in place]
+                yield _table([[*place[1:], *pack(rank_of[_ids(ids.as_py(), place[5])])]], ["control", "data"]).add_column(
+                    0, "shard", pa.array([place[0]], pa.int32()))
+
+    coded = blocks.select("shard", "block", "before", "doc_ids", "lengths", "n_ids", "ids").mapInArrow(
+        run, f"shard int, {PLACE}, control binary, data binary")
+    coded.write.option("compression", "zstd").parquet(f"{folder}/blocks")
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
