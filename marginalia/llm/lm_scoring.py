@@ -29,9 +29,9 @@ from .words import grams, hash_words, in_runs
 
 ORDER = 2
 BACKOFF = 0.4
-RUN_CHARS = 1 << 23
+RUN_CHARS = 1 << 22
 # Characters of text whose n-grams make one part of a count table, about.
-PART_CHARS = 1 << 24
+PART_CHARS = 1 << 23
 
 
 def _planes(values, width: int) -> bytes:
