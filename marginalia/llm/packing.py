@@ -124,4 +124,5 @@ def best_fit_packing(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Tokenize, cut and pack: one row per piece."""
-    return best_fit_packing(pieces(docs, path, capacity, end_id), capacity)
+    # Written first: the range sort reads its rows twice, and they are to be tokenized once.
+    return best_fit_packing(materialize(pieces(docs, path, capacity, end_id), "pieces"), capacity)
