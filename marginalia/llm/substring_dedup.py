@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, functions as F
 
 from ..storage import materialize
+from .common import worker_state
 from .words import grams, hash_words, in_runs
 
 SEED_WORDS = 8
@@ -36,6 +37,8 @@ BAND = 12
 MARGIN = 128
 # Links in one task's group, about; a document's links stay together.
 GROUP_LINKS = 50_000
+# Requests for words of one document that are put into one row; a document asked by many has several rows.
+LIST_REQUESTS = 256
 
 
 def seeds_of(hashes):
@@ -150,36 +153,53 @@ def chains(linked: DataFrame, groups: int) -> DataFrame:
     return linked.groupBy(group).applyInPandas(_chains, "doc_id long, from_id long, n int, xs array<int>, ys array<int>")
 
 
+def _steps():
+    """What it costs to go on after a difference, by the words skipped on either side; equal numbers first."""
+    import numpy as np
+
+    p, q = np.indices((BAND + 1, BAND + 1))
+    return (p + q) * 100 + abs(p - q)
+
+
+def _go_on(a, b) -> tuple[int, int] | None:
+    """The nearest places in the band from where four words agree."""
+    import numpy as np
+
+    cost = worker_state("alignment steps", _steps)
+    same = a[:BAND + 4, None] == b[None, :BAND + 4]
+    if min(same.shape) < 4:
+        return None
+    four = same[:-3, :-3] & same[1:-2, 1:-2] & same[2:-1, 2:-1] & same[3:, 3:]
+    at = np.flatnonzero(four)
+    if not len(at):
+        return None
+    p, q = np.divmod(at, four.shape[1])
+    best = cost[p, q].argmin()
+    return int(p[best]), int(q[best])
+
+
 def _stretch(a, b) -> tuple[int, int, int]:
     """How far ``a`` and ``b`` go along from their beginnings, and how many words agree.
 
     After a difference the nearest place within the band is taken where four words agree again.
     """
-    import numpy as np
-
     i = j = agree = 0
     done = (0, 0, 0)
     while True:
         n = min(len(a) - i, len(b) - j)
-        differs = np.flatnonzero(a[i:i + n] != b[j:j + n])
-        same = int(differs[0]) if len(differs) else n
+        differs = a[i:i + n] != b[j:j + n]
+        same = int(differs.argmax()) if n else 0
+        if n and not differs[same]:
+            same = n
         i, j, agree = i + same, j + same, agree + same
         if agree < SIMILARITY * max(i, j):
             return done
         if same:
             done = (i, j, agree)
-        found = None
-        for total in range(1, 2 * BAND + 1):
-            for d in sorted(range(max(0, total - BAND), min(BAND, total) + 1), key=lambda d: abs(2 * d - total)):
-                p, q = i + d, j + total - d
-                if p + 4 <= len(a) and q + 4 <= len(b) and a[p] == b[q] and (a[p:p + 4] == b[q:q + 4]).all():
-                    found = (p, q)
-                    break
-            if found:
-                break
+        found = _go_on(a[i:], b[j:])
         if not found:
             return done
-        i, j = found
+        i, j = i + found[0], j + found[1]
 
 
 def _segments(pdf):
@@ -187,61 +207,66 @@ def _segments(pdf):
     import numpy as np
     import pandas as pd
 
-    mine, theirs = {}, {}
-    for row in pdf.itertuples(index=False):
-        (mine if row.own else theirs)[row.doc_id, row.from_id, row.n] = row
+    key = ["doc_id", "from_id", "n"]
+    pdf = pdf.drop_duplicates(["own", *key])
+    both = pdf[pdf["own"]].merge(pdf[~pdf["own"]], on=key)
     found: dict[int, list] = {}
-    for key, row in mine.items():
-        other = theirs.get(key)
-        if other is None:
-            continue
-        a, b = np.frombuffer(row.words, np.uint16), np.frombuffer(other.words, np.uint16)
+    for doc_id, from_id, xs, ys, x_first, y_first, x_words, y_words in zip(*[
+            both[c] for c in ("doc_id", "from_id", "places_x", "places_y", "first_x", "first_y", "words_x", "words_y")]):
+        a, b = np.frombuffer(x_words, np.uint16), np.frombuffer(y_words, np.uint16)
         covered = -1
-        for x, y in zip(row.places, other.places):
+        for x, y in zip(xs.tolist(), ys.tolist()):
             if x < covered:
                 continue
-            i, j = x - row.first, y - other.first
+            i, j = x - x_first, y - y_first
             right = _stretch(a[i:], b[j:])
             left = _stretch(a[:i][::-1], b[:j][::-1])
-            size, agree = left[0] + right[0], left[2] + right[2]
+            agree = left[2] + right[2]
             covered = x + max(right[0], 1)
             if agree >= SEGMENT_WORDS:
-                found.setdefault(key[0], []).append((x - left[0], x + right[0], agree, key[1], y - left[1]))
+                found.setdefault(doc_id, []).append((x - left[0], x + right[0], agree, from_id, y - left[1]))
     rows = []
     for doc_id, segments in found.items():
         run: list = []
         for s in [*sorted(segments), None]:
-            if s is not None and run and s[0] <= max(r[1] for r in run) + 2:
+            if s is not None and run and s[0] <= end + 2:
                 run.append(s)
+                end = max(end, s[1])
                 continue
-            if run:
-                start, end = run[0][0], max(r[1] for r in run)
-                if end - start > PASSAGE_WORDS:
-                    main = max(run, key=lambda r: (r[2], -r[3]))
-                    rows.append((doc_id, start, end - start, main[3], main[4], main[2], sorted({r[3] for r in run})))
-            run = [s]
+            if run and end - run[0][0] > PASSAGE_WORDS:
+                main = max(run, key=lambda r: (r[2], -r[3]))
+                rows.append((doc_id, run[0][0], end - run[0][0], main[3], main[4], main[2], sorted({r[3] for r in run})))
+            run, end = [s], s[1] if s is not None else 0
     return pd.DataFrame(rows, columns=["doc_id", "first_word", "n_words", "from_id", "from_word", "n_agree", "source_ids"])
 
 
 def _cut_words(batches: Iterator):
-    """The words each request asks for, as 16-bit hashes; requests of one document come one after another."""
+    """The words that each document's requests ask for, as 16-bit hashes; a row per request."""
     import numpy as np
     import pyarrow as pa
 
-    last, hashes = None, None
     names = ["own", "doc_id", "from_id", "n", "places", "first", "words"]
     for batch in batches:
-        out = []
-        for own, doc_id, from_id, n, places, text in zip(*[c for c in batch.columns]):
-            owner = doc_id.as_py() if own.as_py() else from_id.as_py()
-            if owner != last:
-                last, hashes = owner, hash_words([text.as_py() or ""])[0].astype(np.uint16)
-            at = places.as_py()
-            first = max(at[0] - MARGIN, 0)
-            out.append((own.as_py(), doc_id.as_py(), from_id.as_py(), n.as_py(), at, first, hashes[first:at[-1] + SEED_WORDS + MARGIN].tobytes()))
-        kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.binary()]
-        columns = list(zip(*out)) or [[]] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+        for at in range(batch.num_rows):
+            asked = batch.column(0)[at].values
+            hashes = hash_words([batch.column(1)[at].as_py() or ""])[0].astype(np.uint16)
+            first = np.maximum(asked.field("low").to_numpy() - MARGIN, 0)
+            ends = asked.field("high").to_numpy() + SEED_WORDS + MARGIN
+            words = [hashes[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist())]
+            yield pa.RecordBatch.from_arrays([
+                *[asked.field(n) for n in names[:5]], pa.array(first.astype(np.int32)), pa.array(words, pa.binary())], names=names)
+
+
+def _requests(found: DataFrame) -> DataFrame:
+    """``owner, asked``: which words are wanted of a document, in lists of about ``LIST_REQUESTS``."""
+    def one(own: bool, owner: str, places: str):
+        return found.select(F.col(owner).alias("owner"), F.lit(own).alias("own"), "doc_id", "from_id", "n", F.col(places).alias("places"))
+
+    wanted = one(True, "doc_id", "xs").unionByName(one(False, "from_id", "ys"))
+    counts = materialize(wanted.groupBy("owner").agg(F.ceil(F.count(F.lit(1)) / LIST_REQUESTS).alias("lists")), "requests")
+    row = F.struct("own", "doc_id", "from_id", "n", "places", F.get("places", F.lit(0)).alias("low"), F.element_at("places", -1).alias("high"))
+    salt = F.pmod(F.xxhash64("own", "doc_id", "from_id", "n"), "lists")
+    return wanted.join(counts, "owner").groupBy("owner", salt.alias("salt")).agg(F.collect_list(row).alias("asked")).drop("salt")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -252,11 +277,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     linked = materialize(links(docs), "links")
     groups = max(1, linked.count() // GROUP_LINKS)
     found = materialize(chains(linked, groups), "chains")
-    own = found.select(F.lit(True).alias("own"), "doc_id", "from_id", "n", F.col("xs").alias("places"), F.col("doc_id").alias("_owner"))
-    other = found.select(F.lit(False).alias("own"), "doc_id", "from_id", "n", F.col("ys").alias("places"), F.col("from_id").alias("_owner"))
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
-    asked = own.unionByName(other).join(texts, F.col("_owner") == F.col("_id"))
-    cut = asked.select("own", "doc_id", "from_id", "n", "places", "text").mapInArrow(
+    cut = _requests(found).join(texts, F.col("owner") == F.col("_id")).select("asked", "text").mapInArrow(
         _cut_words, "own boolean, doc_id long, from_id long, n int, places array<int>, first int, words binary")
     group = F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("g")
     return cut.groupBy(group).applyInPandas(
