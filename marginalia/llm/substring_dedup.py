@@ -266,7 +266,9 @@ def _requests(found: DataFrame) -> DataFrame:
     counts = materialize(wanted.groupBy("owner").agg(F.ceil(F.count(F.lit(1)) / LIST_REQUESTS).alias("lists")), "requests")
     row = F.struct("own", "doc_id", "from_id", "n", "places", F.get("places", F.lit(0)).alias("low"), F.element_at("places", -1).alias("high"))
     salt = F.pmod(F.xxhash64("own", "doc_id", "from_id", "n"), "lists")
-    return wanted.join(counts, "owner").groupBy("owner", salt.alias("salt")).agg(F.collect_list(row).alias("asked")).drop("salt")
+    # Dealt out by owner and list: the join's partitions would gather a document that many ask for in one task.
+    dealt = wanted.join(counts, "owner").select("owner", salt.alias("salt"), row.alias("row")).repartition("owner", "salt")
+    return dealt.groupBy("owner", "salt").agg(F.collect_list("row").alias("asked")).drop("salt")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
