@@ -27,12 +27,13 @@ class DocumentTree:
         import numpy as np
 
         self.bpe = bpe
-        self.leaves = [[piece] for piece in bpe.find(text)]
+        pieces = bpe.find(text)
+        self.leaves = [[piece] for piece in pieces]
         self.encoded = 0  # pre-tokens encoded because of edits
         n = max(len(self.leaves), 1)
         self.size = 1 << (n - 1).bit_length()
-        self.chars = self._sums(np.fromiter((len(p[0]) for p in self.leaves), np.int64, len(self.leaves)))
-        self.tokens = self._sums(np.fromiter((len(bpe[p[0]]) >> 2 for p in self.leaves), np.int64, len(self.leaves)))
+        self.chars = self._sums(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        self.tokens = self._sums(np.fromiter(map(len, map(bpe.__getitem__, pieces)), np.int64, len(pieces)) >> 2)
 
     def _sums(self, leaf):
         import numpy as np
