@@ -20,7 +20,9 @@ from pyspark.sql import DataFrame, functions as F
 from .common import worker_state
 
 # Pre-tokens whose ids a worker keeps; when full it starts anew, which changes no result.
-CACHED = 400_000
+CACHED = 600_000
+# Pre-tokens up to this length are merged without calls to the queue.
+INLINE_BYTES = 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -29,41 +31,51 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Positions by rank; ``pop`` gives the leftmost position of the lowest filled rank."""
+    """Positions by rank; ``pop`` gives the leftmost position of the lowest filled rank.
+
+    A bucket with one position is that number, with more a heap.
+    """
 
     def __init__(self, ranks: int):
         self.leaf = [0] * ((ranks >> 6) + 1)
         self.middle = [0] * ((ranks >> 12) + 1)
         self.top = 0  # one bit for each middle word
-        self.bucket: dict[int, list[int]] = {}
+        self.bucket: dict[int, int | list[int]] = {}
 
     def push(self, rank: int, position: int) -> None:
-        bucket = self.bucket.get(rank)
-        if bucket is None:
-            self.bucket[rank] = [position]
+        held = self.bucket.setdefault(rank, position)
+        if held is position:
             self.leaf[rank >> 6] |= 1 << (rank & 63)
             self.middle[rank >> 12] |= 1 << (rank >> 6 & 63)
             self.top |= 1 << (rank >> 12)
+        elif type(held) is int:
+            if held != position:
+                self.bucket[rank] = [held, position] if held < position else [position, held]
         else:
-            heappush(bucket, position)
+            heappush(held, position)
 
     def pop(self) -> tuple[int, int] | None:
-        if not self.top:
+        top = self.top
+        if not top:
             return None
-        high = (self.top & -self.top).bit_length() - 1
+        high = (top & -top).bit_length() - 1
         word = self.middle[high]
         mid = high << 6 | (word & -word).bit_length() - 1
         word = self.leaf[mid]
         rank = mid << 6 | (word & -word).bit_length() - 1
-        bucket = self.bucket[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.bucket[rank]
-            self.leaf[mid] &= ~(1 << (rank & 63))
-            if not self.leaf[mid]:
-                self.middle[high] &= ~(1 << (mid & 63))
-                if not self.middle[high]:
-                    self.top &= ~(1 << high)
+        position = self.bucket[rank]
+        if type(position) is not int:
+            held, position = position, heappop(position)
+            if held:
+                return rank, position
+        del self.bucket[rank]
+        word &= word - 1
+        self.leaf[mid] = word
+        if not word:
+            word = self.middle[high] & ~(1 << (mid & 63))
+            self.middle[high] = word
+            if not word:
+                self.top = top & ~(1 << high)
         return rank, position
 
 
@@ -85,19 +97,85 @@ class ByteBpe(dict):
         return ids
 
     def merged(self, piece: bytes) -> tuple[int, ...]:
-        ranks, queue, n = self.ranks, self.queue, len(piece)
-        if piece in ranks:
-            return (ranks[piece],)
+        rank_of, n = self.ranks.get, len(piece)
+        rank = rank_of(piece)
+        if rank is not None:
+            return (rank,)
+        if n > INLINE_BYTES:
+            return self._merged_by_queue(piece)
+        # The queue's steps again without its calls: they are most of the time of a short pre-token.
+        queue = self.queue
+        leaf, middle, bucket, top = queue.leaf, queue.middle, queue.bucket, 0
+        after, before, waiting = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
+        todo = range(n - 1)
+        while True:
+            for i in todo:
+                rank = waiting[i] = rank_of(piece[i:after[after[i]]], -1)
+                if rank < 0:
+                    continue
+                if rank in bucket:
+                    held = bucket[rank]
+                    if type(held) is int:
+                        bucket[rank] = [held, i] if held < i else [i, held]
+                    else:
+                        heappush(held, i)
+                else:
+                    bucket[rank] = i
+                    word = rank >> 6
+                    leaf[word] |= 1 << (rank & 63)
+                    middle[word >> 6] |= 1 << (word & 63)
+                    top |= 1 << (rank >> 12)
+            while top:
+                high = (top & -top).bit_length() - 1
+                word = middle[high]
+                mid = high << 6 | (word & -word).bit_length() - 1
+                word = leaf[mid]
+                rank = mid << 6 | (word & -word).bit_length() - 1
+                i = bucket[rank]
+                if type(i) is not int:
+                    held, i = i, heappop(i)
+                    if held:
+                        if waiting[i] == rank:
+                            break
+                        continue
+                del bucket[rank]
+                leaf[mid] = word = word & (word - 1)
+                if not word:
+                    middle[high] = word = middle[high] & ~(1 << (mid & 63))
+                    if not word:
+                        top &= ~(1 << high)
+                if waiting[i] == rank:
+                    break
+            else:
+                break
+            gone = after[i]
+            after[i] = end = after[gone]
+            waiting[gone] = waiting[i] = -1
+            left = before[i]
+            if end < n:
+                before[end] = i
+                todo = (i, left) if left >= 0 else (i,)
+            else:
+                todo = (left,) if left >= 0 else ()
+        out, i = [], 0
+        while i < n:
+            out.append(rank_of(piece[i:after[i]]))
+            i = after[i]
+        return tuple(out)
+
+    def _merged_by_queue(self, piece: bytes) -> tuple[int, ...]:
+        rank_of, n = self.ranks.get, len(piece)
+        push, pop = self.queue.push, self.queue.pop
         # The part at i runs up to after[i]; before[i] is the part to its left; waiting[i] is the rank of i and its right neighbour.
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
         waiting = [-1] * n
         for i in range(n - 1):
-            rank = ranks.get(piece[i:i + 2])
+            rank = rank_of(piece[i:i + 2])
             if rank is not None:
                 waiting[i] = rank
-                queue.push(rank, i)
-        while (entry := queue.pop()) is not None:
+                push(rank, i)
+        while (entry := pop()) is not None:
             rank, i = entry
             if waiting[i] != rank:
                 continue  # stale
@@ -106,19 +184,19 @@ class ByteBpe(dict):
             after[i], waiting[gone] = end, -1
             if end < n:
                 before[end] = i
-                waiting[i] = r = ranks.get(piece[i:after[end]], -1)
-                if r >= 0:
-                    queue.push(r, i)
+                waiting[i] = rank = rank_of(piece[i:after[end]], -1)
+                if rank >= 0:
+                    push(rank, i)
             else:
                 waiting[i] = -1
             left = before[i]
             if left >= 0:
-                waiting[left] = r = ranks.get(piece[left:end], -1)
-                if r >= 0:
-                    queue.push(r, left)
+                waiting[left] = rank = rank_of(piece[left:end], -1)
+                if rank >= 0:
+                    push(rank, left)
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i:after[i]]])
+            out.append(rank_of(piece[i:after[i]]))
             i = after[i]
         return tuple(out)
 
