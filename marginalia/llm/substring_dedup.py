@@ -1,12 +1,12 @@
 """Passages that repeat across documents, also with small changes, by collinear chaining.
 
-1. Seeds: of each ``WINDOW`` consecutive runs of ``SEED_WORDS`` words the one with the smallest hash, so that two texts that
-   share ``SEED_WORDS + WINDOW - 1`` words in a row share a seed, whatever surrounds it.
+1. Seeds: runs of ``SEED_WORDS`` words, one in ``KEEP`` by their hash alone, so that a run that survives an edit is a seed on both
+   sides or on neither; and of each ``WINDOW`` consecutive runs the one with the smallest hash, so that no equal stretch is without.
 2. Each seed links its places to its first place in the corpus (smallest ``doc_id``, then smallest position): a star, never all pairs.
 3. The links of a document to one other document are chained in order: a Fenwick tree over positions gives the best
-   predecessor under a gap cost that is linear in the words skipped.
+   predecessor under a gap cost that is linear in the words skipped. A chain needs two seeds: one alone is mostly chance.
 4. Only the words around each chain are fetched; both sides are aligned outwards from the chain's seeds, over
-   substitutions, insertions and deletions, while at least ``SIMILARITY`` of the words agree.
+   substitutions, insertions and deletions, as far as at least ``SIMILARITY`` of the words agree.
 5. Aligned segments of a document are merged; a run of more than ``PASSAGE_WORDS`` words is a repeated passage. The first
    place of a passage in the corpus is not reported.
 
@@ -17,6 +17,7 @@ repeat within one document only are not looked for; an empty table gives an empt
 
 from __future__ import annotations
 
+import collections
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
@@ -25,14 +26,18 @@ from ..storage import materialize
 from .common import worker_state
 from .words import grams, hash_words, in_runs
 
-SEED_WORDS = 8
+SEED_WORDS = 4
+KEEP = 3
 WINDOW = 16
 PASSAGE_WORDS = 50
 SIMILARITY = 0.8
 # A chain gains a seed's words per seed and pays for each skipped word of either side.
-GAP_COST = 0.1
+GAP_COST = 0.05
 SEGMENT_WORDS = 16
-BAND = 12
+# Words skipped on either side of a difference; the wide band is tried where the narrow one has nothing.
+BAND, WIDE_BAND = 12, 48
+# Words by which an alignment may fall short of the similarity on its way.
+SLACK = 16
 # Words fetched on either side of a chain: seeds of a passage may all have their first place elsewhere for a while.
 MARGIN = 128
 # Links in one task's group, about; a document's links stay together.
@@ -49,10 +54,10 @@ def seeds_of(hashes):
     if not len(runs):
         return np.zeros(0, np.int64), runs
     if len(runs) <= WINDOW:
-        at = np.array([runs.argmin()])
+        at = np.union1d([runs.argmin()], np.flatnonzero(runs < np.uint64((1 << 64) // KEEP)))
     else:
         windows = np.lib.stride_tricks.sliding_window_view(runs, WINDOW)
-        at = np.unique(windows.argmin(1) + np.arange(len(windows)))
+        at = np.union1d(windows.argmin(1) + np.arange(len(windows)), np.flatnonzero(runs < np.uint64((1 << 64) // KEEP)))
     return at, runs[at]
 
 
@@ -143,7 +148,11 @@ def _chains(pdf):
         steps = set(np.diff(xs[lo:hi] - ys[lo:hi]).tolist())
         # One diagonal without large gaps is its own best chain.
         plain = steps <= {0} and (hi - lo < 2 or np.diff(xs[lo:hi]).max() * 2 * GAP_COST < SEED_WORDS) and (hi - lo < 2 or np.diff(xs[lo:hi]).min() > 0)
+        again = collections.Counter(y)
         for n, path in enumerate([list(range(hi - lo))] if plain else chain(x, y)):
+            # A text that repeats itself has many places of one seed, which cannot follow each other.
+            if len(path) < 2 and again[y[path[0]]] < 2:
+                continue
             rows.append((a[lo], b[lo], n, [x[i] for i in path], [y[i] for i in path]))
     return pd.DataFrame(rows, columns=["doc_id", "from_id", "n", "xs", "ys"])
 
@@ -153,11 +162,11 @@ def chains(linked: DataFrame, groups: int) -> DataFrame:
     return linked.groupBy(group).applyInPandas(_chains, "doc_id long, from_id long, n int, xs array<int>, ys array<int>")
 
 
-def _steps():
+def _steps(band: int):
     """What it costs to go on after a difference, by the words skipped on either side; equal numbers first."""
     import numpy as np
 
-    p, q = np.indices((BAND + 1, BAND + 1))
+    p, q = np.indices((band + 1, band + 1))
     return (p + q) * 100 + abs(p - q)
 
 
@@ -165,41 +174,65 @@ def _go_on(a, b) -> tuple[int, int] | None:
     """The nearest places in the band from where four words agree."""
     import numpy as np
 
-    cost = worker_state("alignment steps", _steps)
-    same = a[:BAND + 4, None] == b[None, :BAND + 4]
-    if min(same.shape) < 4:
-        return None
-    four = same[:-3, :-3] & same[1:-2, 1:-2] & same[2:-1, 2:-1] & same[3:, 3:]
-    at = np.flatnonzero(four)
-    if not len(at):
-        return None
-    p, q = np.divmod(at, four.shape[1])
-    best = cost[p, q].argmin()
-    return int(p[best]), int(q[best])
-
-
-def _stretch(a, b) -> tuple[int, int, int]:
-    """How far ``a`` and ``b`` go along from their beginnings, and how many words agree.
-
-    After a difference the nearest place within the band is taken where four words agree again.
+    for band in (BAND, WIDE_BAND):
+        cost = worker_state(f"alignment steps {band}", lambda: _steps(band))
+        same = a[:band + 4, None] == b[None, :band + 4]
+        if min(same.shape) < 4:
+            return None
+        four = same[:-3, :-3] & same[1:-2, 1:-2] & same[2:-1, 2:-1] & same[3:, 3:]
+        at = np.flatnonzero(four)
+        if len(at):
+            p, q = np.divmod(at, four.shape[1])
+            best = cost[p, q].argmin()
+            return int(p[best]), int(q[best])
+    return None
+
+
+def _stretch(a, b) -> list[tuple[int, int, int]]:
+    """Places up to which ``a`` and ``b`` go along from their beginnings: words of either, and how many of them agree.
+
+    After a difference the words go on side by side if five of the next eight agree, else from the nearest place where
+    four words agree again.
     """
     i = j = agree = 0
-    done = (0, 0, 0)
+    points = [(0, 0, 0)]
     while True:
         n = min(len(a) - i, len(b) - j)
-        differs = a[i:i + n] != b[j:j + n]
-        same = int(differs.argmax()) if n else 0
-        if n and not differs[same]:
+        equal = a[i:i + n] == b[j:j + n]
+        same = int(equal.argmin()) if n else 0
+        if n and equal[same]:
             same = n
         i, j, agree = i + same, j + same, agree + same
-        if agree < SIMILARITY * max(i, j):
-            return done
         if same:
-            done = (i, j, agree)
+            points.append((i, j, agree))
+        if agree < SIMILARITY * max(i, j) - SLACK:
+            return points
+        if int(equal[same + 1:same + 9].sum()) >= 5:
+            i, j = i + 1, j + 1
+            continue
         found = _go_on(a[i:], b[j:])
         if not found:
-            return done
-        i, j = i + found[0], j + found[1]
+            return points
+        p, q = found
+        if p == q:
+            agree += int((a[i:i + p] == b[j:j + p]).sum())
+        i, j = i + p, j + q
+
+
+def _both_ways(left: list, right: list) -> tuple:
+    """The places on either side with the most words between of which at least ``SIMILARITY`` agree."""
+    import numpy as np
+
+    ends = np.array(right)
+    best, most = (left[0], right[0]), 0
+    for point in left:
+        whole = ends + point
+        good = np.flatnonzero(whole[:, 2] >= SIMILARITY * whole[:, :2].max(1))
+        if len(good):
+            at = good[whole[good, 0].argmax()]
+            if whole[at, 0] > most:
+                best, most = (point, right[at]), whole[at, 0]
+    return best
 
 
 def _segments(pdf):
@@ -219,8 +252,7 @@ def _segments(pdf):
             if x < covered:
                 continue
             i, j = x - x_first, y - y_first
-            right = _stretch(a[i:], b[j:])
-            left = _stretch(a[:i][::-1], b[:j][::-1])
+            left, right = _both_ways(_stretch(a[:i][::-1], b[:j][::-1]), _stretch(a[i:], b[j:]))
             agree = left[2] + right[2]
             covered = x + max(right[0], 1)
             if agree >= SEGMENT_WORDS:

@@ -240,6 +240,31 @@ def test_shared_passages_are_found_exact_and_fuzzy(spark):
     assert left[6].n_chars == len(left[6].text)
 
 
+def test_recall_of_changed_passages(spark):
+    rng = random.Random(17)
+    new, n = lambda: plain.prose(rng, 1, 9000), 60
+    for every, least in ((5, 0.85), (7, 0.95), (8, 0.95), (10, 0.97)):
+        texts, copies = [], []
+        for _ in range(n):
+            words = plain.prose(rng, 80, 9000).split()
+            changed = [new() if i % every == every - 1 else w for i, w in enumerate(words)]
+            texts.append(f"{plain.prose(rng, 40, 9000)} {' '.join(words)} {plain.prose(rng, 40, 9000)}")
+            copies.append(f"{plain.prose(rng, 40, 9000)} {' '.join(changed)} {plain.prose(rng, 40, 9000)}")
+        found = passages_of(substring_dedup.repeated_passages(documents(spark, texts + copies)))
+        whole = [d for d in range(n, 2 * n) if len(set(range(40, 120)) & found.get(d, set())) >= 0.85 * 80]
+        print(f"one word in {every} changed: {len(whole)} of {n} passages found")
+        assert len(whole) >= least * n
+        assert not any(d < n or not words <= set(range(30, 130)) for d, words in found.items())
+
+
+def test_a_long_insertion_does_not_end_a_passage(spark):
+    rng = random.Random(18)
+    words = plain.prose(rng, 100, 9000).split()
+    longer = words[:50] + plain.prose(rng, 18, 9000).split() + words[50:]
+    found = passages_of(substring_dedup.repeated_passages(documents(spark, [" ".join(words), " ".join(longer)])))
+    assert found == {1: set(range(118))}
+
+
 def test_every_exact_passage_is_covered(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     found = passages_of(catalog.QUERIES["op5_substring_dedup"](spark, SMALL))
