@@ -187,12 +187,23 @@ def _tile(pdf):
     return out[out["n_links"] > 0]
 
 
-def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, class_id, n_links, n_copies``.
+def set_keys(text):
+    """The key of each text's set, as ``sketches`` gives it."""
+    @F.pandas_udf("long")
+    def keys(texts):
+        import pandas as pd
 
-    ``class_id`` is the smallest ``doc_id`` of the class; ``n_links`` counts other sets of at least the
-    similarity, each once however many copies it has; ``n_copies`` counts the rows with the same set.
-    """
+        out = []
+        for rows in in_runs((t,) for t in texts):
+            hashes, at = hash_words([t for t, in rows])
+            out += [set_key(shingle_set(hashes[at[i]:at[i + 1]], WORDS)) for i in range(len(rows))]
+        return pd.Series(out, dtype="Int64")
+
+    return keys(text)
+
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` as ``doc_id, set_id``; and of each set that is not empty its class, smallest ``doc_id`` and counts."""
     sketched = materialize(sketches(docs), "sketches")
     members = sketched.select("doc_id", "set_id", "n_shingles")
     sets = sketched.filter("set_id is not null").groupBy("set_id").agg(
@@ -202,8 +213,10 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     sizes = coarse.groupBy("coarse").agg(F.greatest(
         F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     blocked = coarse.join(materialize(sizes, "sizes"), "coarse").withColumn("block", F.pmod(F.xxhash64("set_id"), "blocks").cast("int"))
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    full = blocked.join(texts, F.col("first_id").eqNullSafe(F.col("doc_id")))
+    # Rows without a doc_id are told apart by their sets.
+    texts = docs.select(F.col("doc_id").cast("long"), "text", set_keys(F.when(F.col("doc_id").isNull(), F.col("text"))).alias("key"))
+    wanted = F.when(F.col("first_id").isNull(), F.col("set_id"))
+    full = blocked.join(texts, F.col("first_id").eqNullSafe(F.col("doc_id")) & wanted.eqNullSafe(F.col("key")))
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     tiled = full.select("set_id", "coarse", "block", "text", others).select(
         "set_id", "coarse", "block", "text", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
@@ -215,16 +228,37 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
         "set_id", "first_id", "n_copies", F.coalesce("label", "set_id").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     classed = materialize(classed, "classes")
     names = materialize(classed.groupBy("label").agg(F.min("first_id").alias("class_id")), "classes")
-    by_set = materialize(classed.join(names, "label").select("set_id", "class_id", "n_links", "n_copies"), "classes")
+    return members, materialize(classed.join(names, "label"), "classes")
+
+
+def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, class_id, n_links, n_copies``.
+
+    ``class_id`` is the smallest ``doc_id`` of the class; ``n_links`` counts other sets of at least the
+    similarity, each once however many copies it has; ``n_copies`` counts the rows with the same set.
+    """
+    members, classes = _classes(docs)
+    by_set = classes.select("set_id", "class_id", "n_links", "n_copies")
     out = members.join(by_set, "set_id", "left")
     return out.select("doc_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
                       F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """Of each class the document that gives it its number, with the columns of ``docs``."""
-    kept = ngram_jaccard_join(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.select(F.struct("*").alias("_row"), "doc_id")
-    joined = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    nth = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("_row")))
-    return joined.withColumn("_nth", nth).filter("_nth = 1").select("_row.*")
+    """Of each class one row that gives it its number, with the columns of ``docs``.
+
+    A ``doc_id`` may stand for several classes, and a null one for any number. Rows without words all stay, but for rows
+    that repeat with their ``doc_id``.
+    """
+    _, classes = _classes(docs)
+    first = classes.filter(F.col("first_id").eqNullSafe(F.col("class_id"))).groupBy("label").agg(
+        F.first("class_id").alias("_id"), F.min("set_id").alias("_key"))
+    kept = materialize(first.select("_id", "_key"), "kept")
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc"), set_keys(F.col("text")).alias("_set"))
+    with_words = rows.join(kept, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_set") == F.col("_key")), "left_semi")
+    # Rows without words and ids stay as they are; they would all be one key.
+    bare = rows.filter("_set is null and _doc is null").select("_row.*")
+    rest = with_words.withColumn("_hash", F.lit(0).cast("long")).unionByName(
+        rows.filter("_set is null and _doc is not null").withColumn("_hash", F.xxhash64("_row")))
+    nth = F.row_number().over(W.partitionBy("_doc", "_set", "_hash").orderBy(F.xxhash64("_row")))
+    return rest.withColumn("_nth", nth).filter("_nth = 1").select("_row.*").unionByName(bare)

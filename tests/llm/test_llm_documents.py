@@ -151,6 +151,20 @@ def test_jaccard_join_equals_all_pairs(spark, monkeypatch):
     assert kept == {r[1] for r in expected}
 
 
+def test_kept_rows_without_ids_and_with_repeated_ids(spark):
+    rng = random.Random(19)
+    a, b, c, d, e, f = [plain.prose(rng, 80, 9000) for _ in range(6)]
+    near = lambda t: t.rsplit(" ", 1)[0] + " changed"
+    docs = spark.createDataFrame([
+        (None, a), (None, b), (None, b), (None, near(b)), (None, c), (5, near(c)), (7, d), (7, e), (7, e), (8, near(e)), (9, f), (None, f),
+        (None, None), (None, ""), (4, ""), (4, ""), (4, None)], "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in ngram_join.kept_documents(docs).collect()]
+    of_b = [k for k in kept if k in ((None, b), (None, near(b)))]
+    assert len(of_b) == 1
+    expected = [(None, a), *of_b, (5, near(c)), (7, d), (7, e), (9, f), (None, None), (None, ""), (4, ""), (4, None)]
+    assert sorted(kept, key=str) == sorted(expected, key=str)
+
+
 def test_tiles_of_one_group_count_every_link():
     rng = random.Random(11)
     words = plain.prose(rng, 150).split()
