@@ -49,7 +49,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.lm_scores(documents(spark, sf_dir))
+    return lm_scoring.lm_scores(documents(spark, sf_dir), order=3)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

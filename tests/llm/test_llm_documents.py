@@ -317,6 +317,13 @@ def test_scores_equal_one_by_one_counts(spark, monkeypatch):
             assert (got[i].mean_log_score is None) == (n == 0)
 
 
+def test_registered_scores_have_two_words_of_context(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    got = {r.doc_id: r.log_score for r in catalog.QUERIES["op10_lm_scoring"](spark, SMALL).collect()}
+    for r, score in zip(docs, plain.backoff_scores([r.text for r in docs], 3)):
+        assert abs(got[r.doc_id] - score) < 1e-4 * max(1, abs(score))
+
+
 def test_scores_of_odd_documents(spark):
     docs = plain.odd_documents(spark)
     rows = docs.select("doc_id", "text").collect()
