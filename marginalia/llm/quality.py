@@ -19,8 +19,8 @@ from ..storage import materialize
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 WINDOW = 8
-# Rule: its smallest spread, in thousandths of the rule's ratio.
-RULES = {"symbols": 20, "length": 300, "lines": 45, "repeats": 30}
+# Rule: its smallest spread, in thousandths of the rule's ratio. FENCE times the floor of "repeats" stays inside its base rule (300).
+RULES = {"symbols": 10, "length": 200, "lines": 35, "repeats": 20}
 FENCE = 10
 LEAST_ROWS = 200
 

@@ -96,6 +96,22 @@ def test_junk_goes_and_clean_text_stays(spark):
     assert kept == set(range(300))
 
 
+def test_each_rule_rejects_junk_that_passes_the_base_rules(spark):
+    rng = random.Random(20)
+    words = lambda n: [rng.choice("abcdefghij") + str(rng.randrange(1000, 9999)) for _ in range(n)]
+    lines = lambda rows: "\n".join(" ".join(r) for r in rows)
+    clean = [lines([words(12) for _ in range(10)]) for _ in range(300)]
+    symbols = [lines([[*words(11), "w##"] for _ in range(10)]) for _ in range(10)]
+    length = [lines([[w + "abc" for w in words(12)] for _ in range(10)]) for _ in range(10)]
+    double = words(4)
+    doubled = [lines([*[words(14) for _ in range(6)], *[double] * 5]) for _ in range(10)]
+    repeated = [lines([*[words(12) for _ in range(8)], eight + words(2), words(12) + eight, words(5) + eight + words(1)]) for eight in [words(13) for _ in range(10)]]
+    got = {r.doc_id: r for r in quality.quality_rules(documents(spark, clean + symbols + length + doubled + repeated)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [d for d, r in got.items() if r.kept] == [d for d in got if d < 300] and len(got) == 340
+    assert all(100 * r.n_repeat_words > 20 * r.n_words for d, r in got.items() if d >= 330)
+
+
 # Exact dedup
 
 
