@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (byte_bpe, exact_dedup, lang_id, lm_scoring, ngram_join, packing, quality, substring_dedup, token_counts,
+from . import (byte_bpe, exact_dedup, hard_negatives, lang_id, lm_scoring, ngram_join, packing, quality, substring_dedup, token_counts,
                token_files)
 from .common import documents
 
@@ -57,6 +57,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    mined = hard_negatives.hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+    return mined.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_language_id": op2_language_id,
@@ -68,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_lm_scoring": op10_lm_scoring,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 _FLOORS = ", ".join(f"('{rule}', {floor})" for rule, floor in quality.RULES.items())
@@ -113,5 +121,20 @@ verdicts as (select r.doc_id, bool_and(r.v <= coalesce(t.threshold, -1)) as good
     on r.lang is not distinct from t.lang and r.source is not distinct from t.source and r.rule = t.rule group by r.doc_id)
 select j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and good as kept
 from judged j join verdicts v on j.doc_id = v.doc_id
+""",
+    "op13_hard_negatives": """
+with given as (select row_number() over () as k, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, embedding
+  from embeddings where label is not null and embedding is not null),
+rows as (select k, vec_id, label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from given
+  where len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (select a.k, a.vec_id as anchor_id, b.k as other, b.vec_id, a.label = b.label as same,
+    cast(list_dot_product(a.v, b.v) as bigint) as score
+  from rows a join rows b on a.vec_id % 100 = 0 and a.k <> b.k),
+positives as (select *, row_number() over (partition by k order by score desc, vec_id, other) as place from scored where same
+  qualify place <= 5),
+pairs as (select p.anchor_id, p.vec_id as positive_id, n.vec_id as negative_id, p.score as positive_score, n.score as negative_score,
+    cast(row_number() over (partition by p.k, p.place order by n.score desc, n.vec_id, n.other) as integer) as rank
+  from positives p join scored n on p.k = n.k and not n.same and 80 * p.score <= 100 * n.score and 100 * n.score <= 100 * p.score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from pairs where rank <= 5
 """,
 }
