@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (byte_bpe, exact_dedup, hard_negatives, lang_id, lm_scoring, ngram_join, packing, quality, substring_dedup, token_alignment,
+from . import (byte_bpe, disclosure, exact_dedup, hard_negatives, lang_id, lm_scoring, ngram_join, packing, quality, substring_dedup, token_alignment,
                token_counts, token_files)
 from .common import documents
 
@@ -62,6 +62,14 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align_tokens(documents(spark, sf_dir), a_path, b_path, digest=True).withColumnRenamed("groups", "groups_sha256")
 
 
+def op12_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = disclosure.find_disclosures(documents(spark, sf_dir))
+    n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select("doc_id", *[n(i).alias(f"n_{kind}") for i, kind in enumerate(disclosure.KINDS)],
+                        F.sha2(disclosure.spans_text(F.col("base")), 256).alias("base_sha256"),
+                        disclosure.spans_text(F.col("base"), F.col("added")).alias("spans"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -81,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_token_alignment": op11_token_alignment,
+    "op12_disclosure": op12_disclosure,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
