@@ -7,41 +7,79 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import text as tx
+from ..plans.ranks import with_place
 from ..storage import materialize, run_dir
 from .code import code_functions, find_in, name_lookups
 from .model import ModelFn, review_functions
 from .records import function_index
 from .reviews import next_signal, parse_reviews, remaining_functions, suffix_index
 
-MAX_JUMP_BITS = 12
+# A round runs a project ahead by at most 2^MAX_JUMP_BITS moves.
+MAX_JUMP_BITS = 16
 
 
 def _jump(table: DataFrame) -> DataFrame:
-    """Twice the jump of ``table`` (project, record_no, to)."""
-    onward = table.select("project", F.col("record_no").alias("to"), F.col("to").alias("_to"))
-    return table.join(onward, ["project", "to"]).select("project", "record_no", F.col("_to").alias("to"))
+    """Twice the jump of ``table`` (node, to)."""
+    onward = table.select(F.col("node").alias("to"), F.col("to").alias("_to"))
+    return table.join(onward, "to").select("node", F.col("_to").alias("to"))
 
 
 def _run_ahead(frontier: DataFrame, jumps: list[DataFrame]) -> DataFrame:
-    """The records 0, 1, ... ``2^len(jumps) - 1`` moves after each frontier row.
+    """The nodes 0, 1, ... ``2^len(jumps) - 1`` moves after each frontier row.
 
     Every row applies the jumps of the bits of its own distance: one join per bit.
     """
-    ahead = frontier.withColumn("_far", F.explode(F.sequence(F.lit(0), F.lit((1 << len(jumps)) - 1))))
+    ahead = frontier.withColumn("far", F.explode(F.sequence(F.lit(0), F.lit((1 << len(jumps)) - 1))))
     for bit, jump in enumerate(jumps):
-        moves = F.col("_far").bitwiseAND(F.lit(1 << bit)) != 0
-        hop = jump.withColumnRenamed("record_no", "_from")
+        moves = F.col("far").bitwiseAND(F.lit(1 << bit)) != 0
+        hop = jump.withColumnRenamed("node", "_from")
         ahead = (
             # Rows that stay get a key that nothing matters for, spread over the partitions.
-            ahead.withColumn("_from", F.when(moves, F.col("record_no")).otherwise(-1 - F.col("_far")))
-            .join(hop, ["project", "_from"], "left")
-            .withColumn("record_no", F.when(moves, F.col("to")).otherwise(F.col("record_no")))
-            .filter(F.col("record_no").isNotNull())
+            ahead.withColumn("_from", F.when(moves, F.col("node")).otherwise(-1 - F.col("far")))
+            .join(hop, "_from", "left")
+            .withColumn("node", F.when(moves, F.col("to")).otherwise(F.col("node")))
+            .filter(F.col("node").isNotNull())
             .drop("_from", "to")
         )
     return ahead
 
 
+def _walk_nodes(reviews: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The places a walk can be at: ``node, project, name, key, place, record_no, ask, exact, to``.
+
+    One per name and key that ends with it, ``place`` being that of the key among the name's keys, and one per seed,
+    without a name. Whoever asks for the name and gets the key is led to ``record_no``; ``ask`` is what that record's
+    review asks for in turn, ``exact`` the key it names, if there is one. ``to`` is a guess at the next node: the exact
+    key's, else the one after it when it asks for its own name, else the first of the name.
+    """
+    index = materialize(function_index(reviews), "walk-index")
+    parsed = parse_reviews(reviews).select("project", "record_no", "n_parts", "continue_flag", "next_name", "next_path")
+    live = (F.col("n_parts") >= tx.MIN_PARTS) & (F.col("continue_flag") == "1")
+    asks = parsed.select("project", "record_no", F.struct(
+        live.alias("live"), F.when(live, F.col("next_name")).alias("name"),
+        F.when(live, tx.index_key(F.col("next_path"), F.col("next_name"))).alias("probe")).alias("ask"))
+    keys = with_place(suffix_index(index), ["project", "suffix"], ["key"], "place", "walk-names")
+    wanted = keys.select("project", F.col("suffix").alias("next_key"), F.col("path").alias("next_path"), "key", "place")
+    led = find_in(wanted, *name_lookups(reviews)).select(
+        "project", F.col("next_key").alias("name"), "key", "place", F.col("found_record_no").alias("record_no"))
+    none = lambda kind: F.lit(None).cast(kind)
+    start = seeds.select("project", none("string").alias("name"), none("string").alias("key"), none("bigint").alias("place"), "record_no")
+    nodes = led.unionByName(start).join(asks, ["project", "record_no"], "left")
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "walk-places")
+    named = nodes.filter(F.col("name").isNotNull())
+    exact = named.select("project", F.col("name").alias("_name"), F.col("key").alias("_key"), F.col("node").alias("_exact"))
+    at = named.select("project", F.col("name").alias("_name"), F.col("place").alias("_place"), F.col("node").alias("_next"))
+    # After its own key a name goes on with the next one; any other name begins with its first.
+    place = F.when(F.col("ask.name") == F.col("name"), F.col("place") + 1).otherwise(F.lit(1))
+    guessed = (
+        nodes.withColumns({"_name": F.col("ask.name"), "_key": F.col("ask.probe"), "_place": place})
+        .join(exact, ["project", "_name", "_key"], "left").join(at, ["project", "_name", "_place"], "left")
+        .select("node", "project", "name", "key", "place", "record_no", "ask",
+                F.when(F.col("_exact").isNotNull(), F.col("_key")).alias("exact"), F.coalesce("_exact", "_next").alias("to"))
+    )
+    return materialize(guessed, "walk-nodes")
+
+
 def review_walk(reviews: DataFrame, max_steps: int | None = None, drop_seed: bool = False) -> DataFrame:
     """Which reviews are visited, in which order: ``project, step, record_no``.
 
@@ -50,94 +88,114 @@ def review_walk(reviews: DataFrame, max_steps: int | None = None, drop_seed: boo
     move takes a key from the index, and a key can be taken once. ``drop_seed`` takes the seed's own
     key at the start.
 
-    A move depends on earlier ones only when its preferred key is gone. So the preferred move of
-    every record is computed once, with jump tables of doubling length; each round then runs all
-    projects ahead by up to ``2^bits`` moves, keeps what comes before the first key met twice, and
-    settles that one move against the keys left. The number of jobs grows with such meetings and
-    with the logarithm of the chain length, not with its length.
+    Every round guesses the next moves of all projects with jump tables of doubling length and settles
+    them together. Who asks for a key that is free and that nobody before asked for gets it. Of the
+    others, the k-th that asks for a name gets the k-th of its keys that are free. That is what they get
+    one after another, up to the first row whose key an earlier row has under another name; so is the path, up to
+    the first row that is led to a review that asks for something else than the guessed one. What comes
+    before is kept, and the next round starts there. So names that many functions share cost no rounds,
+    as long as the reviews under a name ask for the same name; else rounds grow with the changes.
+    A round goes ahead as far as the last ones were right.
     """
     spark = reviews.sparkSession
-    parsed = parse_reviews(reviews).select(
-        "project", "record_no", "path", "name", "n_parts", "continue_flag", "next_name", "next_path"
-    )
-    index = materialize(function_index(reviews), "walk-index")
-    by_name, by_base = (materialize(t, "walk-names") for t in name_lookups(reviews))
-    signals = next_signal(parsed.drop("path", "name"), index)
-    moves = materialize(
-        find_in(signals, by_name, by_base).select(
-            "project", "record_no", "next_name", "key", F.col("found_record_no").alias("next_no")
-        ),
-        "walk-moves",
-    )
-    suffixes = materialize(suffix_index(index), "walk-suffixes")
-    jumps = [moves.filter(F.col("next_no").isNotNull()).select("project", "record_no", F.col("next_no").alias("to"))]
-
-    base = run_dir(spark, "walk")
     seeds = reviews.groupBy("project").agg(F.min("record_no").alias("record_no"))
-    frontier = seeds.select("project", F.lit(0).cast("bigint").alias("step"), "record_no")
-    taken_schema = "project string, key string"
+    nodes = _walk_nodes(reviews, seeds)
+    jumps = [nodes.filter(F.col("to").isNotNull()).select("node", "to")]
+    base = run_dir(spark, "walk")
+    taken_schema = "project string, key string, name string, place bigint"
     taken = spark.createDataFrame([], taken_schema)
     if drop_seed:
         own = seeds.join(reviews.select("project", "record_no", "path", "name"), ["project", "record_no"])
-        own.select("project", tx.index_key(F.col("path"), F.col("name")).alias("key")).write.parquet(f"{base}/taken/round=0")
+        own.select("project", tx.index_key(F.col("path"), F.col("name")).alias("key"), F.lit(None).cast("string").alias("name"),
+                   F.lit(None).cast("bigint").alias("place")).write.parquet(f"{base}/taken/round=0")
 
-    total, rounds, bits = moves.count(), 0, 4
+    frontier = nodes.filter(F.col("name").isNull()).select("project", F.lit(0).cast("bigint").alias("step"), "node")
+    total, rounds, bits = nodes.count(), 0, 4
+    named = nodes.filter(F.col("name").isNotNull()).select("project", "name", "key", "place", "node", "record_no", "ask")
     while True:
         rounds += 1
         while len(jumps) < bits:
             jumps.append(materialize(_jump(jumps[-1]), "walk-jump"))
         if rounds > 1 or drop_seed:
-            taken = spark.read.schema(taken_schema).parquet(f"{base}/taken").select("project", "key")
-        span = (1 << bits) - 1
-        gone = taken.withColumn("_gone", F.lit(True))
-        same_key = W.partitionBy("project", "key").orderBy("_far")
-        project = W.partitionBy("project")  # at most 2^bits rows, as a project has one frontier row
-        ahead = _run_ahead(frontier, jumps[:bits]).join(moves, ["project", "record_no"]).join(gone, ["project", "key"], "left")
-        meets = F.col("key").isNotNull() & (F.col("_gone").isNotNull() | (F.row_number().over(same_key) > 1))
-        rows = (
-            ahead.withColumn("_meets", meets)
-            .withColumn("_cut", F.min(F.when(F.col("_meets"), F.col("step") + F.col("_far"))).over(project))
-            .withColumn("step", F.col("step") + F.col("_far"))
-            .filter(F.col("_cut").isNull() | (F.col("step") <= F.col("_cut")))
-            .select("project", "step", "record_no", "key", "next_no", "next_name",
-                    (F.col("step") == F.col("_cut")).alias("stuck"), (F.col("_far") == span).alias("last"))
+            taken = spark.read.schema(taken_schema).parquet(f"{base}/taken").select("project", "key", "name", "place")
+        gone = taken.select("project", F.col("key").alias("exact"), F.lit(True).alias("_gone"))
+        ahead = _run_ahead(frontier, jumps[:bits]).join(nodes.select("node", "record_no", "ask", "exact"), "node")
+        # A project has one frontier row, so a window over a project or less holds at most 2^bits rows.
+        ask = F.col("ask.name")
+        ahead = (
+            ahead.join(gone, ["project", "exact"], "left")
+            .withColumn("_free", F.col("exact").isNotNull() & F.col("_gone").isNull())
+            .withColumn("_first", F.row_number().over(W.partitionBy("project", "exact").orderBy("far")) == 1)
+            .withColumn("_exactly", F.col("_free") & F.col("_first"))
+            .withColumn("_queue", F.when(F.coalesce("ask.live", F.lit(False)) & ~F.col("_exactly"), ask))
+            .withColumn("_rank", F.row_number().over(W.partitionBy("project", "_queue").orderBy("far")))
+            .withColumn("_rank", F.when(F.col("_queue").isNotNull(), F.col("_rank")))
+        )
+        asked = materialize(ahead.drop("_gone", "_free", "_first"), "walk-ahead")
+        # The keys still free of the names asked for, from the last one taken in turn; no more than can be asked for.
+        marks = taken.filter(F.col("place").isNotNull()).groupBy("project", "name").agg(F.max("place").alias("_mark"))
+        names = asked.filter("ask.live").select("project", ask.alias("name")).distinct()
+        free = (
+            named.join(names, ["project", "name"], "left_semi").join(marks, ["project", "name"], "left")
+            .filter(F.col("_mark").isNull() | (F.col("place") > F.col("_mark")))
+            .join(taken.select("project", "key"), ["project", "key"], "left_anti")
+            .withColumn("_rank", F.row_number().over(W.partitionBy("project", "name").orderBy("place")))
+            .filter(F.col("_rank") <= (1 << bits) + 1)
+        )
+        free = materialize(free.drop("_mark"), "walk-free")
+        by_rank = free.select("project", F.col("name").alias("_queue"), "_rank", F.struct("key", "name", "place", "node", "record_no", "ask").alias("_next"))
+        # Only a key taken in turn has a place: those before it are taken as well.
+        out_of_turn = F.lit(None).cast("bigint").alias("place")
+        by_key = named.select("project", F.col("name").alias("_name"), F.col("key").alias("exact"),
+                              F.struct("key", "name", out_of_turn, "node", "record_no", "ask").alias("_named"))
+        moved = (
+            asked.withColumn("_name", F.when(F.col("_exactly"), ask))
+            .join(by_rank, ["project", "_queue", "_rank"], "left").join(by_key, ["project", "_name", "exact"], "left")
+            .withColumn("got", F.coalesce("_named", "_next"))
         )
+        project = W.partitionBy("project").orderBy("far")
+        twice = F.col("got.key").isNotNull() & (F.row_number().over(W.partitionBy("project", "got.key").orderBy("far")) > 1)
+        next_far, next_ask = F.lead("far").over(project), F.lead("ask").over(project)
+        stays = (next_far == F.col("far") + 1) & F.col("got.ask").eqNullSafe(next_ask)
+        what = (
+            F.when(~F.coalesce("ask.live", F.lit(False)), "end").when(twice, "stuck").when(F.col("got").isNull(), "end")
+            .when(F.coalesce(stays, F.lit(False)), None).otherwise("onward")
+        )
+        led = F.lag("got.record_no").over(project)
+        moved = moved.withColumn("what", what).withColumn("_led", F.when(F.col("far") == 0, F.col("record_no")).otherwise(led))
+        cut = F.min(F.when(F.col("what").isNotNull(), F.col("far"))).over(W.partitionBy("project"))
+        rows = moved.withColumn("_cut", cut).filter(F.col("far") <= F.col("_cut")).select(
+            "project", (F.col("step") + F.col("far")).alias("step"), F.col("_led").alias("record_no"), "what", ask.alias("next_name"),
+            *[F.col(f"got.{c}").alias(f"got_{c}") for c in ("key", "name", "place", "node", "record_no")])
         if max_steps is not None:
             rows = rows.filter(F.col("step") < max_steps)
         rows.write.parquet(f"{base}/rows/round={rounds}")
         rows = spark.read.schema(rows.schema).parquet(f"{base}/rows/round={rounds}")
-        stuck = F.coalesce("stuck", F.lit(False))
-
-        # A stuck move takes the smallest key left that ends with the name asked for.
-        new = rows.filter(~stuck & F.col("key").isNotNull()).select("project", "key")
-        all_taken = taken.unionByName(new)
-        choice = (
-            rows.filter(stuck).select("project", "step", F.col("next_name").alias("next_key"))
-            .join(suffixes.withColumnRenamed("suffix", "next_key"), ["project", "next_key"])
-            .join(all_taken, ["project", "key"], "left_anti")
-            .groupBy("project", "step", "next_key").agg(F.min(F.struct("key", "path")).alias("_c"))
-            .select("project", "step", "next_key", F.col("_c.key").alias("key"), F.col("_c.path").alias("next_path"))
-        )
-        settled = materialize(
-            find_in(choice, by_name, by_base).select(
-                "project", (F.col("step") + 1).alias("step"), F.col("found_record_no").alias("record_no"), "key"
-            ), "walk-settled",
-        )
-        new.unionByName(settled.select("project", "key")).write.parquet(f"{base}/taken/round={rounds}")
-        onward = rows.filter(~stuck & F.col("last")).select(
-            "project", (F.col("step") + 1).alias("step"), F.col("next_no").alias("record_no"), F.lit(1).alias("running")
+
+        # A stuck row gets the first key of the name that nobody before it has.
+        stuck = F.coalesce(F.col("what") == "stuck", F.lit(False))
+        new = rows.filter(~stuck & F.col("got_key").isNotNull()).select(
+            "project", F.col("got_key").alias("key"), F.col("got_name").alias("name"), F.col("got_place").alias("place"))
+        settled = (
+            rows.filter(stuck).select("project", "step", F.col("next_name").alias("name"))
+            .join(free, ["project", "name"]).join(new.select("project", "key"), ["project", "key"], "left_anti")
+            .groupBy("project", "step", "name").agg(F.min(F.struct("place", "key", "node", "record_no")).alias("c"))
+            .select("project", (F.col("step") + 1).alias("step"), "name", "c.*")
         )
-        due = onward.unionByName(settled.select("project", "step", "record_no", F.lit(0).alias("running")))
-        due = due.filter(F.col("record_no").isNotNull())
+        settled = materialize(settled, "walk-settled")
+        new.unionByName(settled.select("project", "key", "name", "place")).write.parquet(f"{base}/taken/round={rounds}")
+        onward = rows.filter(F.col("what") == "onward").select(
+            "project", (F.col("step") + 1).alias("step"), F.col("got_node").alias("node"), F.col("got_record_no").alias("record_no"))
+        due = onward.unionByName(settled.select("project", "step", "node", "record_no")).filter(F.col("record_no").isNotNull())
         if max_steps is not None:
             due = due.filter(F.col("step") < max_steps)
-        active, running = due.agg(F.count("*"), F.sum("running")).first()
+        active, made = due.count(), rows.count()
         if not active:
             break
-        if running:
-            # Further ahead, but not further than there are records for.
-            bits = max(bits, min(bits + 2, MAX_JUMP_BITS, (total // active).bit_length()))
-        frontier = due.drop("running")
+        before = rows.select("project").distinct().count()
+        # Ahead as far as the last round was right, and a little further; never more moves than there are keys.
+        bits = max(2, min((made // before).bit_length() + 2, MAX_JUMP_BITS, (total // active).bit_length()))
+        frontier = due.select("project", "step", "node")
     return spark.read.schema("project string, step bigint, record_no bigint").parquet(f"{base}/rows").select(
         "project", "step", "record_no"
     )

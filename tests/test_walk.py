@@ -1,10 +1,12 @@
 import json
 import random
+import re
 
 import brute
 import pytest
 
 from marginalia.operators.walk import model_walk, review_walk
+from marginalia.plans.ranks import with_place
 
 SCHEMA = "project string, path string, record_no bigint, name string, review_message string"
 
@@ -58,6 +60,45 @@ def test_long_chain_takes_few_rounds(spark):
     assert sorted(map(tuple, review_walk(df).collect())) == brute.walk(records)
 
 
+def frame(spark, records):
+    return spark.createDataFrame([tuple(r[c] for c in ("project", "path", "record_no", "name", "review_message")) for r in records], SCHEMA)
+
+
+def rounds(df):
+    return max(int(re.search(r"round=(\d+)", f).group(1)) for f in df.inputFiles())
+
+
+def test_a_name_that_all_share_takes_few_rounds(spark, joins):
+    records = [
+        {"project": "p", "path": f"f{i:04}", "record_no": i, "name": "K:main" if i % 3 else "main", "review_message": "{main``1``x``1``main``gone}"}
+        for i in range(1000)
+    ]
+    walked = review_walk(frame(spark, records))
+    assert sorted(map(tuple, walked.collect())) == brute.walk(records)
+    assert walked.count() == 1001 and rounds(walked) <= 6
+
+
+def test_names_that_ask_for_each_other_in_turn_take_few_rounds(spark):
+    asks = {"a": "b", "b": "c", "c": "a"}
+    records = [
+        {"project": p, "path": f"f{i:04}", "record_no": i, "name": "abc"[(i * 7 + i // 5) % 3],
+         "review_message": "{x``1``x``1``%s``gone}" % asks["abc"[(i * 7 + i // 5) % 3]]}
+        for p, n in (("p", 300), ("q", 90)) for i in range(n)
+    ]
+    # One key of a name is also asked for by its full name, in the midst of the turns.
+    records[150]["review_message"] = "{x``1``x``1``%s``%s}" % (records[20]["name"], records[20]["path"])
+    walked = review_walk(frame(spark, records))
+    assert sorted(map(tuple, walked.collect())) == brute.walk(records)
+    assert rounds(walked) <= 12
+
+
+def test_places_in_groups_over_many_ranges(spark):
+    rows = [("big", i * 37 % 1000) for i in range(1000)] + [("small", i) for i in range(5)] + [("one", 7)]
+    got = with_place(spark.createDataFrame(rows, "g string, v long"), ["g"], ["v"], "place").collect()
+    plain = {(g, v): sorted(x for h, x in rows if h == g).index(v) + 1 for g, v in rows}
+    assert {(r.g, r.v): r.place for r in got} == plain and len(got) == len(rows)
+
+
 def test_model_walk(spark):
     body = "\n".join(f"line {i}" for i in range(1, 40))
     files = spark.createDataFrame([("p", "a.py", body), ("q", "b.py", body), ("r", "c.py", body)], "project string, path string, content string")
