@@ -28,7 +28,7 @@ from .common import worker_state
 
 # Steps of the path in a piece; characters of short documents in a run.
 PIECE_STEPS = 1 << 16
-RUN_CHARS = 1 << 22
+RUN_CHARS = 1 << 21
 # Longer texts go to the tokenizer file's own library, which is slower and takes any text.
 RANKED_CHARS = 200_000
 SEPARATORS = (b",", b"|", b";")
@@ -214,7 +214,7 @@ def _encode(a_path: str, b_path: str, digest: bool, schema):
 
         def close():
             nonlocal held, chars, number
-            a, b = (np.array([i for d in held for i in d[k]], np.int64) for k in (1, 2))
+            a, b = (np.concatenate([d[k] for d in held]).astype(np.int64) for k in (1, 2))
             a_ends, b_ends = _ends(a, coders.a_sizes), _ends(b, coders.b_sizes)
             i, j = path_cuts(a_ends, b_ends, PIECE_STEPS)
             cuts = list(zip(i.tolist(), j.tolist()))
@@ -231,7 +231,7 @@ def _encode(a_path: str, b_path: str, digest: bool, schema):
         for batch in batches:
             for key, text in zip(batch.column(0), batch.column(1)):
                 text = text.as_py()
-                document = key.as_py(), *coders.tokens(text)
+                document = key.as_py(), *(np.array(ids, np.int32) for ids in coders.tokens(text))
                 if len(document[1]) + len(document[2]) > 2 * PIECE_STEPS:
                     if held:
                         yield close()
