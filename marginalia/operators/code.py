@@ -7,85 +7,64 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import text as tx
 from ..storage import materialize
 
-BLOCK_LINES = 8192
-RANGE = ["project", "path", "start_line", "end_line"]
+# Lines cut from a file in one row, unless a single range has more.
+CUT_LINES = 65_536
+# Bits of the filter on files, in rows of 32,768 bits: two megabytes, whatever the number of records.
+FILTER_BITS = 1 << 24
 
 
-def _file_blocks(files: DataFrame, block_lines: int) -> DataFrame:
-    """Files as blocks of lines. An ordinary file is one block, a giant one is spread over many."""
-    lines = files.select("project", "path", tx.text_lines(F.col("content")).alias("_lines"))
-    blocks = lines.select(
-        "project", "path", "_lines", F.size("_lines").cast("bigint").alias("_n_lines"),
-        F.explode_outer(F.expr(f"sequence(0L, greatest(size(_lines) - 1, 0) div {block_lines})")).alias("_block"),
-    )
-    first = (F.col("_block") * block_lines + 1).cast("int")
-    return blocks.select(
-        "project", "path", "_block", "_n_lines",
-        F.slice("_lines", first, F.lit(block_lines)).alias("_lines"),
-    )
+def files_with_records(files: DataFrame, records: DataFrame) -> DataFrame:
+    """The files that may have records: few others pass, and none that has records is left out.
+
+    The keys of the records set bits of a table of fixed size, which goes to where the files are read. So the
+    contents of files without records meet no exchange.
+    """
+    # Spark numbers the bits of its bitmaps from 1.
+    at = F.pmod(F.xxhash64("project", "path"), F.lit(FILTER_BITS)) + 1
+    bucket, place = F.bitmap_bucket_number(at), F.bitmap_bit_position(at)
+    bits = records.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(place).alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.col("_place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    set_ = F.expr("_byte >> cast(_place % 8 as int) & 1") == 1
+    marked = files.withColumns({"_bucket": bucket, "_place": place}).join(F.broadcast(bits), "_bucket")
+    return marked.withColumn("_byte", byte).filter(set_).select(*files.columns)
 
 
-def function_content(records: DataFrame, files: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
+def function_content(records: DataFrame, files: DataFrame, block_lines: int = CUT_LINES) -> DataFrame:
     """Lines ``start_line..end_line`` of each record joined by newlines, with a ``status``.
 
     ``status`` is ``ok``, or ``bad_range`` with NULL content when the range is not inside the file
     (start below 1, start after end, end after the last line, or no such file).
 
-    A record is joined to the block its range starts in. Only ranges that run on into further
-    blocks take the second step, once per distinct range: their blocks are joined and put together.
+    The records of a file are gathered into one row, in parts where they ask for more than ``block_lines`` lines, and
+    that row is joined to the file once: a file is split into lines once and all ranges are cut from it. Only
+    contents of files that have records are shuffled, and the cut lines not at all.
     """
-    blocks = _file_blocks(files, block_lines)
-    block_of = lambda line: F.expr(f"({line} - 1) div {block_lines}")
-    sane = (F.col("start_line") >= 1) & (F.col("start_line") <= F.col("end_line"))
-    placed = records.withColumn("_block", F.when(sane, block_of("start_line"))).withColumn(
-        "_last_block", F.when(sane, block_of("end_line"))
-    )
-    one_block = F.coalesce(F.col("_block") == F.col("_last_block"), F.lit(True))
-    inside = F.coalesce(sane & (F.col("end_line") <= F.col("_n_lines")), F.lit(False))
     columns = records.columns
-
-    within = placed.filter(one_block).join(blocks, ["project", "path", "_block"], "left")
-    offset = F.col("start_line") - F.col("_block") * block_lines
-    cut = F.array_join(
-        F.slice("_lines", offset.cast("int"), (F.col("end_line") - F.col("start_line") + 1).cast("int")), "\n"
-    )
-    short = within.select(*columns, F.when(inside, cut).alias("content"))
-
+    sane = (F.col("start_line") >= 1) & (F.col("start_line") <= F.col("end_line"))
+    lines = F.when(sane, F.least(F.col("end_line") - F.col("start_line") + 1, F.lit(block_lines))).otherwise(0)
+    weight = records.groupBy("project", "path").agg(F.sum(F.greatest(lines, F.lit(1))).alias("_lines")).filter(F.col("_lines") > block_lines)
+    wide = materialize(weight.select("project", "path", F.ceil(F.col("_lines") / block_lines).alias("_parts")), "wide-files")
+    part = F.lit(0).cast("bigint")
+    if not wide.isEmpty():
+        records = records.join(wide, ["project", "path"], "left")
+        part = F.pmod(F.xxhash64(*columns), F.coalesce("_parts", F.lit(1)))
+    gathered = records.groupBy("project", "path", part.alias("_part")).agg(F.collect_list(F.struct(*columns)).alias("_records"))
+    held = files_with_records(files.select("project", "path", "content"), gathered)
+
+    def cut(lines, record):
+        start, end = record["start_line"], record["end_line"]
+        inside = (start >= 1) & (start <= end) & (end <= F.size(lines))
+        text = F.array_join(F.slice(lines, start.cast("int"), (end - start + 1).cast("int")), "\n")
+        return F.struct(record.alias("record"), F.when(inside, text).alias("content"))
+
+    # The lines are bound once, as the one element of an array: a column would be split again for every range.
+    whole = F.transform(F.array(tx.text_lines(F.col("content"))), lambda lines: F.transform("_records", lambda r: cut(lines, r)))
+    found = gathered.join(held, ["project", "path"], "left").select(F.explode(F.element_at(whole, 1)).alias("_cut"))
     status = F.when(F.col("content").isNull(), "bad_range").otherwise("ok")
-    # Ranges over several blocks are rare, so look whether there are any. If so, check each range
-    # on its first block and fetch the rest, from their files only.
-    spans = materialize(placed.filter(~one_block).select(*RANGE, "_block", "_last_block").distinct(), "long-ranges")
-    if spans.isEmpty():
-        return short.withColumn("status", status)
-    theirs = files.join(spans.select("project", "path").distinct(), ["project", "path"], "left_semi")
-    blocks = _file_blocks(theirs, block_lines)
-    sizes = blocks.select("project", "path", "_block", "_n_lines")
-    valid = spans.join(sizes, ["project", "path", "_block"]).filter(inside)
-    pieces = (
-        valid.select(*RANGE, F.explode(F.sequence("_block", "_last_block")).alias("_block"))
-        .join(blocks, ["project", "path", "_block"])
-        .select(
-            *RANGE, "_block",
-            F.array_join(
-                F.slice(
-                    "_lines",
-                    F.greatest(offset, F.lit(1)).cast("int"),
-                    (F.least(F.col("end_line") - F.col("_block") * block_lines, F.lit(block_lines))
-                     - F.greatest(offset, F.lit(1)) + 1).cast("int"),
-                ), "\n",
-            ).alias("_piece"),
-        )
-    )
-    whole = pieces.groupBy(*RANGE).agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("_block", "_piece"))), lambda p: p["_piece"]), "\n"
-        ).alias("content")
-    )
-    long = placed.filter(~one_block).select(*columns).join(whole, RANGE, "left").select(*columns, "content")
-    return short.unionByName(long).withColumn("status", status)
+    return found.select(*[F.col("_cut.record")[c].alias(c) for c in columns], F.col("_cut.content").alias("content")).withColumn("status", status)
 
 
-def code_functions(records: DataFrame, files: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
+def code_functions(records: DataFrame, files: DataFrame, block_lines: int = CUT_LINES) -> DataFrame:
     """Records whose lines exist, with their content; the remaining map stays the index table."""
     found = function_content(records, files, block_lines).filter(F.col("status") == "ok")
     return found.select("project", "path", "name", "start_line", "end_line", "content")
