@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import os
 import stat
+import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -18,44 +20,65 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import text as tx
 from ..storage import posix_path, run_dir
 
-LISTED = "project string, path string, is_dir boolean, modified timestamp, length bigint"
+LISTED = ("project string, path string, is_dir boolean, modified timestamp, length bigint, id string, linked boolean, "
+          "above array<string>, shares int")
 BATCH_BYTES = 64 << 20
 # What a task reads, about.
 TASK_BYTES = 256 << 20
+# Entries that one task lists; a folder with more is divided.
+FOLDER_ENTRIES = 10_000
 
 
-def _entries(folder: str) -> Iterator[tuple[str, bool, int, int]]:
-    """What a folder holds; links are followed, unreadable folders and entries are left out."""
+def _id(info: os.stat_result) -> str:
+    return f"{info.st_dev}:{info.st_ino}"
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    columns = ["project", "path", "is_dir", "modified", "length", "id", "linked", "above", "shares"]
+    frame = pd.DataFrame(rows, columns=columns)
+    frame["modified"] = pd.to_datetime(frame["modified"] // 1000, unit="us", utc=True)
+    return frame
+
+
+def _folder_rows(project: str, folder: str, linked: bool, above: list[str], share: int, shares: int, most: int) -> Iterator[tuple]:
+    """What a folder, or one share of it, holds. Unreadable folders and entries are left out, and links to a folder above.
+
+    A folder with more than ``most`` entries gives one row that says in how many shares to list it.
+    """
     try:
+        own = _id(os.stat(folder))
         entries = os.scandir(folder)
     except OSError:
         return
     with entries:
-        for entry in entries:
+        mine = (e for e in entries if shares == 1 or zlib.crc32(os.fsencode(e.name)) % shares == share)
+        first = list(islice(mine, most + 1)) if shares == 1 else []
+        if len(first) > most:
+            n = len(first) + sum(1 for _ in mine)
+            yield project, folder, True, 0, 0, own, linked, above, -(-n // most)
+            return
+        below = [*above, own]
+        for entry in chain(first, mine):
             try:
                 info = entry.stat()
+                link = linked or entry.is_symlink()
             except OSError:
                 continue
-            yield entry.path, stat.S_ISDIR(info.st_mode), info.st_mtime_ns, info.st_size
+            if not stat.S_ISDIR(info.st_mode):
+                yield project, entry.path, False, info.st_mtime_ns, info.st_size, None, link, None, 1
+            elif _id(info) not in below:
+                yield project, entry.path, True, info.st_mtime_ns, info.st_size, _id(info), link, below, 1
 
 
-def _frame(rows: list[tuple[str, str, bool, int, int]]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=["project", "path", "is_dir", "modified", "length"])
-    frame["modified"] = pd.to_datetime(frame["modified"] // 1000, unit="us", utc=True)
-    return frame
+def _list_folders(most: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in frame.itertuples(index=False):
+                rows = _folder_rows(at.project, at.path, bool(at.linked), list(at.above), int(at.share), int(at.shares), most)
+                while some := list(islice(rows, 10_000)):
+                    yield _frame(some)
 
-
-def _list_folders(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for project, folder in zip(frame["project"], frame["path"]):
-            rows: list[tuple[str, str, bool, int, int]] = []
-            for row in _entries(folder):
-                rows.append((project, *row))
-                if len(rows) == 10_000:
-                    yield _frame(rows)
-                    rows = []
-            if rows:
-                yield _frame(rows)
+    return run
 
 
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
@@ -64,17 +87,38 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
 
 
 def list_trees(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
-    """All files of several projects: ``project, path, modified, length``. One job per level of the deepest tree."""
+    """All files of several projects: ``project, path, modified, length``. One job per level of the deepest tree.
+
+    Links are followed. A link to a folder above it is a loop and is not entered. Any other folder is entered by its own
+    path, and once more below links: by the link of the lowest level, of those the first by path. The folders entered
+    below links are a table that each level is joined against, so that links that lead to each other end. A folder of
+    very many entries is listed by several tasks, each by its share of the names.
+    """
     base = run_dir(spark, "listing")
-    level, folders = 0, spark.createDataFrame([(p, posix_path(root)) for p, root in roots.items()], "project string, path string")
+    start = [(p, posix_path(root), False, [], 0, 1) for p, root in roots.items()]
+    level, folders = 0, spark.createDataFrame(start, "project string, path string, linked boolean, above array<string>, share int, shares int")
+    entered = f"{base}.entered"
     while True:
         out = f"{base}/level={level}"
-        folders.mapInPandas(_list_folders, LISTED).write.parquet(out)
-        found = spark.read.schema(LISTED).parquet(out).filter("is_dir").select("project", "path")
-        # Deal the next level out evenly, however its folders are spread.
-        folders = found.repartition(spark.sparkContext.defaultParallelism * 4)
+        folders.mapInPandas(_list_folders(FOLDER_ENTRIES), LISTED).write.parquet(out)
+        found = spark.read.schema(LISTED).parquet(out).filter("is_dir")
         if found.isEmpty():
             break
+        # Folders to list in shares have been entered already.
+        new = found.filter("linked and shares = 1").groupBy("project", "id").agg(F.min(F.struct("path", "above")).alias("f"))
+        if level:
+            new = new.join(spark.read.schema("project string, id string").parquet(entered), ["project", "id"], "left_anti")
+        new.select("project", "id", "f.path", "f.above").write.parquet(f"{entered}/level={level}")
+        new = spark.read.schema("project string, id string, path string, above array<string>").parquet(f"{entered}/level={level}")
+        once = F.lit(0).alias("share"), F.lit(1).alias("shares")
+        folders = (
+            found.filter("not linked and shares = 1").select("project", "path", "linked", "above", *once)
+            .unionByName(new.select("project", "path", F.lit(True).alias("linked"), "above", *once))
+            .unionByName(found.filter("shares > 1").select(
+                "project", "path", "linked", "above", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "shares"))
+            # Deal the next level out evenly, however its folders are spread.
+            .repartition(spark.sparkContext.defaultParallelism * 4)
+        )
         level += 1
     files = spark.read.schema(LISTED).parquet(base).filter("not is_dir")
     return files.select("project", "path", "modified", "length")

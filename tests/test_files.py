@@ -40,6 +40,50 @@ def test_scan_sees_hidden_files_and_follows_links(spark, root):
     assert all(r["length"] == r["n"] for r in rows.values())
 
 
+def listed(spark, root):
+    return sorted(r["path"][len(str(root)) + 1:] for r in tree.list_tree(spark, str(root)).collect())
+
+
+def test_link_loops_give_each_file_once(spark, tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    for name in ("top.py", "a/one.py", "a/b/two.py"):
+        (tmp_path / name).write_text("x")
+    for link, target in (("up", "."), ("up2", "."), ("a/b/root", "."), ("a/b/back", "a"), ("self", "self")):
+        os.symlink(tmp_path / target, tmp_path / link)
+    assert listed(spark, tmp_path) == ["a/b/two.py", "a/one.py", "top.py"]
+    # The root may itself be reached by a link.
+    os.symlink(tmp_path, tmp_path.parent / "alias")
+    assert listed(spark, tmp_path.parent / "alias") == ["a/b/two.py", "a/one.py", "top.py"]
+
+
+def test_links_that_fan_out_end(spark, tmp_path):
+    # Two links to the next folder in each: 2^12 paths to the last file, each folder entered twice at most.
+    for i in range(13):
+        (tmp_path / f"d{i:02}").mkdir()
+    for i in range(12):
+        for name in "xy":
+            os.symlink(tmp_path / f"d{i + 1:02}", tmp_path / f"d{i:02}" / name)
+    (tmp_path / "d12" / "last.py").write_text("x")
+    (tmp_path / "d00" / "first.py").write_text("x")
+    got = listed(spark, tmp_path)
+    assert "d00/first.py" in got and "d12/last.py" in got and len(got) == 3
+    # Two projects enter the same folders, each for itself.
+    both = tree.list_trees(spark, {"p": str(tmp_path), "q": str(tmp_path / "d11")})
+    assert {(r["project"], r["count"]) for r in both.groupBy("project").count().collect()} == {("p", 3), ("q", 1)}
+
+
+def test_a_folder_of_many_entries_is_listed_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tree, "FOLDER_ENTRIES", 500)
+    (tmp_path / "many" / "below").mkdir(parents=True)
+    for i in range(3000):
+        (tmp_path / "many" / f"n{i}.py").touch()
+    (tmp_path / "many" / "below" / "z.py").touch()
+    files = tree.list_tree(spark, str(tmp_path)).withColumn("by", F.input_file_name())
+    assert sorted(r["path"][len(str(tmp_path)) + 1:] for r in files.collect()) == sorted([f"many/n{i}.py" for i in range(3000)] + ["many/below/z.py"])
+    shares = [r["count"] for r in files.filter("path like '%/n%.py'").groupBy("by").count().collect()]
+    assert len(shares) >= 3 and max(shares) < 2500
+
+
 def test_filter_decode_and_chunks(spark, root):
     df = scanned(spark, root, extensions=("py", "rs", "go", "js", "ts", "c"))
     sources = tree.decode_text(df).select(F.lit("p").alias("project"), "path", "content")
