@@ -1,14 +1,14 @@
 """Personal data in texts, and the words that give it away.
 
 1. Base: e-mail and network addresses, card and phone numbers by their patterns, in linear time for any text.
-2. Each value found is a protected entity. Words near its mentions are counted with it over the corpus, and all words
-   are counted once: of ``n`` places of a word, ``n_near`` lie near the entity.
+2. Each value found is a protected entity. Words near its mentions are counted with it over the corpus. Those seen in
+   ``min_contexts`` different surroundings of one entity, so that copies of one text say nothing, are counted in all
+   texts: of ``n`` places of a word, ``n_near`` lie near the entity.
 3. A word tells PMI(entity; word) = log(P(entity | word) / P(entity)) of the entity's own information, -log P(entity).
-   It discloses the entity if that is ``threshold`` of all its information or more, and if it was seen in
-   ``min_contexts`` different surroundings, so that copies of one text say nothing. A word that stands nowhere else tells
-   everything and is removed; the others are generalised.
-4. Words that disclose are looked up in all texts, also in those that do not name the entity: a filter of fixed size goes
-   to the tasks, and what it lets through is joined to the words themselves.
+   It discloses the entity if that is ``threshold`` of all its information or more. A word that stands nowhere else
+   tells everything and is removed; the others are generalised.
+4. Words that disclose are looked up in all texts, also in those that do not name the entity. For this and for the counts
+   a filter of fixed size goes to the tasks, and what it lets through is joined to the words themselves.
 
 Defined results: a null text counts as empty and has no spans; texts of any length are read whole; a value that is found
 in many documents, or rows that repeat, is one entity with all its mentions; ties of equal disclosure give the same
@@ -35,7 +35,7 @@ MIN_CONTEXTS = 3
 # Bits of the filter that the tasks get, whatever the number of words; it is collected as rows of 32,768 bits.
 FILTER_BITS = 1 << 23
 # Words a task counts, and answers it keeps, before it gives them out or starts anew.
-HELD_WORDS = 500_000
+HELD_WORDS = 100_000
 LONG_TEXT = 1 << 20
 
 _WORD = re.compile(r"\w+")
@@ -107,38 +107,32 @@ def _open_words(text: str, spans: list) -> list[tuple[int, int, str]]:
     return words
 
 
-def word_counts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``word, entity, context, n``: without an entity the places of a word outside spans, with one those near it.
+def _counted(rows, names: list[str]):
+    import pyarrow as pa
 
-    Partial counts; ``context`` tells different surroundings of an entity apart.
-    """
+    columns = list(zip(*rows)) or [[]] * len(names)
+    kinds = {"context": pa.int64(), "n": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.string())) for n, c in zip(names, columns)], names=names)
 
-    def run(batches: Iterator):
-        import pyarrow as pa
 
-        counts: Counter = Counter()
+def near_counts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``word, entity, context, n``: places of words near mentions of an entity; partial counts.
 
-        def give():
-            nonlocal counts
-            rows = [(*key, n) if isinstance(key, tuple) else (key, None, None, n) for key, n in counts.items() if n]
-            counts = Counter()
-            columns = list(zip(*rows)) or [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()))],
-                                              names=["word", "entity", "context", "n"])
+    ``context`` tells different surroundings of an entity apart.
+    """
 
+    def run(batches: Iterator):
+        counts: Counter = Counter()
         for batch in batches:
             for text in batch.column(0):
                 text = text.as_py() or ""
                 spans = base_spans(text)
-                if not spans:
-                    counts.update(_lower_words(text))
-                else:
-                    words = _open_words(text, spans)
-                    counts.update(w for _, _, w in words)
-                    counts.update(_near(text, spans, words, window))
+                if spans:
+                    counts.update(_near(text, spans, _open_words(text, spans), window))
                 if len(counts) > HELD_WORDS:
-                    yield give()
-        yield give()
+                    yield _counted([(*k, n) for k, n in counts.items()], ["word", "entity", "context", "n"])
+                    counts.clear()
+        yield _counted([(*k, n) for k, n in counts.items()], ["word", "entity", "context", "n"])
 
     return docs.select("text").mapInArrow(run, "word string, entity string, context long, n long")
 
@@ -156,23 +150,23 @@ def _near(text: str, spans: list, words: list, window: int) -> Iterator[tuple[st
                 yield words[i][2], name, context
 
 
-def disclosing_words(counts: DataFrame, threshold: float = THRESHOLD, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
-    """``word, treatment``: 0 to generalise, 1 to remove. ``counts`` is a written table of ``word_counts``."""
-    everywhere = counts.filter("entity is null").groupBy("word").agg(F.sum("n").alias("n"))
-    total = counts.filter("entity is null").agg(F.sum("n")).first()[0] or 0
-    near = counts.filter("entity is not null")
-    # First by context, so that no entity's contexts are gathered in one row.
-    pairs = near.groupBy("word", "entity", "context").agg(F.sum("n").alias("n")).groupBy("word", "entity").agg(
-        F.sum("n").alias("n_near"), F.count(F.lit(1)).alias("contexts"))
-    entities = near.groupBy("entity").agg(F.sum("n").alias("covered"))
-    own = F.log2(F.lit(float(total)) / F.col("covered"))
-    told = own - F.log2(F.col("n") / F.col("n_near"))
-    found = pairs.filter(F.col("contexts") >= min_contexts).join(entities, "entity").join(everywhere, "word")
-    found = found.filter((own > 0) & (told >= F.lit(threshold) * own))
-    return found.groupBy("word").agg(F.max((F.col("n") == F.col("n_near")).cast("int")).alias("treatment"))
+class _Filter:
+    """Whether a word may be one of those that set the bits; keeps its answers."""
 
+    def __init__(self, bits: bytes):
+        self.bits, self.known, self.some = bits, {}, any(bits)
 
-def _word_filter(words: DataFrame) -> bytearray:
+    def __call__(self, word: str) -> bool:
+        answer = self.known.get(word)
+        if answer is None:
+            if len(self.known) >= HELD_WORDS:
+                self.known.clear()
+            at = zlib.crc32(word.encode("utf-8", "replace")) % FILTER_BITS
+            answer = self.known[word] = bool(self.bits[at >> 3] >> (at & 7) & 1)
+        return answer
+
+
+def _word_filter(words: DataFrame) -> bytes:
     """A bit for the checksum of each word: a fixed number of bytes, however many words there are."""
     bits = bytearray(FILTER_BITS // 8)
     # Spark numbers the bits from 1.
@@ -182,24 +176,53 @@ def _word_filter(words: DataFrame) -> bytearray:
     for row in rows.collect():
         start = (row["part"] - 1) * 4096
         bits[start:start + 4096] = row["bits"]
-    return bits
+    return bytes(bits)
 
 
-def _spans_and_candidates(bits: bytes):
+def word_counts(docs: DataFrame, bits: bytes) -> DataFrame:
+    """``word, n``: places outside spans of the words that pass the filter, and of all words without a ``word``; partial."""
+
     def run(batches: Iterator):
-        import pyarrow as pa
+        wanted, counts, total = _Filter(bits), Counter(), 0
+        for batch in batches:
+            for text in batch.column(0) if wanted.some else ():
+                text = text.as_py() or ""
+                spans = base_spans(text)
+                words = Counter(w for _, _, w in _open_words(text, spans)) if spans else Counter(_lower_words(text))
+                total += words.total()
+                for word, n in words.items():
+                    if wanted(word):
+                        counts[word] += n
+                if len(counts) > HELD_WORDS:
+                    yield _counted(list(counts.items()), ["word", "n"])
+                    counts.clear()
+        yield _counted([*counts.items(), (None, total)], ["word", "n"])
+
+    return docs.select("text").mapInArrow(run, "word string, n long")
+
+
+def disclosing_words(docs: DataFrame, threshold: float = THRESHOLD, min_contexts: int = MIN_CONTEXTS, window: int = WINDOW) -> DataFrame:
+    """``word, treatment``: 0 to generalise, 1 to remove."""
+    near = materialize(near_counts(docs, window), "near-counts")
+    # First by context, so that no entity's contexts are gathered in one row.
+    pairs = near.groupBy("word", "entity", "context").agg(F.sum("n").alias("n")).groupBy("word", "entity").agg(
+        F.sum("n").alias("n_near"), F.count(F.lit(1)).alias("contexts"))
+    pairs = materialize(pairs.filter(F.col("contexts") >= min_contexts), "near-pairs")
+    counts = materialize(word_counts(docs, _word_filter(pairs)), "word-counts")
+    total = counts.filter("word is null").agg(F.sum("n")).first()[0] or 0
+    everywhere = counts.filter("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
+    entities = near.groupBy("entity").agg(F.sum("n").alias("covered"))
+    own = F.log2(F.lit(float(total)) / F.col("covered"))
+    told = own - F.log2(F.col("n") / F.col("n_near"))
+    found = pairs.join(entities, "entity").join(everywhere, "word").filter((own > 0) & (told >= F.lit(threshold) * own))
+    return found.groupBy("word").agg(F.max((F.col("n") == F.col("n_near")).cast("int")).alias("treatment"))
 
-        known: dict[str, bool] = {}
-        some = any(bits)
 
-        def may_disclose(word: str) -> bool:
-            if word not in known:
-                if len(known) >= HELD_WORDS:
-                    known.clear()
-                at = zlib.crc32(word.encode("utf-8", "replace")) % FILTER_BITS
-                known[word] = bool(bits[at >> 3] >> (at & 7) & 1)
-            return known[word]
+def _spans_and_candidates(bits: bytes):
+    def run(batches: Iterator):
+        import pyarrow as pa
 
+        discloses = _Filter(bits)
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32())]))
         place = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("word", pa.string())]))
         for batch in batches:
@@ -207,7 +230,7 @@ def _spans_and_candidates(bits: bytes):
             for text in batch.column("text"):
                 text = text.as_py() or ""
                 spans = base_spans(text)
-                candidates = {w for w in set(_lower_words(text)) if may_disclose(w)} if some else ()
+                candidates = {w for w in set(_lower_words(text)) if discloses(w)} if discloses.some else ()
                 bases.append([{"start": a, "end": b, "kind": k} for a, b, k in spans])
                 places.append([{"start": a, "end": b, "word": w} for a, b, w in _open_words(text, spans) if w in candidates] if candidates else [])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bases, span), pa.array(places, place)],
@@ -223,8 +246,8 @@ def find_disclosures(docs: DataFrame, threshold: float = THRESHOLD, min_contexts
     Both in the order of their starts; one row per row of ``docs``, with its ``text`` if asked for.
     """
     given = docs.select("doc_id", "text")
-    words = materialize(disclosing_words(materialize(word_counts(given, window), "word-counts"), threshold, min_contexts), "words")
-    bits = bytes(_word_filter(words))
+    words = materialize(disclosing_words(given, threshold, min_contexts, window), "words")
+    bits = _word_filter(words)
     kept = given.schema.simpleString()[len("struct<"):-1].replace(":", " ")
     schema = f"{kept}, base array<struct<start:int,end:int,kind:int>>, places array<struct<start:int,end:int,word:string>>"
     spans = given.mapInArrow(_spans_and_candidates(bits), schema)
