@@ -13,7 +13,7 @@ from .functions import templates as tp, text as tx
 from .operators import code, detect, lines, model, prompts, records, reports, reviews, walk
 from .plans.ordered_text import ROW_BYTES
 from .session import tune
-from .sinks import files as sinks
+from .sinks import files as sinks, record_store
 from .sources import tree
 from .storage import materialize, posix_path, run_dir
 from .streaming import flows
@@ -626,10 +626,10 @@ def q_append_records(spark, sf_dir):
 @query(f"select project, name, path, start_line, end_line from ({SQL_PARSED})", "completions")
 def q_read_record_file(spark, sf_dir):
     store = run_dir(spark, "records")
-    tagged = _records(spark, sf_dir).withColumn("record", F.concat("record", F.lit(" "), "project"))
-    sinks.append_records(tagged, store, "all")
-    stored = tree.read_record_file(spark, store).withColumn("project", F.regexp_extract("record", r"\} (.*)$", 1))
-    return records.parse_records(stored.drop("run"))
+    rows = _records(spark, sf_dir)
+    for run, rest in (("even", 0), ("odd", 1)):
+        sinks.append_records(rows.filter(F.col("doc_id") % 2 == rest), store, run, ("doc_id", "record_no"))
+    return records.parse_records(record_store.read_records(spark, store)).select("project", "name", "path", "start_line", "end_line")
 
 
 @query("select unnest(string_split(review_message, chr(10))) as line from reviews", "reviews")

@@ -13,6 +13,7 @@ from ..operators.detect import detect_functions, uncovered_files
 from ..operators.model import SETTINGS, ModelFn, complete_prompts
 from ..session import tune
 from ..sinks.files import append_records, append_review_log, dump_index, write_reports
+from ..sinks.record_store import read_records, stored_runs
 from ..sources import tree
 from ..storage import materialize, posix_path
 from .ordered_text import whole_texts
@@ -89,15 +90,23 @@ def choose_seeds(found: DataFrame, model_fn: ModelFn, concurrency: int | None =
 
 def review_tree(spark: SparkSession, roots: dict[str, str], out: str, review_fn: ModelFn,
                 extract_fn: ModelFn | None = None, seed_fn: ModelFn | None = None, max_steps: int | None = None,
-                concurrency: int | None = None) -> Review:
+                concurrency: int | None = None, run_id: str | None = None) -> Review:
     """Scan, extract, choose the first functions, walk, and write the reports below ``out``.
 
     ``extract_fn`` lists functions (else they are detected), ``seed_fn`` chooses where each project
     starts (else its first record), ``review_fn`` reviews. Next to the reports ``out`` gets the
-    function records of this run, the index and the log of all review messages.
+    function records of this run, the index and the log of all review messages. A ``run_id`` whose records are
+    stored there already is taken up again: its functions are not listed anew, in the order they had.
     """
     files = list_projects(tune(spark), roots)
-    found = extract_records(read_projects(files), extract_fn, concurrency=concurrency)
+    kept = "file://" + posix_path(out)
+    store = f"{kept}/function_records"
+    if run_id is not None and not stored_runs(spark, store).filter(F.col("run") == run_id).isEmpty():
+        stored = read_records(spark, store, run_id).drop("run").withColumn("text", F.col("record"))
+        found = materialize(records.parse_records(stored, "text"), "resumed")
+    else:
+        found = extract_records(read_projects(files), extract_fn, concurrency=concurrency)
+        append_records(found, store, run_id or uuid.uuid4().hex)
     seeds = choose_seeds(found, seed_fn, concurrency) if seed_fn else None
     # A step reads the files of the functions due; a path that no listing has is not opened.
     due_files = lambda due: read_projects(
@@ -107,8 +116,6 @@ def review_tree(spark: SparkSession, roots: dict[str, str], out: str, review_fn:
     reviewed = reports.with_modified_time(walked.filter(F.col("error").isNull()), files)
     sections = reports.render_markdown(reviewed)
     written = write_reports(reports.assemble_reports(sections, ["project", "step"]), out)
-    kept = "file://" + posix_path(out)
-    append_records(found, f"{kept}/function_records", uuid.uuid4().hex)
     dump_index(records.function_index(found), f"{kept}/function_index")
     append_review_log(walked.filter(F.col("review_message").isNotNull()), f"{kept}/review_log")
     return Review(files, found, walked, written, skipped_files(files, extract_fn is None))

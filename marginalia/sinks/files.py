@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..operators.records import index_lines
 from ..storage import materialize, posix_path
+from .record_store import write_records
 
 
 def _writer(root: str, replace: bool):
@@ -76,9 +77,9 @@ def append_review_log(df: DataFrame, path: str) -> None:
     df.select(F.col("review_message").alias("value")).write.mode("append").text(path)
 
 
-def append_records(df: DataFrame, path: str, run_id: str) -> None:
-    """Add cleaned record lines as one run of the record store; writing a run again replaces it."""
-    df.select(F.col("record").alias("value")).write.mode("overwrite").text(f"{path}/run={run_id}")
+def append_records(df: DataFrame, path: str, run_id: str, order: tuple[str, ...] = ("record_no",)) -> None:
+    """Add cleaned record lines as one run of the record store, in their order; writing a run again replaces it."""
+    write_records(df, path, run_id, order)
 
 
 def dump_index(index: DataFrame, path: str) -> None:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.operators import lines, records
-from marginalia.sinks import files as sinks
+from marginalia.sinks import files as sinks, record_store
 from marginalia.sources import tree
 
 BIG = 1_000_001
@@ -130,6 +130,35 @@ def test_record_store_replaces_a_run_only(spark, shared):
     assert sorted(r["record"] for r in tree.read_record_file(spark, store).collect()) == ["b", "c"]
 
 
+def test_record_store_restores_projects_and_order(spark, shared, monkeypatch):
+    monkeypatch.setattr(record_store, "PART_ROWS", 7)
+    store, schema = shared("store"), "project string, record_no bigint, record string"
+    projects = ["a", "b/c=d", "", None, "n\u00e4me " * 60]
+    rows = [(p, 3 * i + 1, f"{{\"f{i * 31 % 50}\", \"x\", 1, {i}}}") for p in projects for i in range(50 if p == "a" else 9)]
+    sinks.append_records(spark.createDataFrame(rows, schema).repartition(5), store, "first")
+    sinks.append_records(spark.createDataFrame([("a", 1, "one\ntwo"), ("a", 2, "three\rfour")], schema), store, "second")
+    got = lambda run: [(r["project"], r["record"]) for r in record_store.read_records(spark, store, run).orderBy("project", "record_no").collect()]
+    assert got("first") == [(p, r) for p, _, r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))]
+    assert got("second") == [("a", "one"), ("a", "two"), ("a", "three\rfour")]
+    numbers = record_store.read_records(spark, store, "first").filter("project = 'a'").select("record_no").collect()
+    assert sorted(r["record_no"] for r in numbers) == list(range(1, 51))
+    # The files hold the lines and nothing else, and a run written again is replaced.
+    assert '{"f0", "x", 1, 0}' in {r["value"] for r in spark.read.text(store).collect()}
+    sinks.append_records(spark.createDataFrame([("z", 1, "new")], schema), store, "first")
+    assert got("first") == [("z", "new")] and len(got(None)) == 4
+    assert record_store.read_records(spark, shared("none")).count() == 0
+
+
+def test_a_part_that_lost_lines_is_an_error(spark, tmp_path):
+    store = "file://" + str(tmp_path)
+    sinks.append_records(spark.createDataFrame([("p", i, f"r{i}") for i in range(9)], "project string, record_no bigint, record string"), store, "r")
+    part = next(tmp_path.glob("run=r/**/part-*.txt"))
+    part.with_name(f".{part.name}.crc").unlink()
+    part.write_text("r0\nr1\n")
+    with pytest.raises(Exception, match="not as its manifest says"):
+        record_store.read_records(spark, store).collect()
+
+
 def test_record_file_skips_bad_lines(spark, tmp_path):
     (tmp_path / "r.txt").write_bytes(b'{"a", "p", 1, 2}\n\xff\xfe\n{"b", "p", 3, 4}\n')
     df = records.parse_records(tree.read_record_file(spark, str(tmp_path)).withColumn("project", F.lit("p")))

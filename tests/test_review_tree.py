@@ -68,3 +68,25 @@ def test_extraction_and_seed_by_model(spark, tmp_path):
     done = review_tree(spark, {"p": str(tmp_path / "src")}, str(tmp_path / "out"), reviewer, extract, seed, max_steps=2)
     assert [r["name"] for r in done.records.orderBy("record_no").collect()] == ["f", "g"]
     assert [(r["step"], r["name"], r["path"]) for r in done.reviews.orderBy("step").collect()] == [(0, "g", a), (1, "g", a)]
+
+
+def test_a_stored_run_is_taken_up_again(spark, tmp_path):
+    write(tmp_path / "src", {"a.c": "int f() {\n}\nint g() {\n}\n", "b.c": "int h() {\n}\n"})
+    calls = str(tmp_path / "calls")
+
+    def extract(prompts):
+        with open(calls, "a") as log:
+            log.write("x" * len(prompts))
+        path = [p.split("File Path: ")[1].split("\n")[0] for p in prompts]
+        return [answer("\n".join(f'{{"{n}", "{p}", {i}, {i + 1}}}' for n, i in (("z", 1), ("a", 1)))) for p in path]
+
+    roots, out = {"p": str(tmp_path / "src")}, str(tmp_path / "out")
+    first = review_tree(spark, roots, out, reviewer, extract, max_steps=2, run_id="r1")
+    sent = len(open(calls).read())
+    again = review_tree(spark, roots, out, reviewer, extract, max_steps=2, run_id="r1")
+    assert sent == 2 and len(open(calls).read()) == sent
+    rows = lambda df, order: [(r["project"], r["path"], r["name"], r["start_line"]) for r in df.orderBy("project", order).collect()]
+    assert rows(first.records, "record_no") == rows(again.records, "record_no") and len(rows(again.records, "record_no")) == 4
+    assert rows(first.reviews, "step") == rows(again.reviews, "step")
+    review_tree(spark, roots, out, reviewer, extract, max_steps=1, run_id="r2")
+    assert len(open(calls).read()) == 2 * sent
