@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import inspect
+import time
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.ordered_text import whole_texts
-from ..storage import materialize
+from ..storage import materialize, run_dir
 from .prompts import FUNCTION_KEY, review_prompt
 from .records import completion_content
 
@@ -16,32 +19,23 @@ from .records import completion_content
 # returns a response document, or an exception, for each prompt.
 ModelFn = Callable[..., list]
 SETTINGS = ("system", "max_tokens", "temperature")
+ANSWERS = "_digest string, response string, error string"
+# Calls of a task, about: what is repeated when it is lost.
+BLOCK = 64
 
 
 def _takes_settings(model_fn: ModelFn) -> bool:
     return len(inspect.signature(model_fn).parameters) > 1
 
 
-def complete_prompts(df: DataFrame, model_fn: ModelFn, prompt: str = "prompt",
-                     concurrency: int | None = None, batch: int = 1) -> DataFrame:
-    """Call ``model_fn`` once per prompt; adds ``response`` and ``error`` and drops the prompt and its settings.
-
-    ``model_fn`` gets up to ``batch`` prompts at a time, each of them once: an exception in its place is the
-    error of that prompt, and one that is raised is the error of all prompts of the call. ``concurrency`` bounds
-    the calls in flight. The answers are written before use: no later job pays for a call twice.
-    """
-    settings = [c for c in SETTINGS if c in df.columns]
-    kept = [c for c in df.columns if c != prompt and c not in settings]
-    schema = T.StructType(
-        [df.schema[c] for c in kept] + [T.StructField("response", T.StringType()), T.StructField("error", T.StringType())]
-    )
-    with_settings = _takes_settings(model_fn)
+def _answers(model_fn: ModelFn, with_settings: bool, settings: list[str], batch: int, retries: int, wait: float):
+    """Prompts to ``_digest, response, error``; those that fail are sent again, after a wait that doubles."""
 
     def said(error: BaseException) -> str:
         return str(error) or type(error).__name__
 
-    def answer(piece) -> list[tuple[str | None, str | None]]:
-        prompts = piece[prompt].tolist()
+    def ask(piece) -> list[tuple[str | None, str | None]]:
+        prompts = piece["_prompt"].tolist()
         try:
             given = [prompts, piece[settings].to_dict("records")] if with_settings else [prompts]
             responses = list(model_fn(*given))
@@ -53,29 +47,102 @@ def complete_prompts(df: DataFrame, model_fn: ModelFn, prompt: str = "prompt",
 
     def run(frames):
         for frame in frames:
-            answers = [(None, "no prompt")] * len(frame)
-            sent = [i for i, p in enumerate(frame[prompt].tolist()) if p is not None]
-            for at in range(0, len(sent), batch):
-                some = sent[at:at + batch]
-                for i, pair in zip(some, answer(frame.iloc[some])):
-                    answers[i] = pair
-            out = frame[kept].copy()
-            out["response"] = [r for r, _ in answers]
-            out["error"] = [e for _, e in answers]
+            found: list = [None] * len(frame)
+            due = list(range(len(frame)))
+            for attempt in range(retries + 1):
+                if attempt and due:
+                    time.sleep(wait * 2 ** (attempt - 1))
+                for at in range(0, len(due), batch):
+                    some = due[at:at + batch]
+                    for i, pair in zip(some, ask(frame.iloc[some])):
+                        found[i] = pair
+                due = [i for i in due if found[i][1] is not None]
+            out = frame[["_digest"]].copy()
+            out["response"], out["error"] = [r for r, _ in found], [e for _, e in found]
             yield out
 
-    spread = df.repartition(concurrency) if concurrency else df
-    return materialize(spread.mapInPandas(run, schema), "completions")
+    return run
+
+
+def complete_prompts(df: DataFrame, model_fn: ModelFn, prompt: str = "prompt", concurrency: int | None = None, batch: int = 1,
+                     ledger: str | None = None, block: int = BLOCK, retries: int = 0, wait: float = 1.0) -> DataFrame:
+    """Call ``model_fn`` once per prompt; adds ``response`` and ``error`` and drops the prompt and its settings.
+
+    ``model_fn`` gets up to ``batch`` prompts at a time: an exception in its place is the error of that prompt, and one
+    that is raised is the error of all prompts of the call. A prompt that failed is sent again up to ``retries`` times,
+    after ``wait`` seconds, then twice as long, and so on. ``concurrency`` bounds the calls in flight.
+
+    Answers are kept in a ledger, a folder of tables, by a hash of the prompt and its settings: equal ones are
+    asked once, and no later job pays for a call twice. Prompts go out in jobs in which a task has one ``block`` of them, about, and
+    a job's answers are written before the next begins. A task that is lost repeats the calls of its block; a run
+    that ended half way and is started again with the same ``ledger`` repeats the blocks it had open, and asks again
+    what failed.
+    """
+    spark = df.sparkSession
+    settings = [c for c in SETTINGS if c in df.columns]
+    kept = [c for c in df.columns if c != prompt and c not in settings]
+    folder = ledger or run_dir(spark, "ledger")
+    # A field's length keeps two lists of texts with one concatenation apart.
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (prompt, *settings)]
+    sized = F.concat(*[F.concat(F.length(c).cast("string"), F.lit(":"), c) for c in fields])
+    digest = F.when(F.col(prompt).isNotNull(), F.sha2(sized.cast("binary"), 256))
+    numbered = df.withColumns({"_digest": digest, "_row": F.monotonically_increasing_id()}).withColumnRenamed(prompt, "_prompt")
+    rows = materialize(numbered, "prompts")
+    known = _known(spark, folder)
+    due = rows.filter(F.col("_digest").isNotNull())
+    # Of equal prompts one row is taken by its number, so that no prompt is shuffled for it.
+    first = due.groupBy("_digest").agg(F.min("_row").alias("_row")).join(known, "_digest", "left_anti")
+    first = materialize(first.select("_row"), "due")
+    n, tasks = first.count(), concurrency or spark.sparkContext.defaultParallelism
+    n_jobs = -(-n // (tasks * block))
+    if n:
+        job = F.pmod(F.xxhash64("_digest"), F.lit(n_jobs)).cast("int")
+        waiting, schema = run_dir(spark, "waiting"), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in settings)
+        due.join(first, "_row", "left_semi").select("_digest", "_prompt", *settings, job.alias("_job")).write.partitionBy("_job").parquet(waiting)
+        columns = "_digest string, _prompt string" + (f", {schema}" if schema else "")
+        answer = _answers(model_fn, _takes_settings(model_fn), settings, batch, retries, wait)
+        for j in range(n_jobs):
+            try:
+                share = spark.read.schema(columns).parquet(f"{waiting}/_job={j}")
+            except AnalysisException as error:
+                if error.getCondition() != "PATH_NOT_FOUND":
+                    raise
+                continue  # no prompt's hash fell on this job
+            asked = share.repartition(tasks).mapInPandas(answer, ANSWERS)
+            asked.write.parquet(f"{folder}/answers-{uuid.uuid4().hex}")
+    given = _answered(spark, folder)
+    response = F.when(F.col("_digest").isNull(), "no prompt").otherwise(F.col("_said.error"))
+    return rows.select("_digest", *kept).join(given, "_digest", "left").select(*kept, F.col("_said.response").alias("response"), response.alias("error"))
+
+
+def _ledger(spark: SparkSession, folder: str) -> DataFrame:
+    try:
+        return spark.read.schema(ANSWERS).parquet(f"{folder}/answers-*")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], ANSWERS)
+
+
+def _known(spark: SparkSession, folder: str) -> DataFrame:
+    """Prompts that have an answer; those whose call failed are to be asked again."""
+    return _ledger(spark, folder).filter(F.col("error").isNull()).select("_digest").distinct()
+
+
+def _answered(spark: SparkSession, folder: str) -> DataFrame:
+    """One answer for each prompt of the ledger, a response before an error."""
+    best = F.min(F.struct(F.col("error").isNotNull().alias("failed"), "response", "error")).alias("_said")
+    return _ledger(spark, folder).groupBy("_digest").agg(best)
 
 
 def review_functions(functions: DataFrame, remaining: DataFrame, model_fn: ModelFn,
-                     concurrency: int | None = None) -> DataFrame:
+                     concurrency: int | None = None, **asking) -> DataFrame:
     """Review each function once. Adds nothing but ``review_message`` and ``error`` to its key.
 
-    A missing message in the response is an error.
+    A missing message in the response is an error. ``asking`` goes to ``complete_prompts``.
     """
     prompts = whole_texts(review_prompt(functions, remaining), FUNCTION_KEY, carried=SETTINGS).withColumnRenamed("text", "prompt")
-    answered = completion_content(complete_prompts(prompts, model_fn, concurrency=concurrency), out="review_message")
+    answered = completion_content(complete_prompts(prompts, model_fn, concurrency=concurrency, **asking), out="review_message")
     no_text = F.col("review_message").isNull() & F.col("error").isNull()
     return answered.select(
         *FUNCTION_KEY, "review_message", F.when(no_text, "no content in response").otherwise(F.col("error")).alias("error")

@@ -202,7 +202,7 @@ def review_walk(reviews: DataFrame, max_steps: int | None = None, drop_seed: boo
 
 
 def model_walk(records: DataFrame, files: DataFrame | Callable[[DataFrame], DataFrame], model_fn: ModelFn, seeds: DataFrame | None = None,
-               max_steps: int | None = None, drop_seed: bool = False, concurrency: int | None = None) -> DataFrame:
+               max_steps: int | None = None, drop_seed: bool = False, concurrency: int | None = None, **asking) -> DataFrame:
     """The same walk when every review is still to be asked for.
 
     All projects with a function due are reviewed in one job per step: their prompts list the keys
@@ -210,7 +210,7 @@ def model_walk(records: DataFrame, files: DataFrame | Callable[[DataFrame], Data
     ends when its answer says so, is malformed, fails, or asks for something that is not there.
     ``seeds`` (``project, path, name``) chooses the first functions, else it is the first record.
     ``files`` is a table of contents, or a function that reads the files of the records it is given:
-    then a step reads the files of the functions due and no others.
+    then a step reads the files of the functions due and no others. ``asking`` goes to ``complete_prompts``.
     Returns ``project, step, path, name, start_line, end_line, review_message, error, status``.
     """
     spark = records.sparkSession
@@ -236,7 +236,7 @@ def model_walk(records: DataFrame, files: DataFrame | Callable[[DataFrame], Data
         if due.isEmpty():
             break
         left = remaining_functions(index.join(due.select("project"), "project", "left_semi"), gone)
-        reviewed = review_functions(due, left, model_fn, concurrency)
+        reviewed = review_functions(due, left, model_fn, concurrency, **asking)
         signals = next_signal(parse_reviews(reviewed), left).withColumn(
             "status", F.when(F.col("error").isNotNull(), "error").otherwise(F.col("status"))
         )

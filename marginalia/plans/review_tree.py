@@ -64,14 +64,14 @@ def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
 
 
 def extract_records(files: DataFrame, model_fn: ModelFn | None, max_bytes: int = lines.MAX_CHUNK_BYTES,
-                    concurrency: int | None = None) -> DataFrame:
+                    concurrency: int | None = None, **asking) -> DataFrame:
     """Function records of all files, numbered in file order. Without a model they are detected."""
     if model_fn is None:
         found = detect_functions(files).filter(F.col("status") == "found").withColumnRenamed("record_no", "line_no")
         record = F.format_string('{"%s", "%s", %d, %d}', "name", "path", "start_line", "end_line")
         return _numbered(found.withColumn("record", record).drop("status"), ["path", "line_no"])
     asked = prompts.extract_prompt(lines.chunk_lines(files.select("project", "path", "content"), max_bytes))
-    answered = complete_prompts(asked.select("project", "path", "chunk_no", "prompt", *SETTINGS), model_fn, concurrency=concurrency)
+    answered = complete_prompts(asked.select("project", "path", "chunk_no", "prompt", *SETTINGS), model_fn, concurrency=concurrency, **asking)
     texts = records.clean_completion(records.completion_content(answered)).filter(F.col("cleaned").isNotNull())
     lines_of = records.explode_records(texts.select("project", "path", "chunk_no", "cleaned")).withColumnsRenamed(
         {"path": "file_path", "record_no": "line_no"}
@@ -80,23 +80,24 @@ def extract_records(files: DataFrame, model_fn: ModelFn | None, max_bytes: int =
     return _numbered(parsed, ["file_path", "chunk_no", "line_no"])
 
 
-def choose_seeds(found: DataFrame, model_fn: ModelFn, concurrency: int | None = None) -> DataFrame:
+def choose_seeds(found: DataFrame, model_fn: ModelFn, concurrency: int | None = None, **asking) -> DataFrame:
     """Ask the model once per project which function comes first; without an answer there is no seed."""
     asked = whole_texts(prompts.seed_prompt(found, ["record_no"]), ["project"], carried=SETTINGS).withColumnRenamed("text", "prompt")
-    answered = records.completion_content(complete_prompts(asked, model_fn, concurrency=concurrency))
+    answered = records.completion_content(complete_prompts(asked, model_fn, concurrency=concurrency, **asking))
     one = answered.filter(F.col("content").isNotNull()).withColumn("record_no", F.lit(0))
     return records.seed_function(one).select("project", "path", "name")
 
 
 def review_tree(spark: SparkSession, roots: dict[str, str], out: str, review_fn: ModelFn,
                 extract_fn: ModelFn | None = None, seed_fn: ModelFn | None = None, max_steps: int | None = None,
-                concurrency: int | None = None, run_id: str | None = None) -> Review:
+                concurrency: int | None = None, run_id: str | None = None, **asking) -> Review:
     """Scan, extract, choose the first functions, walk, and write the reports below ``out``.
 
     ``extract_fn`` lists functions (else they are detected), ``seed_fn`` chooses where each project
     starts (else its first record), ``review_fn`` reviews. Next to the reports ``out`` gets the
     function records of this run, the index and the log of all review messages. A ``run_id`` whose records are
-    stored there already is taken up again: its functions are not listed anew, in the order they had.
+    stored there already is taken up again: its functions are not listed anew, in the order they had. ``asking`` goes to ``complete_prompts``: with a
+    ``ledger`` the answers of a run that ended half way are not paid for again.
     """
     files = list_projects(tune(spark), roots)
     kept = "file://" + posix_path(out)
@@ -105,14 +106,14 @@ def review_tree(spark: SparkSession, roots: dict[str, str], out: str, review_fn:
         stored = read_records(spark, store, run_id).drop("run").withColumn("text", F.col("record"))
         found = materialize(records.parse_records(stored, "text"), "resumed")
     else:
-        found = extract_records(read_projects(files), extract_fn, concurrency=concurrency)
+        found = extract_records(read_projects(files), extract_fn, concurrency=concurrency, **asking)
         append_records(found, store, run_id or uuid.uuid4().hex)
-    seeds = choose_seeds(found, seed_fn, concurrency) if seed_fn else None
+    seeds = choose_seeds(found, seed_fn, concurrency, **asking) if seed_fn else None
     # A step reads the files of the functions due; a path that no listing has is not opened.
     due_files = lambda due: read_projects(
         files.join(due.select("project", "path").distinct(), ["project", "path"]), due.count()
     )
-    walked = walk.model_walk(found, due_files, review_fn, seeds, max_steps, concurrency=concurrency)
+    walked = walk.model_walk(found, due_files, review_fn, seeds, max_steps, concurrency=concurrency, **asking)
     reviewed = reports.with_modified_time(walked.filter(F.col("error").isNull()), files)
     sections = reports.render_markdown(reviewed)
     written = write_reports(reports.assemble_reports(sections, ["project", "step"]), out)

@@ -1,5 +1,14 @@
+import os
+import sys
+
+import pytest
+from pyspark import cloudpickle
+
 from marginalia.operators.model import complete_prompts
 
+# Model functions use helpers of this module, which workers cannot import.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def test_each_prompt_is_sent_once_with_its_settings(spark, tmp_path):
     calls = str(tmp_path / "calls")
@@ -32,3 +41,56 @@ def test_errors_stay_with_their_prompt(spark):
 def test_wrong_number_of_answers_is_an_error(spark):
     df = spark.createDataFrame([(0, "a")], "i int, prompt string")
     assert complete_prompts(df, lambda prompts: []).first()["error"] == "0 responses for 1 prompts"
+
+
+def logged(path):
+    return sorted(open(path).read().split()) if os.path.exists(path) else []
+
+
+def test_a_run_that_ended_half_way_repeats_only_its_open_block(spark, tmp_path, shared):
+    calls, broken, ledger = str(tmp_path / "calls"), str(tmp_path / "broken"), shared("ledger")
+    open(broken, "w").close()
+
+    def model(prompts):
+        with open(calls, "a") as log:
+            log.writelines(f"{p}\n" for p in prompts)
+        # After 20 calls the worker dies, once.
+        if os.path.exists(broken) and len(open(calls).read().split()) > 20:
+            os.unlink(broken)
+            os._exit(1)
+        return [p.upper() for p in prompts]
+
+    df = spark.createDataFrame([(i, f"p{i}") for i in range(40)], "i int, prompt string")
+    ask = lambda: sorted(map(tuple, complete_prompts(df, model, concurrency=1, ledger=ledger, block=8).collect()))
+    with pytest.raises(Exception):
+        ask()
+    assert len(logged(calls)) == 21
+    assert ask() == [(i, f"P{i}", None) for i in range(40)]
+    sent = logged(calls)
+    # A block has 8 prompts, about: jobs are dealt by hash.
+    assert sorted(set(sent)) == sorted(f"p{i}" for i in range(40)) and len(sent) - 40 <= 20 and len(sent) < 60
+    assert ask() == [(i, f"P{i}", None) for i in range(40)] and logged(calls) == sent
+
+
+def test_equal_prompts_are_asked_once_and_failed_ones_again(spark, tmp_path, shared):
+    calls, ledger = str(tmp_path / "calls"), shared("ledger")
+
+    def model(prompts, settings):
+        out = []
+        for p, s in zip(prompts, settings):
+            with open(calls, "a") as log:
+                log.write(f"{p}/{s['system']}\n")
+            tries = logged(calls).count(f"{p}/{s['system']}")
+            out.append(RuntimeError("busy") if p == "late" and tries < 3 or p == "never" else f"{p} {s['system']}")
+        return out
+
+    rows = [(1, "a", "s"), (2, "a", "s"), (3, "a", "t"), (4, "late", "s"), (5, "never", "s"), (6, None, "s"), (7, "", None)]
+    df = spark.createDataFrame(rows, "i int, prompt string, system string")
+    ask = lambda **how: sorted(map(tuple, complete_prompts(df, model, ledger=ledger, wait=0.01, **how).collect()))
+    good = [(1, "a s", None), (2, "a s", None), (3, "a t", None), (4, "late s", None)]
+    rest = [(5, None, "busy"), (6, None, "no prompt"), (7, " None", None)]
+    assert ask(retries=1) == [*good[:3], (4, None, "busy"), *rest]
+    # The two that failed were sent twice, and are asked again later; the others are not.
+    assert logged(calls) == sorted(["a/s", "a/t", "late/s", "late/s", "never/s", "never/s", "/None"])
+    assert ask() == good + rest
+    assert logged(calls).count("a/s") == 1 and logged(calls).count("late/s") == 3 and logged(calls).count("never/s") == 3
