@@ -6,13 +6,18 @@
 3. The links of a document to one other document are chained in order: a Fenwick tree over positions gives the best
    predecessor under a gap cost that is linear in the words skipped. A chain needs two seeds: one alone is mostly chance.
 4. Only the words around each chain are fetched; both sides are aligned outwards from the chain's seeds, over
-   substitutions, insertions and deletions, as far as at least ``SIMILARITY`` of the words agree.
-5. Aligned segments of a document are merged; a run of more than ``PASSAGE_WORDS`` words is a repeated passage. The first
-   place of a passage in the corpus is not reported.
-
-Defined results: null texts and texts without words have no passages; a null ``doc_id`` is left out; rows that repeat a
-``doc_id`` are the same document, and if their texts differ the passage is that of one of them; passages that
-repeat within one document only are not looked for; an empty table gives an empty table. Only ``doc_id`` and ``text`` are read.
+   substitutions, insertions and deletions, as far as at least ``SIMILARITY`` of the words agree. An alignment that comes
+   to the edge of the words fetched gets more of them, until it ends by itself. An insertion of more than ``WIDE_BAND``
+   words ends a segment; what lies behind it is a segment of its own.
+5. Segments of a document that one other document holds are merged; a run of more than ``PASSAGE_WORDS`` words is a
+   repeated passage. The first place of a passage in the corpus is not reported.
+6. Segments from different documents may adjoin. Such a run of more than ``PASSAGE_WORDS`` words counts where another
+   document has the same ``PASSAGE_WORDS + 1`` words in a row in such a run of its own, and nowhere else.
+
+Defined results: null texts and texts without words have no passages; a null ``doc_id`` is left out; rows with one
+``doc_id`` and one text are the same document, with different texts they are different ones that share their number in
+results; passages that repeat within one document only are not looked for; an empty table gives an empty table. Only
+``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -20,8 +25,9 @@ from __future__ import annotations
 import collections
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..plans.ranks import with_place
 from ..storage import materialize
 from .common import worker_state
 from .words import grams, hash_words, in_runs
@@ -38,8 +44,9 @@ SEGMENT_WORDS = 16
 BAND, WIDE_BAND = 12, 48
 # Words by which an alignment may fall short of the similarity on its way.
 SLACK = 16
-# Words fetched on either side of a chain: seeds of a passage may all have their first place elsewhere for a while.
-MARGIN = 128
+# Words fetched on either side of a chain, and by how much that grows for alignments that come to their edge: seeds of a
+# passage may all have their first place elsewhere for a while.
+MARGIN, GROWTH = 128, 8
 # Links in one task's group, about; a document's links stay together.
 GROUP_LINKS = 50_000
 # Requests for words of one document that are put into one row; a document asked by many has several rows.
@@ -235,58 +242,147 @@ def _both_ways(left: list, right: list) -> tuple:
     return best
 
 
+SEGMENTS = "doc_id long, from_id long, n int, first int, end int, agree int, from_word int, open boolean"
+
+
 def _segments(pdf):
-    """Both sides of each chain of a group's documents, aligned; then the runs of each document."""
+    """Both sides of each chain of a group's documents, aligned; ``open`` where a side had no more words fetched."""
     import numpy as np
     import pandas as pd
 
     key = ["doc_id", "from_id", "n"]
     pdf = pdf.drop_duplicates(["own", *key])
     both = pdf[pdf["own"]].merge(pdf[~pdf["own"]], on=key)
-    found: dict[int, list] = {}
-    for doc_id, from_id, xs, ys, x_first, y_first, x_words, y_words in zip(*[
-            both[c] for c in ("doc_id", "from_id", "places_x", "places_y", "first_x", "first_y", "words_x", "words_y")]):
+    rows = []
+    for doc_id, from_id, n, xs, ys, x_first, y_first, x_words, y_words, x_total, y_total in zip(*[
+            both[c] for c in (*key, "places_x", "places_y", "first_x", "first_y", "words_x", "words_y", "total_x", "total_y")]):
         a, b = np.frombuffer(x_words, np.uint16), np.frombuffer(y_words, np.uint16)
+        # Where there is more of either text than was fetched.
+        before, behind = (x_first > 0, y_first > 0), (x_first + len(a) < x_total, y_first + len(b) < y_total)
         covered = -1
         for x, y in zip(xs.tolist(), ys.tolist()):
             if x < covered:
                 continue
             i, j = x - x_first, y - y_first
-            left, right = _both_ways(_stretch(a[:i][::-1], b[:j][::-1]), _stretch(a[i:], b[j:]))
+            left, right = _stretch(a[:i][::-1], b[:j][::-1]), _stretch(a[i:], b[j:])
+            edge = before[0] and left[-1][0] >= i or before[1] and left[-1][1] >= j
+            edge |= behind[0] and right[-1][0] >= len(a) - i or behind[1] and right[-1][1] >= len(b) - j
+            left, right = _both_ways(left, right)
             agree = left[2] + right[2]
             covered = x + max(right[0], 1)
             if agree >= SEGMENT_WORDS:
-                found.setdefault(doc_id, []).append((x - left[0], x + right[0], agree, from_id, y - left[1]))
-    rows = []
-    for doc_id, segments in found.items():
-        run: list = []
-        for s in [*sorted(segments), None]:
-            if s is not None and run and s[0] <= end + 2:
-                run.append(s)
-                end = max(end, s[1])
-                continue
-            if run and end - run[0][0] > PASSAGE_WORDS:
-                main = max(run, key=lambda r: (r[2], -r[3]))
-                rows.append((doc_id, run[0][0], end - run[0][0], main[3], main[4], main[2], sorted({r[3] for r in run})))
-            run, end = [s], s[1] if s is not None else 0
-    return pd.DataFrame(rows, columns=["doc_id", "first_word", "n_words", "from_id", "from_word", "n_agree", "source_ids"])
+                rows.append((doc_id, from_id, n, x - left[0], x + right[0], agree, y - left[1], bool(edge)))
+    return pd.DataFrame(rows, columns=["doc_id", "from_id", "n", "first", "end", "agree", "from_word", "open"])
 
 
-def _cut_words(batches: Iterator):
-    """The words that each document's requests ask for, as 16-bit hashes; a row per request."""
+def _runs_of(segments: list, gap: int = 2) -> Iterator[list]:
+    """Segments in their order, in lists of those that adjoin."""
+    run: list = []
+    for s in sorted(segments):
+        if run and s[0] > end + gap:
+            yield run
+            run = []
+        end = max(end, s[1]) if run else s[1]
+        run.append(s)
+    if run:
+        yield run
+
+
+def _passages(pdf):
+    """The segments of a group's documents to their passages, and to ``mixed`` runs that no one document holds."""
+    import pandas as pd
+
+    rows = []
+    for doc_id, of in pdf.groupby("doc_id"):
+        segments = list(zip(*[of[c].tolist() for c in ("first", "end", "agree", "from_id", "from_word")]))
+        held = []
+        for _, own in pd.DataFrame(segments).groupby(3):
+            held += [(r[0][0], max(s[1] for s in r), r) for r in _runs_of(list(own.itertuples(index=False, name=None)))]
+        held = [h for h in held if h[1] - h[0] > PASSAGE_WORDS]
+        # Parts that different documents hold, and that overlap, are one passage.
+        joined = [[h for h in run] for run in _runs_of(held, -1)] if held else []
+        for run in joined:
+            first, end = run[0][0], max(h[1] for h in run)
+            main = max((s for h in run for s in h[2]), key=lambda s: (s[2], -s[3]))
+            rows.append((doc_id, first, end - first, main[3], main[4], main[2], sorted({h[2][0][3] for h in run}), False))
+        whole = [(run[0][0], max(h[1] for h in run)) for run in joined]
+        for run in _runs_of(segments):
+            first, end = run[0][0], max(s[1] for s in run)
+            if end - first > PASSAGE_WORDS and not any(a <= first and end <= b for a, b in whole):
+                rows.append((doc_id, first, end - first, run[0][3], run[0][4], 0, [], True))
+    return pd.DataFrame(rows, columns=["doc_id", "first_word", "n_words", "from_id", "from_word", "n_agree", "source_ids", "mixed"])
+
+
+def _windows(batches: Iterator):
+    """Each run of ``PASSAGE_WORDS + 1`` words within a document's mixed runs, as 128 bits."""
     import numpy as np
     import pyarrow as pa
 
-    names = ["own", "doc_id", "from_id", "n", "places", "first", "words"]
+    n = PASSAGE_WORDS + 1
     for batch in batches:
-        for at in range(batch.num_rows):
-            asked = batch.column(0)[at].values
-            hashes = hash_words([batch.column(1)[at].as_py() or ""])[0].astype(np.uint16)
-            first = np.maximum(asked.field("low").to_numpy() - MARGIN, 0)
-            ends = asked.field("high").to_numpy() + SEED_WORDS + MARGIN
-            words = [hashes[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist())]
-            yield pa.RecordBatch.from_arrays([
-                *[asked.field(n) for n in names[:5]], pa.array(first.astype(np.int32)), pa.array(words, pa.binary())], names=names)
+        for doc_id, text, runs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            hashes = hash_words([text.as_py() or ""])[0]
+            one, two = grams(hashes, n), grams(hashes * np.uint64(0x9E3779B97F4A7C15), n)
+            at = np.unique(np.concatenate([np.arange(r["first_word"], min(r["first_word"] + r["n_words"] - n + 1, len(one))) for r in runs]))
+            for low in range(0, len(at), 100_000):
+                part = at[low:low + 100_000]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(part), doc_id)), pa.array(part.astype(np.int32)), pa.array(one[part].view(np.int64)),
+                    pa.array(two[part].view(np.int64))], names=["doc_id", "at", "one", "two"])
+
+
+def _held_elsewhere(mixed: DataFrame, texts: DataFrame) -> DataFrame:
+    """The passages within mixed runs that an earlier document has in a mixed run of its own, word for word."""
+    runs = mixed.groupBy("doc_id").agg(F.collect_list(F.struct("first_word", "n_words")).alias("runs"))
+    windows = runs.join(texts, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "runs").mapInArrow(
+        _windows, "doc_id long, at int, one long, two long")
+    windows = materialize(windows, "windows")
+    first = windows.groupBy("one", "two").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.max("doc_id").alias("z")).filter("f.doc_id < z")
+    again = windows.join(first, ["one", "two"]).filter("doc_id > f.doc_id")
+    n = PASSAGE_WORDS + 1
+    in_order = W.partitionBy("doc_id").orderBy("at")
+    begins = F.coalesce(F.col("at") > F.lag("at").over(in_order) + n, F.lit(True)).cast("int")
+    islands = again.withColumn("_begins", begins).withColumn("_island", F.sum("_begins").over(in_order))
+    words = (F.max("at") - F.min("at") + n).cast("int")
+    start = F.min(F.struct("at", "f"))
+    return islands.groupBy("doc_id", "_island").agg(
+        F.min("at").alias("first_word"), words.alias("n_words"), start["f"]["doc_id"].alias("from_id"), start["f"]["at"].alias("from_word"),
+        words.alias("n_agree"), F.sort_array(F.collect_set("f.doc_id")).alias("source_ids")).drop("_island")
+
+
+def _without_overlap(found: DataFrame) -> DataFrame:
+    """Passages of a document that overlap as one, named after the longest."""
+    in_order = W.partitionBy("doc_id").orderBy("first_word", "n_words")
+    ends = F.max(F.col("first_word") + F.col("n_words")).over(in_order.rowsBetween(W.unboundedPreceding, -1))
+    begins = F.coalesce(F.col("first_word") >= ends, F.lit(True)).cast("int")
+    islands = found.withColumn("_begins", begins).withColumn("_island", F.sum("_begins").over(in_order.rowsBetween(W.unboundedPreceding, 0)))
+    main = F.max(F.struct("n_agree", (-F.col("from_id")).alias("_order"), "from_id", "from_word"))
+    return islands.groupBy("doc_id", "_island").agg(
+        F.min("first_word").alias("first_word"), (F.max(F.col("first_word") + F.col("n_words")) - F.min("first_word")).cast("int").alias("n_words"),
+        main["from_id"].alias("from_id"), main["from_word"].alias("from_word"), main["n_agree"].alias("n_agree"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_ids")))).alias("source_ids")).drop("_island")
+
+
+def _cut_words(margin: int):
+    """The words that each document's requests ask for, as 16-bit hashes; a row per request."""
+
+    def run(batches: Iterator):
+        import numpy as np
+        import pyarrow as pa
+
+        names = ["own", "doc_id", "from_id", "n", "places", "first", "words", "total"]
+        for batch in batches:
+            for at in range(batch.num_rows):
+                asked = batch.column(0)[at].values
+                hashes = hash_words([batch.column(1)[at].as_py() or ""])[0].astype(np.uint16)
+                first = np.maximum(asked.field("low").to_numpy() - margin, 0)
+                ends = asked.field("high").to_numpy() + SEED_WORDS + margin
+                words = [hashes[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist())]
+                yield pa.RecordBatch.from_arrays([
+                    *[asked.field(n) for n in names[:5]], pa.array(first.astype(np.int32)), pa.array(words, pa.binary()),
+                    pa.array(np.full(len(words), len(hashes), np.int32))], names=names)
+
+    return run
 
 
 def _requests(found: DataFrame) -> DataFrame:
@@ -303,26 +399,87 @@ def _requests(found: DataFrame) -> DataFrame:
     return dealt.groupBy("owner", "salt").agg(F.collect_list("row").alias("asked")).drop("salt")
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """``doc_id, first_word, n_words, from_id, from_word, n_agree, source_ids``: each passage that another document has before.
+def told_apart(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``docs`` with ``_id``, one number for each document; and if some are not its ``doc_id``, those with it.
 
-    Words count from 0. ``from_id`` has the longest part of the passage, ``n_agree`` words of it; ``source_ids`` all that share in it.
+    Texts that share a ``doc_id`` get numbers below all others. Without such rows nothing is hashed or joined.
     """
-    linked = materialize(links(docs), "links")
+    given = docs.withColumn("_id", F.col("doc_id").cast("long"))
+    ids = given.filter("_id is not null")
+    many = materialize(ids.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_id"), "repeated-ids")
+    if many.isEmpty():
+        return given, None
+    key = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("none"))
+    texts = materialize(ids.join(many, "_id", "left_semi").select("_id", key.alias("_key")).distinct(), "repeated-ids")
+    several = texts.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_id")
+    texts = materialize(texts.join(several, "_id", "left_semi"), "repeated-ids")
+    if texts.isEmpty():
+        return given, None
+    low = min(0, ids.agg(F.min("_id")).first()[0])
+    placed = with_place(texts.withColumn("_all", F.lit(0)), ["_all"], ["_id", "_key"], "_n", "repeated-ids")
+    names = materialize(placed.select("_id", "_key", (F.lit(low).cast("long") - F.col("_n")).alias("_own")), "repeated-ids")
+    given = given.withColumn("_key", key).join(names, ["_id", "_key"], "left").withColumn("_id", F.coalesce("_own", "_id"))
+    return given.select(*docs.columns, "_id"), names.select(F.col("_own").alias("_name"), F.col("_id").alias("_doc_id"))
+
+
+def _found(given: DataFrame) -> DataFrame:
+    """The passages of rows told apart by ``_id``."""
+    texts = given.select("_id", "text")
+    linked = materialize(links(texts.withColumnRenamed("_id", "doc_id")), "links")
     groups = max(1, linked.count() // GROUP_LINKS)
-    found = materialize(chains(linked, groups), "chains")
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
-    cut = _requests(found).join(texts, F.col("owner") == F.col("_id")).select("asked", "text").mapInArrow(
-        _cut_words, "own boolean, doc_id long, from_id long, n int, places array<int>, first int, words binary")
+    asked = materialize(chains(linked, groups), "chains")
     group = F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("g")
-    return cut.groupBy(group).applyInPandas(
-        _segments, "doc_id long, first_word int, n_words int, from_id long, from_word int, n_agree int, source_ids array<long>")
+    margin, parts = MARGIN, []
+    while True:
+        cut = _requests(asked).join(texts, F.col("owner") == F.col("_id")).select("asked", "text").mapInArrow(
+            _cut_words(margin), "own boolean, doc_id long, from_id long, n int, places array<int>, first int, words binary, total int")
+        segments = materialize(cut.groupBy(group).applyInPandas(_segments, SEGMENTS), "segments")
+        # A chain that came to the edge is aligned anew, with more words.
+        unfinished = segments.filter("open").select("doc_id", "from_id", "n").distinct()
+        parts.append(segments.join(unfinished, ["doc_id", "from_id", "n"], "left_anti"))
+        if unfinished.isEmpty():
+            break
+        asked = materialize(asked.join(unfinished, ["doc_id", "from_id", "n"], "left_semi"), "chains")
+        margin *= GROWTH
+    segments = parts[0]
+    for part in parts[1:]:
+        segments = segments.unionByName(part)
+    found = segments.groupBy(group).applyInPandas(
+        _passages, "doc_id long, first_word int, n_words int, from_id long, from_word int, n_agree int, source_ids array<long>, mixed boolean")
+    found = materialize(found, "found")
+    clear, mixed = found.filter("not mixed").drop("mixed"), found.filter("mixed").drop("mixed")
+    if mixed.isEmpty():
+        return clear
+    return _without_overlap(clear.unionByName(materialize(_held_elsewhere(mixed, texts), "held-elsewhere")))
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """``doc_id, first_word, n_words, from_id, from_word, n_agree, source_ids``: each passage that another document has before.
+
+    Words count from 0. ``from_id`` has the longest part of the passage, ``n_agree`` words of it; ``source_ids`` all that hold
+    more than ``PASSAGE_WORDS`` words of it in a row.
+    """
+    given, names = told_apart(docs.select("doc_id", "text"))
+    found = _found(given)
+    if names is None:
+        return found
+    columns = found.columns
+    for c in ("doc_id", "from_id"):
+        name = names.select(F.col("_name").alias(c), F.col("_doc_id").alias(f"_{c}"))
+        found = found.join(name, c, "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
+    listed = found.withColumn("_row", F.monotonically_increasing_id())
+    listed = materialize(listed, "found")
+    name = names.select(F.col("_name").alias("s"), "_doc_id")
+    own = listed.select("_row", F.explode("source_ids").alias("s")).join(name, "s", "left").groupBy("_row").agg(
+        F.sort_array(F.collect_set(F.coalesce("_doc_id", "s"))).alias("source_ids"))
+    return listed.drop("source_ids").join(own, "_row").select(*columns)
 
 
 def without_passages(docs: DataFrame) -> DataFrame:
     """``docs`` without its repeated passages, ``n_chars`` set anew if there; documents of which no word is left go."""
-    found = repeated_passages(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("_cuts"))
-    found = materialize(found.withColumnRenamed("doc_id", "_id"), "passages")
+    given, _ = told_apart(docs.select(F.struct("*").alias("_row"), "doc_id", "text"))
+    found = _found(given).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("_cuts"))
+    found = materialize(found.select(F.col("doc_id").alias("_of"), "_cuts"), "passages")
 
     @F.pandas_udf("string")
     def cut(text, cuts):
@@ -340,14 +497,14 @@ def without_passages(docs: DataFrame) -> DataFrame:
                 if first >= len(at):
                     break
                 out.append(t[upto:at[first][0]])
-                upto = at[end][0] if end < len(at) else len(t)
+                upto = max(upto, at[end][0] if end < len(at) else len(t))
             return "".join([*out, t[upto:]])
 
         import pandas as pd
 
         return pd.Series([one(t, s) for t, s in zip(text, cuts)])
 
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc"), "text").join(found, F.col("_doc") == F.col("_id"), "left")
+    rows = given.join(found, F.col("_id") == F.col("_of"), "left")
     whole = F.col("_cuts").isNull()
     new = rows.withColumn("_text", F.when(whole, F.col("text")).otherwise(cut("text", "_cuts")))
     new = new.filter(whole | F.col("_text").rlike("[^\\x20\\x09-\\x0D]"))

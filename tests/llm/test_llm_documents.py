@@ -1,3 +1,4 @@
+import collections
 import hashlib
 import random
 import zlib
@@ -309,6 +310,52 @@ def test_every_exact_passage_is_covered(spark):
     assert repeated > 100
 
 
+def test_repeated_ids_with_different_texts_are_different_documents(spark):
+    rng = random.Random(21)
+    body = lambda n: plain.prose(rng, n, 9000)
+    passage, clean = body(80), body(200)
+    rows = [(1, passage), (2, f"{body(40)} {passage} {body(40)}"), (2, clean), (2, clean), (3, body(90)), (-5, body(60))]
+    docs = spark.createDataFrame([(i, t, "clash", len(t)) for i, t in rows], "doc_id long, text string, _id string, n_chars long").drop("_id")
+    found = [tuple(r) for r in substring_dedup.repeated_passages(docs).collect()]
+    # Of the two holders, one is the first; the clean text that shares its number with one is neither.
+    assert len(found) == 1 and found[0][2] == 80 and {found[0][0], found[0][3]} == {1, 2} and found[0][6] == [found[0][3]]
+    left = collections.Counter(tuple(r) for r in substring_dedup.without_passages(docs).collect())
+    assert left[2, clean, len(clean)] == 2 and sum(left.values()) >= 5
+    assert sum(passage in t for _, t, _ in left) == 1 and {t for _, t, _ in left} >= {rows[4][1], rows[5][1], clean}
+
+
+def test_lines_that_adjoin_are_no_passage_unless_they_do_so_again(spark):
+    rng = random.Random(22)
+    body = lambda n: plain.prose(rng, n, 9000)
+    one, two, three, four = (body(26) for _ in range(4))
+    texts = [f"{body(30)} {one} {body(30)}", f"{body(30)} {two} {body(30)}", f"{body(30)} {one} {two} {body(30)}",
+             f"{body(20)} {three} {body(20)}", f"{body(20)} {four} {body(20)}", f"{body(9)} {three} {four} {body(8)}", f"{body(5)} {three} {four} {body(9)}"]
+    docs = documents(spark, texts)
+    found = passages_of(substring_dedup.repeated_passages(docs))
+    assert found == {6: set(range(5, 57))}
+    assert {r.doc_id: r.text for r in substring_dedup.without_passages(docs).collect()} == {
+        **dict(enumerate(texts[:6])), 6: " ".join(texts[6].split()[:5] + texts[6].split()[57:])}
+
+
+def test_a_long_passage_beside_another_line_is_cut_without_it(spark):
+    rng = random.Random(23)
+    body = lambda n: plain.prose(rng, n, 9000)
+    passage, line = body(90), body(30)
+    texts = [f"{body(20)} {passage} {body(20)}", f"{body(20)} {line} {body(20)}", f"{body(10)} {passage} {line} {body(10)}"]
+    assert passages_of(substring_dedup.repeated_passages(documents(spark, texts))) == {2: set(range(10, 100))}
+
+
+def test_alignments_go_on_beyond_the_words_fetched_first(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "MARGIN", 4)
+    rng = random.Random(24)
+    words = plain.prose(rng, 3000, 9000).split()
+    # The beginnings of the passage's seeds stand elsewhere first, but for a few words in its middle.
+    texts = [" ".join(words[i:i + 40]) for i in range(0, 1480, 37)] + [" ".join(words[i:i + 40]) for i in range(1520, 2960, 37)]
+    texts += [" ".join(words), "x y z " + " ".join(words)]
+    found = passages_of(substring_dedup.repeated_passages(documents(spark, texts)))
+    assert found[len(texts) - 1] >= set(range(3, 2950))
+
+
 def test_passages_of_odd_documents(spark):
     docs = plain.odd_documents(spark)
     found = passages_of(substring_dedup.repeated_passages(docs.union(docs.limit(3).withColumn("doc_id", F.lit(None).cast("long")))))
