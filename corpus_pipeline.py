@@ -3,6 +3,12 @@
 Each stage reads the rows and texts its predecessor left. Quality rules reject documents, exact dedup keeps one of
 equal texts, the Jaccard join keeps one document of each near-duplicate class, substring dedup cuts passages that an
 earlier document has (and drops a document of which nothing is left), and packing places what remains.
+
+Defined results: quality rules reject null, empty and very short texts, whose words are too few. Texts of any length are
+read whole. Rows that repeat count as copies: one stays, by the largest doc_id in exact dedup and by the smallest in the
+Jaccard join; rows without a doc_id are told apart by their texts. Rows that share a doc_id and differ in text stay
+different documents, to the last stage. An empty table gives an empty table. Further columns are carried on unchanged
+by all stages but the last; ``n_chars`` follows the text where words are cut.
 """
 
 from __future__ import annotations
