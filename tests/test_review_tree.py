@@ -34,7 +34,7 @@ def write(root, files):
 def test_detected_functions_of_two_projects(spark, tmp_path):
     write(tmp_path / "one", {"a.py": "def f():\n    return 1\n", "pkg/__init__.py": "class K:\n    def m(self):\n        pass\n"})
     write(tmp_path / "two", {"x.rs": "fn main() {\n}\n", "notes.md": "fn no() {}\n"})
-    write(tmp_path / "two", {"old.f90": "end\n"})
+    write(tmp_path / "two", {"old.f90": "! nothing here\n"})
     (tmp_path / "two/bad.py").write_bytes(b"\xff\xfe")
     roots = {"one": str(tmp_path / "one"), "two": str(tmp_path / "two")}
     done = review_tree(spark, roots, str(tmp_path / "out"), reviewer)
@@ -46,7 +46,7 @@ def test_detected_functions_of_two_projects(spark, tmp_path):
     assert {r["report_path"].rsplit("/", 1)[1] for r in done.reports.collect()} == {"a.md", "__init__.md", "x.md"}
     texts = lambda name: [r["value"] for r in spark.read.text(str(tmp_path / "out" / name)).collect()]
     skipped = {(r["project"], r["path"].rsplit("/", 1)[1], r["reason"]) for r in done.skipped.collect()}
-    assert skipped == {("two", "bad.py", "not readable as UTF-8"), ("two", "old.f90", "no detector for its language")}
+    assert skipped == {("two", "bad.py", "not readable as UTF-8")}
     assert len(texts("function_records")) == 3 and len(texts("review_log")) == 5
     assert f"Key: {tmp_path}/two/x.rs:main | Value: {tmp_path}/two/x.rs" in texts("function_index")
 
