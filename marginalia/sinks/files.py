@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import errno
 import os
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,20 +15,31 @@ from ..storage import materialize, posix_path
 from .record_store import write_records
 
 
-def _writer(root: str, replace: bool):
+COPY_BYTES = 8 << 20
+
+
+def _put(handle: int, data: bytes, at: int) -> None:
+    rest = memoryview(data)
+    while rest:
+        done = os.pwrite(handle, rest, at)
+        rest, at = rest[done:], at + done
+
+
+def _writer(root: str, stage: str):
+    """Parts into files of the stage, each at its own offset; the first new part brings the bytes before it along."""
+
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for path, body, offset, total in zip(frame["report_path"], frame["markdown"], frame["offset"], frame["total"]):
-                target = os.path.join(root, path)
+            for path, body, offset, base in zip(frame["report_path"], frame["markdown"], frame["offset"], frame["base"]):
+                target = os.path.join(stage, path)
                 os.makedirs(os.path.dirname(target), exist_ok=True)
                 handle = os.open(target, os.O_CREAT | os.O_WRONLY, 0o644)
                 try:
-                    data, at = memoryview(body.encode()), int(offset)
-                    while data:
-                        done = os.pwrite(handle, data, at)
-                        data, at = data[done:], at + done
-                    if replace:  # an older, longer version may have left bytes behind the end
-                        os.ftruncate(handle, int(total))
+                    if base and offset == base:
+                        with open(os.path.join(root, path), "rb") as old:
+                            for at in range(0, int(base), COPY_BYTES):
+                                _put(handle, old.read(min(COPY_BYTES, int(base) - at)), at)
+                    _put(handle, body.encode(), int(offset))
                 finally:
                     os.close(handle)
             yield frame[["report_path", "part_no", "offset", "total"]]
@@ -34,13 +47,38 @@ def _writer(root: str, replace: bool):
     return write
 
 
+def _publisher(root: str, stage: str):
+    """Whole files of the stage to their places. A file that a task before a lost one has moved is there already."""
+
+    def publish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, size in zip(frame["report_path"], frame["bytes"]):
+                staged, target = os.path.join(stage, path), os.path.join(root, path)
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                try:
+                    if os.path.getsize(staged) != size:
+                        raise RuntimeError(f"{staged}: {os.path.getsize(staged)} bytes instead of {size}")
+                    os.replace(staged, target)
+                    os.removedirs(os.path.dirname(staged))
+                except FileNotFoundError:
+                    if not os.path.exists(target) or os.path.getsize(target) != size:
+                        raise
+                except OSError as error:
+                    if error.errno not in (errno.ENOTEMPTY, errno.EEXIST):
+                        raise
+            yield frame
+
+    return publish
+
+
 def write_reports(parts: DataFrame, root: str, base: DataFrame | None = None) -> DataFrame:
     """Write assembled report parts below ``root``, one Markdown file per report.
 
-    Every part is put at its own byte offset, so the parts of one large report are written by many
-    tasks, and a task that runs again writes the same bytes to the same place. ``root`` must be a
-    file system that all executors mount. ``base`` (``report_path, bytes``) holds what a report
-    already has; its new parts go behind that. Returns the reports with their ``bytes``.
+    Every part is put at its own byte offset in a file of a stage below ``root``, so the parts of one large report are
+    written by many tasks, and a task that runs again writes the same bytes to the same place. When all parts are
+    written each file is moved to its place in one step: a reader sees the old report or the new one, and a job that
+    fails leaves the old ones. ``root`` must be a file system that all executors mount. ``base`` (``report_path,
+    bytes``) holds what a report already has; its new parts go behind that. Returns the reports with their ``bytes``.
     """
     rows = materialize(
         parts.select("report_path", "part_no", "markdown", F.octet_length("markdown").cast("bigint").alias("_bytes")),
@@ -59,17 +97,16 @@ def write_reports(parts: DataFrame, root: str, base: DataFrame | None = None) ->
         narrow.withColumn("_before", F.coalesce(F.sum("_bytes").over(before), F.lit(0)))
         .join(total, "report_path")
         .select(
-            "report_path", "part_no", (F.col("_base") + F.col("_before")).alias("offset"),
+            "report_path", "part_no", (F.col("_base") + F.col("_before")).alias("offset"), F.col("_base").alias("base"),
             (F.col("_base") + F.col("_new")).alias("total"),
         )
     )
-    placed = rows.join(offsets, ["report_path", "part_no"]).select("report_path", "part_no", "markdown", "offset", "total")
-    written = placed.mapInPandas(
-        _writer(posix_path(root), base is None), "report_path string, part_no bigint, offset bigint, total bigint"
-    )
-    return materialize(
-        written.groupBy("report_path").agg(F.max("total").alias("bytes")), "reports-written"
-    )
+    placed = rows.join(offsets, ["report_path", "part_no"]).select("report_path", "part_no", "markdown", "offset", "base", "total")
+    root = posix_path(root)
+    stage = os.path.join(root, f".staged-{uuid.uuid4().hex}")
+    written = placed.mapInPandas(_writer(root, stage), "report_path string, part_no bigint, offset bigint, total bigint")
+    sizes = materialize(written.groupBy("report_path").agg(F.max("total").alias("bytes")), "reports-staged")
+    return materialize(sizes.mapInPandas(_publisher(root, stage), "report_path string, bytes bigint"), "reports-written")
 
 
 def append_review_log(df: DataFrame, path: str) -> None:

@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +122,23 @@ def test_reports_are_written_in_parts_and_again(spark, tmp_path):
     assert (tmp_path / "r/a.md").read_text() == "short more" and (tmp_path / "r/n.md").read_text() == "new"
 
 
+def test_a_job_that_fails_leaves_the_old_reports(spark, tmp_path):
+    sinks.write_reports(parts(spark, [("r/a.md", 0, "old a"), ("b.md", 0, "old b")]), str(tmp_path))
+    bad = [("r/a.md", i, "new a " * 50) for i in range(30)] + [("b.md", 0, None)]
+    with pytest.raises(Exception):
+        sinks.write_reports(parts(spark, bad), str(tmp_path))
+    assert (tmp_path / "r/a.md").read_text() == "old a" and (tmp_path / "b.md").read_text() == "old b"
+    base = spark.createDataFrame([("r/a.md", 3)], "report_path string, bytes bigint")
+    sinks.write_reports(parts(spark, [("r/a.md", i, f"<{i}>") for i in range(40)] + [("c/d.md", 0, "")]), str(tmp_path), base)
+    assert (tmp_path / "r/a.md").read_text() == "old" + "".join(f"<{i}>" for i in range(40)) and (tmp_path / "c/d.md").read_text() == ""
+    # Moved files leave no stage behind, and moving them again finds them there.
+    again = sinks._publisher(str(tmp_path), str(tmp_path / "gone"))
+    done = pd.DataFrame({"report_path": ["b.md"], "bytes": [5]})
+    assert len(list(again(iter([done])))) == 1 and len([p for p in tmp_path.iterdir() if p.name.startswith(".staged")]) <= 1
+    with pytest.raises(FileNotFoundError):
+        list(again(iter([pd.DataFrame({"report_path": ["never.md"], "bytes": [5]})])))
+
+
 def test_record_store_replaces_a_run_only(spark, shared):
     store = shared("store")
     rows = lambda *r: spark.createDataFrame([(x,) for x in r], "record string")
