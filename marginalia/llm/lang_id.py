@@ -2,8 +2,8 @@
 
 Features are counts of hashed runs of one to three letters (anything else is one space), scaled to
 length one. All machines are linear support vector machines with squared hinge loss, fitted by dual
-coordinate descent on a bounded sample of labelled rows: ``train_rows`` over all languages, evenly,
-drawn by a hash of ``doc_id``. Families are those of the ISO 639 codes below; any other label is a
+coordinate descent on a bounded sample of labelled rows: ``train_rows`` over all languages at most, evenly,
+drawn by a hash of ``doc_id`` and text. Families are those of the ISO 639 codes below; any other label is a
 family of its own. Scoring reads the text only.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0, as is every text when no
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import worker_state
 
@@ -122,15 +122,29 @@ def _held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _rates(docs: DataFrame, rates: dict[str, float]) -> DataFrame:
+    """The share of each language's rows that is looked at, as a table of one row per language."""
+    return docs.sparkSession.createDataFrame(sorted(rates.items()), "lang string, _rate double")
+
+
 def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """Fit on about ``train_rows`` labelled rows that are not held out; only their features reach the driver."""
+    """Fit on at most ``train_rows`` labelled rows that are not held out; only their features reach the driver.
+
+    Each language gets an equal share, one row at least; of more than ``train_rows`` labels the most frequent are learned.
+    The rows are those with the smallest hashes of number and text, so that a number that repeats is drawn like any other.
+    """
     labelled = docs.filter("lang is not null and doc_id is not null").filter(~_held_out()).select("doc_id", "lang", "text")
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row per language
+    most = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(train_rows)
+    counts = {r["lang"]: r["count"] for r in most.collect()}  # one row per language
     if not counts:
         return Model([], [])
-    share = train_rows / len(counts)
-    wanted = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, share / n))) for lang, n in sorted(counts.items())])
-    sample = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < wanted * 1_000_000)
+    share = train_rows // len(counts)
+    # About twice the share passes by its hash; the rank among those is the bound, kept by each task before the shuffle.
+    rates = _rates(labelled, {lang: min(1.0, 2 * share / n + 100 / n) for lang, n in counts.items()})
+    drawn = labelled.join(F.broadcast(rates), "lang").withColumn("_hash", F.xxhash64("doc_id", "text"))
+    drawn = drawn.filter(F.pmod("_hash", F.lit(1_000_000)) < F.col("_rate") * 1_000_000)
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("_hash", F.xxhash64("text")))
+    sample = drawn.withColumn("_rank", rank).filter(F.col("_rank") <= share).select("doc_id", "lang", "text")
 
     def run(batches: Iterator):
         import pyarrow as pa

@@ -53,6 +53,17 @@ def test_language_of_odd_documents(spark):
     assert lang_id.language_id(plain.empty_documents(spark)).count() == 0
 
 
+def test_the_sample_is_bounded_however_rows_repeat(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(lang_id, "Model", lambda rows, langs: fitted.append(collections.Counter(langs)))
+    one = spark.range(5000).selectExpr("0L as doc_id", "'the same words again' as text", "'en' as lang")
+    many = spark.range(5000).selectExpr("1L as doc_id", "concat('words and more words ', repeat('a', int(id % 50)), chr(97 + id % 26)) as text", "'en' as lang")
+    rest = spark.range(100, 900).selectExpr("id as doc_id", "'des mots et encore' as text", "'fr' as lang")
+    lang_id.train(one.union(many).union(rest), train_rows=100)
+    lang_id.train(rest.withColumn("lang", F.concat(F.lit("l"), F.col("doc_id"))), train_rows=30)
+    assert fitted[0] == {"en": 50, "fr": 50} and sum(fitted[1].values()) == 30 and len(fitted[1]) == 30
+
+
 def test_families_come_before_languages(spark):
     rng = random.Random(8)
     alphabets = {"en": "abc", "de": "abd", "fr": "xyz", "es": "xyw", "qq": "mno"}
