@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable
@@ -20,3 +21,14 @@ def worker_state(name: str, make: Callable[[], Any]) -> Any:
     if not hasattr(box, name):
         setattr(box, name, make())
     return getattr(box, name)
+
+
+def give_back() -> None:
+    """Return the memory a task has freed to the system: a worker that waits for its next task would keep it."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library

@@ -10,7 +10,8 @@ from ..storage import materialize
 def components(links: DataFrame) -> DataFrame:
     """``links`` has columns ``a`` and ``b``; gives ``node, label``, the smallest node of its component.
 
-    Nodes whose links are all to themselves are left out. Every round writes its links; the joins are between written
+    Nodes whose links are all to themselves are left out, as are links with a null end. Repeated links count once, and no
+    links give no rows. Every round writes its links; the joins are between written
     tables, of which one has each node once, so that Spark can split a node with very many links.
     """
     pairs = links.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()

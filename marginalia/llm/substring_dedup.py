@@ -5,6 +5,7 @@
 2. Each seed links its places to its first place in the corpus (smallest ``doc_id``, then smallest position): a star, never all pairs.
 3. The links of a document to one other document are chained in order: a Fenwick tree over positions gives the best
    predecessor under a gap cost that is linear in the words skipped. A chain needs two seeds: one alone is mostly chance.
+   Of a document's chains those are left whose places a longer one covers without a gap.
 4. Only the words around each chain are fetched; both sides are aligned outwards from the chain's seeds, over
    substitutions, insertions and deletions, as far as at least ``SIMILARITY`` of the words agree. An alignment that comes
    to the edge of the words fetched gets more of them, until it ends by itself. An insertion of more than ``WIDE_BAND``
@@ -23,13 +24,14 @@ results; passages that repeat within one document only are not looked for; an em
 from __future__ import annotations
 
 import collections
+import itertools
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..plans.ranks import with_place
 from ..storage import materialize
-from .common import worker_state
+from .common import give_back, worker_state
 from .words import grams, hash_words, in_runs
 
 SEED_WORDS = 4
@@ -44,9 +46,14 @@ SEGMENT_WORDS = 16
 BAND, WIDE_BAND = 12, 48
 # Words by which an alignment may fall short of the similarity on its way.
 SLACK = 16
+# A chain on one diagonal is left where fewer than half of the words beside its seeds agree, so many on either side; so are
+# chains as far inside a passage already found.
+BESIDE = 16
 # Words fetched on either side of a chain, and by how much that grows for alignments that come to their edge: seeds of a
 # passage may all have their first place elsewhere for a while.
 MARGIN, GROWTH = 128, 8
+# Bits of the filter on texts, in rows of 32,768 bits: two megabytes.
+FILTER_BITS = 1 << 24
 # Links in one task's group, about; a document's links stay together.
 GROUP_LINKS = 50_000
 # Requests for words of one document that are put into one row; a document asked by many has several rows.
@@ -83,6 +90,7 @@ def seeds(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids), pa.array(np.concatenate([p for p, _ in found]).astype(np.int32)),
                     pa.array(np.concatenate([s for _, s in found]).view(np.int64))], names=["doc_id", "pos", "seed"])
+        give_back()
 
     given = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     return given.mapInArrow(run, "doc_id long, pos int, seed long")
@@ -161,7 +169,34 @@ def _chains(pdf):
             if len(path) < 2 and again[y[path[0]]] < 2:
                 continue
             rows.append((a[lo], b[lo], n, [x[i] for i in path], [y[i] for i in path]))
-    return pd.DataFrame(rows, columns=["doc_id", "from_id", "n", "xs", "ys"])
+    give_back()
+    kept = [row for _, of in itertools.groupby(rows, key=lambda r: r[0]) for row in _needed(list(of))]
+    return pd.DataFrame(kept, columns=["doc_id", "from_id", "n", "xs", "ys"])
+
+
+def _needed(rows: list[tuple]) -> list[tuple]:
+    """A document's chains without those whose places another chain covers.
+
+    A chain covers the places between its seeds where they lie on one diagonal, no more than ``WINDOW`` words apart, over
+    more than ``PASSAGE_WORDS`` words: there the other document has the passage already. Chains with more seeds go first.
+    """
+    if len(rows) == 1:
+        return rows
+    covered = bytearray(max(r[3][-1] for r in rows) + SEED_WORDS)
+    kept = []
+    for row in sorted(rows, key=lambda r: (-len(r[3]), r[1], r[2])):
+        xs, ys = row[3], row[4]
+        if covered.find(0, xs[0], xs[-1] + SEED_WORDS) < 0:
+            continue
+        kept.append(row)
+        first = 0
+        for i in range(1, len(xs) + 1):
+            if i < len(xs) and xs[i] - xs[i - 1] <= WINDOW and xs[i] - ys[i] == xs[first] - ys[first]:
+                continue
+            if xs[i - 1] + SEED_WORDS - xs[first] > PASSAGE_WORDS:
+                covered[xs[first]:xs[i - 1] + SEED_WORDS] = b"\1" * (xs[i - 1] + SEED_WORDS - xs[first])
+            first = i
+    return kept
 
 
 def chains(linked: DataFrame, groups: int) -> DataFrame:
@@ -242,6 +277,13 @@ def _both_ways(left: list, right: list) -> tuple:
     return best
 
 
+def _promising(a, b, at, shift: int) -> bool:
+    """Whether half of the words beside a chain's seeds agree on its diagonal: most chains of two seeds are chance."""
+    first, end = int(at[0]) - BESIDE, int(at[-1]) + SEED_WORDS + BESIDE
+    first, end = max(first, 0, -shift), min(end, len(a), len(b) - shift)
+    return 2 * int((a[first:end] == b[first + shift:end + shift]).sum()) >= end - first
+
+
 SEGMENTS = "doc_id long, from_id long, n int, first int, end int, agree int, from_word int, open boolean"
 
 
@@ -253,13 +295,21 @@ def _segments(pdf):
     key = ["doc_id", "from_id", "n"]
     pdf = pdf.drop_duplicates(["own", *key])
     both = pdf[pdf["own"]].merge(pdf[~pdf["own"]], on=key)
+    # Of a document's chains those with more seeds go first; one well inside a passage that is found says nothing new.
+    both = both.assign(seeds=-both["places_x"].map(len)).sort_values(["doc_id", "seeds", "from_id", "n"], kind="stable")
+    passages: dict[int, bytearray] = {}
     rows = []
     for doc_id, from_id, n, xs, ys, x_first, y_first, x_words, y_words, x_total, y_total in zip(*[
             both[c] for c in (*key, "places_x", "places_y", "first_x", "first_y", "words_x", "words_y", "total_x", "total_y")]):
         a, b = np.frombuffer(x_words, np.uint16), np.frombuffer(y_words, np.uint16)
         # Where there is more of either text than was fetched.
         before, behind = (x_first > 0, y_first > 0), (x_first + len(a) < x_total, y_first + len(b) < y_total)
+        passage = passages.setdefault(doc_id, bytearray(x_total))
+        if passage.find(0, max(int(xs[0]) - BESIDE, 0), min(int(xs[-1]) + SEED_WORDS + BESIDE, x_total)) < 0:
+            continue
         covered = -1
+        if ys[0] - xs[0] == ys[-1] - xs[-1] and not _promising(a, b, xs - x_first, int(ys[0] - y_first) - int(xs[0] - x_first)):
+            continue
         for x, y in zip(xs.tolist(), ys.tolist()):
             if x < covered:
                 continue
@@ -272,6 +322,9 @@ def _segments(pdf):
             covered = x + max(right[0], 1)
             if agree >= SEGMENT_WORDS:
                 rows.append((doc_id, from_id, n, x - left[0], x + right[0], agree, y - left[1], bool(edge)))
+                if left[0] + right[0] > PASSAGE_WORDS:
+                    passage[x - left[0]:x + right[0]] = b"\1" * (left[0] + right[0])
+    give_back()
     return pd.DataFrame(rows, columns=["doc_id", "from_id", "n", "first", "end", "agree", "from_word", "open"])
 
 
@@ -334,6 +387,7 @@ def _windows(batches: Iterator):
 def _held_elsewhere(mixed: DataFrame, texts: DataFrame) -> DataFrame:
     """The passages within mixed runs that an earlier document has in a mixed run of its own, word for word."""
     runs = mixed.groupBy("doc_id").agg(F.collect_list(F.struct("first_word", "n_words")).alias("runs"))
+    texts = _texts_of(texts, mixed.select(F.col("doc_id").alias("_id")))
     windows = runs.join(texts, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "runs").mapInArrow(
         _windows, "doc_id long, at int, one long, two long")
     windows = materialize(windows, "windows")
@@ -381,6 +435,7 @@ def _cut_words(margin: int):
                 yield pa.RecordBatch.from_arrays([
                     *[asked.field(n) for n in names[:5]], pa.array(first.astype(np.int32)), pa.array(words, pa.binary()),
                     pa.array(np.full(len(words), len(hashes), np.int32))], names=names)
+        give_back()
 
     return run
 
@@ -422,6 +477,20 @@ def told_apart(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return given.select(*docs.columns, "_id"), names.select(F.col("_own").alias("_name"), F.col("_id").alias("_doc_id"))
 
 
+def _texts_of(texts: DataFrame, owners: DataFrame) -> DataFrame:
+    """The texts of the documents ``_id`` of ``owners``, and few others: a bitmap of fixed size goes to where texts are read.
+
+    So a later look at few documents does not shuffle the texts of all.
+    """
+    # Spark numbers the bits from 1.
+    at = F.pmod(F.xxhash64("_id"), F.lit(FILTER_BITS)) + 1
+    bucket, place = F.bitmap_bucket_number(at), F.bitmap_bit_position(at)
+    bits = owners.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(place).alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.col("_place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = texts.withColumns({"_bucket": bucket, "_place": place}).join(F.broadcast(bits), "_bucket").withColumn("_byte", byte)
+    return marked.filter(F.expr("_byte >> cast(_place % 8 as int) & 1") == 1).select(*texts.columns)
+
+
 def _found(given: DataFrame) -> DataFrame:
     """The passages of rows told apart by ``_id``."""
     texts = given.select("_id", "text")
@@ -431,7 +500,8 @@ def _found(given: DataFrame) -> DataFrame:
     group = F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("g")
     margin, parts = MARGIN, []
     while True:
-        cut = _requests(asked).join(texts, F.col("owner") == F.col("_id")).select("asked", "text").mapInArrow(
+        of = texts if margin == MARGIN else _texts_of(texts, asked.select(F.explode(F.array("doc_id", "from_id")).alias("_id")))
+        cut = _requests(asked).join(of, F.col("owner") == F.col("_id")).select("asked", "text").mapInArrow(
             _cut_words(margin), "own boolean, doc_id long, from_id long, n int, places array<int>, first int, words binary, total int")
         segments = materialize(cut.groupBy(group).applyInPandas(_segments, SEGMENTS), "segments")
         # A chain that came to the edge is aligned anew, with more words.
