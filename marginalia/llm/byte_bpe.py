@@ -1,8 +1,8 @@
 """Byte-level byte-pair encoding with a hierarchical-bitmap rank queue, and decoding.
 
 Merges of one pre-token run lowest rank first, leftmost first. Waiting positions lie in one bucket per
-rank; three levels of 64-bit words tell which buckets are filled, so that find-first-set gives the
-next rank in three steps whatever the length. Positions form a linked list; an entry whose pair has
+rank; three levels of 64-bit words (two of wider ones for short pre-tokens) tell which buckets are filled, so that
+find-first-set gives the next rank in three steps whatever the length. Positions form a linked list; an entry whose pair has
 changed meanwhile is stale and skipped. A pre-token of n bytes takes O(n log n) steps at most.
 
 Defined results: null and empty texts have no ids; texts of any length are encoded whole; repeated
@@ -89,6 +89,8 @@ class ByteBpe(dict):
         self.ranks = ranks
         self.find = regex.compile(pattern).findall
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
+        self.leaf = [0] * ((max(ranks.values(), default=0) >> 8) + 1)
+        self.pairs = [ranks.get(bytes([x, y]), -1) for x in range(256) for y in range(256)]
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHED:
@@ -103,60 +105,65 @@ class ByteBpe(dict):
             return (rank,)
         if n > INLINE_BYTES:
             return self._merged_by_queue(piece)
-        # The queue's steps again without its calls: they are most of the time of a short pre-token.
-        queue = self.queue
-        leaf, middle, bucket, top = queue.leaf, queue.middle, queue.bucket, 0
-        after, before, waiting = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
-        todo = range(n - 1)
-        while True:
-            for i in todo:
-                rank = waiting[i] = rank_of(piece[i:after[after[i]]], -1)
-                if rank < 0:
-                    continue
-                if rank in bucket:
-                    held = bucket[rank]
-                    if type(held) is int:
-                        bucket[rank] = [held, i] if held < i else [i, held]
-                    else:
-                        heappush(held, i)
-                else:
+        # The queue's steps again without its calls, over two levels of wider words: they are most of the time of a short
+        # pre-token. The ranks of its pairs of bytes come from a table.
+        leaf, bucket, top, pairs = self.leaf, self.queue.bucket, 0, self.pairs
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        waiting = [pairs[x << 8 | y] for x, y in zip(piece, piece[1:])]
+        for i, rank in enumerate(waiting):
+            if rank >= 0:
+                if rank not in bucket:
                     bucket[rank] = i
-                    word = rank >> 6
-                    leaf[word] |= 1 << (rank & 63)
-                    middle[word >> 6] |= 1 << (word & 63)
-                    top |= 1 << (rank >> 12)
-            while top:
-                high = (top & -top).bit_length() - 1
-                word = middle[high]
-                mid = high << 6 | (word & -word).bit_length() - 1
-                word = leaf[mid]
-                rank = mid << 6 | (word & -word).bit_length() - 1
-                i = bucket[rank]
-                if type(i) is not int:
-                    held, i = i, heappop(i)
-                    if held:
-                        if waiting[i] == rank:
-                            break
-                        continue
+                    leaf[rank >> 8] |= 1 << (rank & 255)
+                    top |= 1 << (rank >> 8)
+                elif type(held := bucket[rank]) is int:
+                    bucket[rank] = [held, i]
+                else:
+                    held.append(i)  # positions ascend, so that it stays a heap
+        waiting.append(-1)
+        while top:
+            high = (top & -top).bit_length() - 1
+            word = leaf[high]
+            rank = high << 8 | (word & -word).bit_length() - 1
+            i = bucket[rank]
+            if type(i) is not int:
+                held, i = i, heappop(i)
+            else:
+                held = None
+            if not held:
                 del bucket[rank]
-                leaf[mid] = word = word & (word - 1)
+                leaf[high] = word = word & (word - 1)
                 if not word:
-                    middle[high] = word = middle[high] & ~(1 << (mid & 63))
-                    if not word:
-                        top &= ~(1 << high)
-                if waiting[i] == rank:
-                    break
-            else:
-                break
+                    top &= top - 1
+            if waiting[i] != rank:
+                continue  # stale
             gone = after[i]
             after[i] = end = after[gone]
             waiting[gone] = waiting[i] = -1
             left = before[i]
             if end < n:
                 before[end] = i
-                todo = (i, left) if left >= 0 else (i,)
-            else:
-                todo = (left,) if left >= 0 else ()
+                waiting[i] = rank = rank_of(piece[i:after[end]], -1)
+                if rank >= 0:
+                    if rank not in bucket:
+                        bucket[rank] = i
+                        leaf[rank >> 8] |= 1 << (rank & 255)
+                        top |= 1 << (rank >> 8)
+                    elif type(held := bucket[rank]) is int:
+                        bucket[rank] = [held, i] if held < i else [i, held]
+                    else:
+                        heappush(held, i)
+            if left >= 0:
+                waiting[left] = rank = rank_of(piece[left:end], -1)
+                if rank >= 0:
+                    if rank not in bucket:
+                        bucket[rank] = left
+                        leaf[rank >> 8] |= 1 << (rank & 255)
+                        top |= 1 << (rank >> 8)
+                    elif type(held := bucket[rank]) is int:
+                        bucket[rank] = [held, left] if held < left else [left, held]
+                    else:
+                        heappush(held, left)
         out, i = [], 0
         while i < n:
             out.append(rank_of(piece[i:after[i]]))
