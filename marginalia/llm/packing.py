@@ -20,10 +20,13 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..storage import materialize
+from .common import give_back
 from .word_ids import word_ids
 
 CAPACITY = 2048
 END_ID = 0
+# Pieces whose ids a worker keeps between tasks.
+CACHED = 300_000
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -34,7 +37,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
 
         import pyarrow as pa
 
-        encode, end = word_ids(path).encode, end_id.to_bytes(4, "little")
+        encode, end = word_ids(path, cached=CACHED).encode, end_id.to_bytes(4, "little")
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:
             rows = []
@@ -46,6 +49,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
             columns = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     given = docs.select(F.col("doc_id").cast("long"), "text")
     return given.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")

@@ -32,12 +32,12 @@ def _byte_letters() -> list[str]:
 class WordIds(dict):
     """Piece to its ids as 32-bit integers."""
 
-    def __init__(self, path: str, whole: bool = False):
+    def __init__(self, path: str, whole: bool = False, cached: int = CACHED):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.whole = whole
+        self.whole, self.cached = whole, cached
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         # A run of letters is one word for such a tokenizer, in lower case.
@@ -60,7 +60,7 @@ class WordIds(dict):
         return self._library(piece)
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHED:
+        if len(self) >= self.cached:
             self.clear()
         stem = piece[:-1]
         if piece[-1] in ",." and stem.isalpha():
@@ -80,6 +80,6 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-def word_ids(path: str, whole: bool = False) -> WordIds:
+def word_ids(path: str, whole: bool = False, cached: int = CACHED) -> WordIds:
     """The worker's encoder for one tokenizer file."""
-    return worker_state(f"words {path} {whole}", lambda: WordIds(path, whole))
+    return worker_state(f"words {path} {whole} {cached}", lambda: WordIds(path, whole, cached))
