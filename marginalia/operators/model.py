@@ -7,6 +7,7 @@ import time
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -22,6 +23,10 @@ SETTINGS = ("system", "max_tokens", "temperature")
 ANSWERS = "_digest string, response string, error string"
 # Calls of a task, about: what is repeated when it is lost.
 BLOCK = 64
+# Blocks that a task may have at once where calls are quick.
+MOST_BLOCKS = 64
+# Prompts that a task deals out to jobs, about.
+SHARE = 32_768
 
 
 def _takes_settings(model_fn: ModelFn) -> bool:
@@ -34,38 +39,39 @@ def _answers(model_fn: ModelFn, with_settings: bool, settings: list[str], batch:
     def said(error: BaseException) -> str:
         return str(error) or type(error).__name__
 
-    def ask(piece) -> list[tuple[str | None, str | None]]:
-        prompts = piece["_prompt"].tolist()
+    def ask(prompts: list[str], given: list[dict]) -> list[tuple[str | None, str | None]]:
         try:
-            given = [prompts, piece[settings].to_dict("records")] if with_settings else [prompts]
-            responses = list(model_fn(*given))
+            responses = list(model_fn(prompts, given) if with_settings else model_fn(prompts))
             if len(responses) != len(prompts):
                 raise ValueError(f"{len(responses)} responses for {len(prompts)} prompts")
         except Exception as error:
             return [(None, said(error))] * len(prompts)
         return [(None, said(r)) if isinstance(r, BaseException) else (r, None) for r in responses]
 
-    def run(frames):
-        for frame in frames:
-            found: list = [None] * len(frame)
-            due = list(range(len(frame)))
+    def run(batches):
+        for rows in batches:
+            frame = rows.to_pandas()
+            # Lists once, as a slice of the frame costs more than a quick call.
+            prompts, given = frame["_prompt"].tolist(), frame[settings].to_dict("records") if with_settings else []
+            found: list = [None] * len(prompts)
+            due = list(range(len(prompts)))
             for attempt in range(retries + 1):
                 if attempt and due:
                     time.sleep(wait * 2 ** (attempt - 1))
                 for at in range(0, len(due), batch):
                     some = due[at:at + batch]
-                    for i, pair in zip(some, ask(frame.iloc[some])):
+                    for i, pair in zip(some, ask([prompts[i] for i in some], [given[i] for i in some] if with_settings else [])):
                         found[i] = pair
                 due = [i for i in due if found[i][1] is not None]
-            out = frame[["_digest"]].copy()
-            out["response"], out["error"] = [r for r, _ in found], [e for _, e in found]
-            yield out
+            said_so = [pa.array(column, pa.string(), from_pandas=True) for column in ([r for r, _ in found], [e for _, e in found])]
+            yield pa.RecordBatch.from_arrays([rows.column("_digest"), *said_so], ["_digest", "response", "error"])
 
     return run
 
 
 def complete_prompts(df: DataFrame, model_fn: ModelFn, prompt: str = "prompt", concurrency: int | None = None, batch: int = 1,
-                     ledger: str | None = None, block: int = BLOCK, retries: int = 0, wait: float = 1.0) -> DataFrame:
+                     ledger: str | None = None, block: int = BLOCK, retries: int = 0, wait: float = 1.0,
+                     quick: float = 2.0) -> DataFrame:
     """Call ``model_fn`` once per prompt; adds ``response`` and ``error`` and drops the prompt and its settings.
 
     ``model_fn`` gets up to ``batch`` prompts at a time: an exception in its place is the error of that prompt, and one
@@ -76,7 +82,9 @@ def complete_prompts(df: DataFrame, model_fn: ModelFn, prompt: str = "prompt", c
     asked once, and no later job pays for a call twice. Prompts go out in jobs in which a task has one ``block`` of them, about, and
     a job's answers are written before the next begins. A task that is lost repeats the calls of its block; a run
     that ended half way and is started again with the same ``ledger`` repeats the blocks it had open, and asks again
-    what failed.
+    what failed. After a job that took less than ``quick`` seconds in all a task has twice as many blocks, up to 64, and half as
+    many after one of more than twice that time: so what is repeated is one block or the quick calls of a few seconds. With
+    ``quick=0`` it is one block always.
     """
     spark = df.sparkSession
     settings = [c for c in SETTINGS if c in df.columns]
@@ -93,23 +101,36 @@ def complete_prompts(df: DataFrame, model_fn: ModelFn, prompt: str = "prompt", c
     # Of equal prompts one row is taken by its number, so that no prompt is shuffled for it.
     first = due.groupBy("_digest").agg(F.min("_row").alias("_row")).join(known, "_digest", "left_anti")
     first = materialize(first.select("_row"), "due")
-    n, tasks = first.count(), concurrency or spark.sparkContext.defaultParallelism
-    n_jobs = -(-n // (tasks * block))
+    n, cores = first.count(), spark.sparkContext.defaultParallelism
+    tasks = concurrency or cores
     if n:
-        job = F.pmod(F.xxhash64("_digest"), F.lit(n_jobs)).cast("int")
+        # Prompts are shuffled once, to shares of bounded size, and a job's lot is some shares or a part of one: a task
+        # that deals out writes a bounded number of files, however many lots there are.
+        lots, shares = -(-n // (tasks * block)), max(cores, -(-n // SHARE))
+        split = -(-lots // shares)
+        if split > 1:
+            lots = shares * split
+        else:
+            shares = lots * -(-shares // lots)
+        lot = F.pmod(F.spark_partition_id() + shares * F.pmod(F.xxhash64("_row"), F.lit(split)), F.lit(lots)).cast("int")
         waiting, schema = run_dir(spark, "waiting"), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in settings)
-        due.join(first, "_row", "left_semi").select("_digest", "_prompt", *settings, job.alias("_job")).write.partitionBy("_job").parquet(waiting)
+        dealt = due.repartition(shares, "_row").join(first, "_row", "left_semi")
+        dealt.select("_digest", "_prompt", *settings, lot.alias("_lot")).write.partitionBy("_lot").parquet(waiting)
         columns = "_digest string, _prompt string" + (f", {schema}" if schema else "")
+        # Listed once; the filter on the lot prunes folders.
+        dealt = spark.read.schema(f"{columns}, _lot int").parquet(waiting)
         answer = _answers(model_fn, _takes_settings(model_fn), settings, batch, retries, wait)
-        for j in range(n_jobs):
-            try:
-                share = spark.read.schema(columns).parquet(f"{waiting}/_job={j}")
-            except AnalysisException as error:
-                if error.getCondition() != "PATH_NOT_FOUND":
-                    raise
-                continue  # no prompt's hash fell on this job
-            asked = share.repartition(tasks).mapInPandas(answer, ANSWERS)
+        at, blocks = 0, 1
+        while at < lots:
+            share = dealt.filter((F.col("_lot") >= at) & (F.col("_lot") < at + blocks)).drop("_lot")
+            began = time.monotonic()
+            asked = share.repartition(tasks).mapInArrow(answer, ANSWERS)
             asked.write.parquet(f"{folder}/answers-{uuid.uuid4().hex}")
+            spent, at = time.monotonic() - began, at + blocks
+            if spent < quick:
+                blocks = min(2 * blocks, MOST_BLOCKS)
+            elif spent > 2 * quick:
+                blocks = max(blocks // 2, 1)
     given = _answered(spark, folder)
     response = F.when(F.col("_digest").isNull(), "no prompt").otherwise(F.col("_said.error"))
     return rows.select("_digest", *kept).join(given, "_digest", "left").select(*kept, F.col("_said.response").alias("response"), response.alias("error"))

@@ -94,3 +94,19 @@ def test_equal_prompts_are_asked_once_and_failed_ones_again(spark, tmp_path, sha
     assert logged(calls) == sorted(["a/s", "a/t", "late/s", "late/s", "never/s", "never/s", "/None"])
     assert ask() == good + rest
     assert logged(calls).count("a/s") == 1 and logged(calls).count("late/s") == 3 and logged(calls).count("never/s") == 3
+
+
+def test_quick_calls_go_out_in_few_jobs_and_a_block_can_be_kept(spark, shared):
+    def answers(**how):
+        ledger = shared("ledger")
+        df = spark.createDataFrame([(i, f"p{i}") for i in range(400)], "i int, prompt string")
+        got = sorted(map(tuple, complete_prompts(df, lambda ps: [p.upper() for p in ps], concurrency=2, ledger=ledger, block=4, **how).collect()))
+        assert got == [(i, f"P{i}", None) for i in range(400)]
+        # A job writes one folder of answers.
+        return [spark.read.parquet(f"{ledger}/{name}").count() for name in os.listdir(ledger.removeprefix("file://"))]
+
+    jobs = answers(quick=60)
+    assert len(jobs) < 10 and sum(jobs) == 400
+    # About four prompts for each of two tasks, dealt by hash.
+    jobs = answers(quick=0)
+    assert len(jobs) >= 50 and max(jobs) <= 24 and sum(jobs) == 400
