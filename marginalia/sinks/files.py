@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import errno
+import contextlib
+import hashlib
 import os
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..operators.records import index_lines
 from ..storage import materialize, posix_path
@@ -16,6 +17,8 @@ from .record_store import write_records
 
 
 COPY_BYTES = 8 << 20
+# What a task that writes or moves files gets of them, at most and, as far as there are cores, at least; and bytes of text, about.
+MOST_FILES, LEAST_FILES, TASK_BYTES = 10_000, 500, 64 << 20
 
 
 def _put(handle: int, data: bytes, at: int) -> None:
@@ -25,18 +28,37 @@ def _put(handle: int, data: bytes, at: int) -> None:
         rest, at = rest[done:], at + done
 
 
+def _make_folder(folder: str, made: set[str]) -> None:
+    if folder not in made:
+        os.makedirs(folder, exist_ok=True)
+        made.add(folder)
+
+
+def _tasks(spark: SparkSession, files: int, size: int = 0) -> int:
+    """Among how many tasks files are dealt: by their number, as small files cost by the file."""
+    some = min(spark.sparkContext.defaultParallelism, -(-files // LEAST_FILES))
+    return max(1, some, -(-files // MOST_FILES), -(-size // TASK_BYTES))
+
+
+def _staged(target: str, stage: str) -> str:
+    """Where a file waits: beside its place, as moves within a folder do not wait for each other as those between folders do."""
+    folder, name = os.path.split(target)
+    return os.path.join(folder, f"{os.path.basename(stage)}-{hashlib.md5(os.fsencode(name)).hexdigest()}")
+
+
 def _writer(root: str, stage: str):
     """Parts into files of the stage, each at its own offset; the first new part brings the bytes before it along."""
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        folders: set[str] = set()
         for frame in frames:
             for path, body, offset, base in zip(frame["report_path"], frame["markdown"], frame["offset"], frame["base"]):
-                target = os.path.join(stage, path)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                handle = os.open(target, os.O_CREAT | os.O_WRONLY, 0o644)
+                target = os.path.join(root, path)
+                _make_folder(os.path.dirname(target), folders)
+                handle = os.open(_staged(target, stage), os.O_CREAT | os.O_WRONLY, 0o644)
                 try:
                     if base and offset == base:
-                        with open(os.path.join(root, path), "rb") as old:
+                        with open(target, "rb") as old:
                             for at in range(0, int(base), COPY_BYTES):
                                 _put(handle, old.read(min(COPY_BYTES, int(base) - at)), at)
                     _put(handle, body.encode(), int(offset))
@@ -53,28 +75,37 @@ def _publisher(root: str, stage: str):
     def publish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, size in zip(frame["report_path"], frame["bytes"]):
-                staged, target = os.path.join(stage, path), os.path.join(root, path)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
+                target = os.path.join(root, path)
+                staged = _staged(target, stage)
                 try:
-                    if os.path.getsize(staged) != size:
-                        raise RuntimeError(f"{staged}: {os.path.getsize(staged)} bytes instead of {size}")
+                    if (there := os.path.getsize(staged)) != size:
+                        raise RuntimeError(f"{staged}: {there} bytes instead of {size}")
                     os.replace(staged, target)
-                    os.removedirs(os.path.dirname(staged))
                 except FileNotFoundError:
                     if not os.path.exists(target) or os.path.getsize(target) != size:
                         raise
-                except OSError as error:
-                    if error.errno not in (errno.ENOTEMPTY, errno.EEXIST):
-                        raise
             yield frame
 
     return publish
 
 
+def _clearer(root: str, stage: str):
+    """Remove what a job that failed has staged."""
+
+    def clear(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path in frame["report_path"]:
+                with contextlib.suppress(FileNotFoundError):
+                    os.unlink(_staged(os.path.join(root, path), stage))
+            yield frame
+
+    return clear
+
+
 def write_reports(parts: DataFrame, root: str, base: DataFrame | None = None) -> DataFrame:
     """Write assembled report parts below ``root``, one Markdown file per report.
 
-    Every part is put at its own byte offset in a file of a stage below ``root``, so the parts of one large report are
+    Every part is put at its own byte offset in a hidden file ``.staged-...`` beside the report's place, so the parts of one large report are
     written by many tasks, and a task that runs again writes the same bytes to the same place. When all parts are
     written each file is moved to its place in one step: a reader sees the old report or the new one, and a job that
     fails leaves the old ones. ``root`` must be a file system that all executors mount. ``base`` (``report_path,
@@ -101,12 +132,21 @@ def write_reports(parts: DataFrame, root: str, base: DataFrame | None = None) ->
             (F.col("_base") + F.col("_new")).alias("total"),
         )
     )
-    placed = rows.join(offsets, ["report_path", "part_no"]).select("report_path", "part_no", "markdown", "offset", "base", "total")
+    # The texts are dealt by the number of parts, not by bytes alone as adaptive execution would.
+    n_parts, size = rows.agg(F.count("*"), F.coalesce(F.sum("_bytes"), F.lit(0))).first()
+    dealt = rows.repartition(_tasks(rows.sparkSession, n_parts, size), "report_path", "part_no")
+    placed = dealt.join(offsets, ["report_path", "part_no"]).select("report_path", "part_no", "markdown", "offset", "base", "total")
     root = posix_path(root)
     stage = os.path.join(root, f".staged-{uuid.uuid4().hex}")
     written = placed.mapInPandas(_writer(root, stage), "report_path string, part_no bigint, offset bigint, total bigint")
-    sizes = materialize(written.groupBy("report_path").agg(F.max("total").alias("bytes")), "reports-staged")
-    return materialize(sizes.mapInPandas(_publisher(root, stage), "report_path string, bytes bigint"), "reports-written")
+    try:
+        sizes = materialize(written.groupBy("report_path").agg(F.max("total").alias("bytes")), "reports-staged")
+        sizes = sizes.repartition(_tasks(sizes.sparkSession, sizes.count()), "report_path")
+        return materialize(sizes.mapInPandas(_publisher(root, stage), "report_path string, bytes bigint"), "reports-written")
+    except Exception:
+        with contextlib.suppress(Exception):
+            narrow.select("report_path").distinct().mapInPandas(_clearer(root, stage), "report_path string").count()
+        raise
 
 
 def append_review_log(df: DataFrame, path: str) -> None:

@@ -21,11 +21,11 @@ from ..functions import text as tx
 from ..storage import posix_path, run_dir
 
 LISTED = ("project string, path string, is_dir boolean, modified timestamp, length bigint, id string, linked boolean, "
-          "above array<string>, shares int")
+          "above array<string>, names array<string>")
 BATCH_BYTES = 64 << 20
 # What a task reads, about.
 TASK_BYTES = 256 << 20
-# Entries that one task lists; a folder with more is divided.
+# Entries that one task looks at; those of a folder with more are dealt out by name.
 FOLDER_ENTRIES = 10_000
 
 
@@ -34,48 +34,58 @@ def _id(info: os.stat_result) -> str:
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    columns = ["project", "path", "is_dir", "modified", "length", "id", "linked", "above", "shares"]
+    columns = ["project", "path", "is_dir", "modified", "length", "id", "linked", "above", "names"]
     frame = pd.DataFrame(rows, columns=columns)
     frame["modified"] = pd.to_datetime(frame["modified"] // 1000, unit="us", utc=True)
     return frame
 
 
-def _folder_rows(project: str, folder: str, linked: bool, above: list[str], share: int, shares: int, most: int) -> Iterator[tuple]:
-    """What a folder, or one share of it, holds. Unreadable folders and entries are left out, and links to a folder above.
+def _folder_rows(project: str, folder: str, linked: bool, above: list[str], names: list[str] | None, most: int) -> Iterator[tuple]:
+    """What a folder, or the ``names`` in it, holds. Unreadable folders and entries are left out, and links to a folder above.
 
-    A folder with more than ``most`` entries gives one row that says in how many shares to list it.
+    A folder with more than ``most`` entries gives rows of as many names, so that it is read once, however large it is.
     """
     try:
         own = _id(os.stat(folder))
-        entries = os.scandir(folder)
+        entries = os.scandir(folder) if names is None else None
     except OSError:
         return
-    with entries:
-        mine = (e for e in entries if shares == 1 or zlib.crc32(os.fsencode(e.name)) % shares == share)
-        first = list(islice(mine, most + 1)) if shares == 1 else []
-        if len(first) > most:
-            n = len(first) + sum(1 for _ in mine)
-            yield project, folder, True, 0, 0, own, linked, above, -(-n // most)
-            return
-        below = [*above, own]
-        for entry in chain(first, mine):
-            try:
-                info = entry.stat()
-                link = linked or entry.is_symlink()
-            except OSError:
-                continue
-            if not stat.S_ISDIR(info.st_mode):
-                yield project, entry.path, False, info.st_mtime_ns, info.st_size, None, link, None, 1
-            elif _id(info) not in below:
-                yield project, entry.path, True, info.st_mtime_ns, info.st_size, _id(info), link, below, 1
+    if entries is not None:
+        with entries:
+            names = [e.name for e in islice(entries, most + 1)]
+            if len(names) > most:
+                rest = chain(names, (e.name for e in entries))
+                while lot := list(islice(rest, most)):
+                    yield project, folder, True, 0, 0, own, linked, above, lot
+                return
+    below = [*above, own]
+    for name in names:
+        path = os.path.join(folder, name)
+        try:
+            info = os.stat(path)
+            link = linked or os.path.islink(path)
+        except OSError:
+            continue
+        if not stat.S_ISDIR(info.st_mode):
+            yield project, path, False, info.st_mtime_ns, info.st_size, None, link, None, None
+        elif _id(info) not in below:
+            yield project, path, True, info.st_mtime_ns, info.st_size, _id(info), link, below, None
 
 
 def _list_folders(most: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for at in frame.itertuples(index=False):
-                rows = _folder_rows(at.project, at.path, bool(at.linked), list(at.above), int(at.share), int(at.shares), most)
-                while some := list(islice(rows, 10_000)):
+                given = None if at.names is None else list(at.names)
+                rows = _folder_rows(at.project, at.path, bool(at.linked), list(at.above), given, most)
+                some: list[tuple] = []
+                for row in rows:
+                    some.append(row)
+                    # Many names are a frame of their own.
+                    if len(some) == 10_000 or row[-1] is not None:
+                        yield _frame(some)
+                        some = []
+                if some:
                     yield _frame(some)
 
     return run
@@ -92,11 +102,11 @@ def list_trees(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
     Links are followed. A link to a folder above it is a loop and is not entered. Any other folder is entered by its own
     path, and once more below links: by the link of the lowest level, of those the first by path. The folders entered
     below links are a table that each level is joined against, so that links that lead to each other end. A folder of
-    very many entries is listed by several tasks, each by its share of the names.
+    very many entries is read once, and its names are dealt out to several tasks of the next job.
     """
     base = run_dir(spark, "listing")
-    start = [(p, posix_path(root), False, [], 0, 1) for p, root in roots.items()]
-    level, folders = 0, spark.createDataFrame(start, "project string, path string, linked boolean, above array<string>, share int, shares int")
+    start = [(p, posix_path(root), False, [], None) for p, root in roots.items()]
+    level, folders = 0, spark.createDataFrame(start, "project string, path string, linked boolean, above array<string>, names array<string>")
     entered = f"{base}.entered"
     while True:
         out = f"{base}/level={level}"
@@ -104,18 +114,17 @@ def list_trees(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
         found = spark.read.schema(LISTED).parquet(out).filter("is_dir")
         if found.isEmpty():
             break
-        # Folders to list in shares have been entered already.
-        new = found.filter("linked and shares = 1").groupBy("project", "id").agg(F.min(F.struct("path", "above")).alias("f"))
+        # Folders whose names are dealt out have been entered already.
+        new = found.filter("linked and names is null").groupBy("project", "id").agg(F.min(F.struct("path", "above")).alias("f"))
         if level:
             new = new.join(spark.read.schema("project string, id string").parquet(entered), ["project", "id"], "left_anti")
         new.select("project", "id", "f.path", "f.above").write.parquet(f"{entered}/level={level}")
         new = spark.read.schema("project string, id string, path string, above array<string>").parquet(f"{entered}/level={level}")
-        once = F.lit(0).alias("share"), F.lit(1).alias("shares")
+        whole = F.lit(None).cast("array<string>").alias("names")
         folders = (
-            found.filter("not linked and shares = 1").select("project", "path", "linked", "above", *once)
-            .unionByName(new.select("project", "path", F.lit(True).alias("linked"), "above", *once))
-            .unionByName(found.filter("shares > 1").select(
-                "project", "path", "linked", "above", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "shares"))
+            found.filter("not linked and names is null").select("project", "path", "linked", "above", whole)
+            .unionByName(new.select("project", "path", F.lit(True).alias("linked"), "above", whole))
+            .unionByName(found.filter("names is not null").select("project", "path", "linked", "above", "names"))
             # Deal the next level out evenly, however its folders are spread.
             .repartition(spark.sparkContext.defaultParallelism * 4)
         )

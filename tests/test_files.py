@@ -85,6 +85,17 @@ def test_a_folder_of_many_entries_is_listed_by_several_tasks(spark, tmp_path, mo
     assert len(shares) >= 3 and max(shares) < 2500
 
 
+def test_a_large_folder_is_read_once_and_its_names_dealt_out(tmp_path):
+    for i in range(25):
+        (tmp_path / f"n{i}").touch()
+    lots = list(tree._folder_rows("p", str(tmp_path), False, [], None, 10))
+    assert [len(lot[-1]) for lot in lots] == [10, 10, 5] and all(lot[1] == str(tmp_path) for lot in lots)
+    found = [row[1] for lot in lots for row in tree._folder_rows("p", str(tmp_path), False, [], lot[-1], 10)]
+    assert sorted(found) == sorted(str(tmp_path / f"n{i}") for i in range(25))
+    # A name that has gone meanwhile is left out.
+    assert not list(tree._folder_rows("p", str(tmp_path), False, [], ["gone"], 10))
+
+
 def test_filter_decode_and_chunks(spark, root):
     df = scanned(spark, root, extensions=("py", "rs", "go", "js", "ts", "c"))
     sources = tree.decode_text(df).select(F.lit("p").alias("project"), "path", "content")
@@ -193,3 +204,18 @@ def test_log_and_index(spark, shared):
         index = spark.createDataFrame([("x", k, "p") for k in keys], "project string, key string, path string")
         sinks.dump_index(index, dump)
     assert [r["value"] for r in spark.read.text(dump).collect()] == ["Key: p:c | Value: p"]
+
+
+def test_many_small_reports_are_moved_by_several_tasks(spark, tmp_path):
+    rows = spark.range(3000).select(
+        F.format_string("d%d/r%d.md", F.col("id") % 3, "id").alias("report_path"), F.lit(0).cast("bigint").alias("part_no"),
+        F.col("id").cast("string").alias("markdown"),
+    )
+    done = sinks.write_reports(rows, str(tmp_path))
+    # A task that moves files writes one file of their sizes.
+    assert done.count() == 3000 and len(done.inputFiles()) > 1
+    assert all((tmp_path / f"d{i % 3}/r{i}.md").read_text() == str(i) for i in range(3000))
+    # Files wait beside their places, whatever the length of their names, and nothing is left.
+    name = "n" * 252 + ".md"
+    sinks.write_reports(parts(spark, [(f"d0/{name}", 0, "long")]), str(tmp_path))
+    assert (tmp_path / "d0" / name).read_text() == "long" and not list(tmp_path.rglob(".staged*"))
