@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import worker_state
 
-# Pre-tokens whose ids a worker keeps; when full it starts anew, which changes no result.
+# Pre-tokens whose ids a worker keeps, in two halves; when the newer is full the older goes, but for what was met since,
+# which changes no result.
 CACHED = 600_000
 # Pre-tokens up to this length are merged without calls to the queue.
 INLINE_BYTES = 64
@@ -86,6 +87,7 @@ class ByteBpe(dict):
         import regex
 
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.ranks = ranks
         self.find = regex.compile(pattern).findall
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
@@ -93,9 +95,14 @@ class ByteBpe(dict):
         self.pairs = [ranks.get(bytes([x, y]), -1) for x in range(256) for y in range(256)]
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHED:
+        if len(self) >= CACHED // 2:
+            self.older.clear()
+            self.older.update(self)
             self.clear()
-        self[piece] = ids = array("I", self.merged(piece.encode())).tobytes()
+        ids = self.older.pop(piece, None)
+        if ids is None:
+            ids = array("I", self.merged(piece.encode())).tobytes()
+        self[piece] = ids
         return ids
 
     def merged(self, piece: bytes) -> tuple[int, ...]:

@@ -208,3 +208,17 @@ def test_op6_counts_and_odd_edits(spark, library):
     got = {r.doc_id: r for r in token_counts.edited_token_counts(token_counts.with_edits(docs, table), MULTI, PATTERN).collect()}
     assert got[3].tokens_after == len(library.encode_ordinary("BAone")) and got[5].tokens_after == len(library.encode_ordinary(" words"))
     assert token_counts.edited_token_counts(token_counts.sample_edits(plain.empty_documents(spark)), MULTI, PATTERN).count() == 0
+
+
+def test_a_full_cache_keeps_what_was_met_lately(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "CACHED", 20)
+    bpe, merges = byte_bpe.ByteBpe(byte_bpe.read_ranks(MULTI), PATTERN), []
+    merged = bpe.merged
+    bpe.merged = lambda piece: merges.append(piece) or merged(piece)
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "stuvwxyz"]
+    fresh = byte_bpe.ByteBpe(byte_bpe.read_ranks(MULTI), PATTERN)
+    for word in words:
+        # A word that comes between all others is merged once, and each word's ids are as without a cache.
+        assert bpe["often"] == fresh["often"] and bpe[word] == fresh[word]
+        assert len(bpe) + len(bpe.older) <= 20
+    assert merges.count(b"often") == 1 and len(merges) == len(words) + 1
