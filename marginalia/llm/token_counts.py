@@ -13,72 +13,101 @@ empty table. Only ``doc_id``, ``text`` and ``edits`` are read.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
-from .byte_bpe import coder
+from .byte_bpe import INLINE_BYTES, ByteBpe, read_ranks
+from .common import worker_state
+
+NO_RANK = 1 << 40
+
+
+class ScannedBpe(ByteBpe):
+    """Ids as of ``ByteBpe``; the pairs of a short pre-token are few, so that looking through them costs less than a queue."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        super().__init__(ranks, pattern)
+        self.pairs_or_none = array("q", [NO_RANK if r < 0 else r for r in self.pairs])
+
+    def merged(self, piece: bytes) -> tuple[int, ...]:
+        if piece in self.ranks or len(piece) > INLINE_BYTES:
+            return super().merged(piece)
+        rank_of, pairs = self.ranks.get, self.pairs_or_none
+        starts = list(range(len(piece) + 1))  # of the parts, and the end
+        waiting = [pairs[x << 8 | y] for x, y in zip(piece, piece[1:])]
+        while waiting:
+            rank = min(waiting)
+            if rank == NO_RANK:
+                break
+            i = waiting.index(rank)
+            del starts[i + 1], waiting[i]
+            if i < len(waiting):
+                waiting[i] = rank_of(piece[starts[i]:starts[i + 2]], NO_RANK)
+            if i:
+                waiting[i - 1] = rank_of(piece[starts[i - 1]:starts[i + 1]], NO_RANK)
+        return tuple([rank_of(piece[a:b]) for a, b in zip(starts, starts[1:])])
 
 
 class DocumentTree:
-    """Counts of one text. Leaf ``i`` holds a list of pre-tokens, at first one."""
+    """Counts of one text. Leaf ``i`` holds the text of some pre-tokens, at first of one."""
 
     def __init__(self, text: str, bpe):
         import numpy as np
 
         self.bpe = bpe
-        pieces = bpe.find(text)
-        self.leaves = [[piece] for piece in pieces]
+        self.leaves = pieces = bpe.find(text)
         self.encoded = 0  # pre-tokens encoded because of edits
-        n = max(len(self.leaves), 1)
-        self.size = 1 << (n - 1).bit_length()
-        self.chars = self._sums(np.fromiter(map(len, pieces), np.int64, len(pieces)))
-        self.tokens = self._sums(np.fromiter(map(len, map(bpe.__getitem__, pieces)), np.int64, len(pieces)) >> 2)
-
-    def _sums(self, leaf):
-        import numpy as np
-
-        node = np.zeros(2 * self.size, np.int64)
-        node[self.size:self.size + len(leaf)] = leaf
+        n = len(pieces)
+        self.size = 1 << (max(n, 1) - 1).bit_length()
+        node = np.zeros((2, 2 * self.size), np.int64)
+        node[0, self.size:self.size + n] = np.fromiter(map(len, pieces), np.int64, n)
+        node[1, self.size:self.size + n] = np.fromiter(map(len, map(bpe.__getitem__, pieces)), np.int64, n) >> 2
         width = self.size
         while width > 1:
-            node[width // 2:width] = node[width:2 * width].reshape(-1, 2).sum(1)
+            node[:, width // 2:width] = node[:, width:2 * width:2] + node[:, width + 1:2 * width:2]
             width //= 2
-        return node
+        self.chars, self.tokens = node.tolist()  # edits take single numbers, which are quick from lists
 
     @property
     def n_chars(self) -> int:
-        return int(self.chars[1])
+        return self.chars[1]
 
     @property
     def n_tokens(self) -> int:
-        return int(self.tokens[1])
+        return self.tokens[1]
 
     def _leaf_at(self, place: int) -> tuple[int, int]:
         """The leaf with the character at ``place`` and where that leaf begins."""
-        node, start = 1, 0
+        node, start, chars = 1, 0, self.chars
         while node < self.size:
             node *= 2
-            if place >= start + self.chars[node]:
-                start += int(self.chars[node])
+            if place >= start + chars[node]:
+                start += chars[node]
                 node += 1
         return node - self.size, start
 
-    def _set(self, leaf: int, pieces: list[str]) -> None:
-        while leaf >= len(self.leaves):
-            self.leaves.append([])
-        self.leaves[leaf] = pieces
-        node = leaf + self.size
-        self.chars[node] = sum(map(len, pieces))
-        self.tokens[node] = sum(len(self.bpe[p]) >> 2 for p in pieces)
-        node //= 2
-        while node:
-            self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
-            self.tokens[node] = self.tokens[2 * node] + self.tokens[2 * node + 1]
-            node //= 2
+    def _set(self, first: int, last: int, pieces: list[str]) -> None:
+        """``pieces`` into leaf ``first``; those behind it up to ``last`` become empty. Sums are taken up level by level."""
+        if first == len(self.leaves):
+            self.leaves.append("")
+        chars, tokens = self.chars, self.tokens
+        n = max(last - first, 1)
+        self.leaves[first:first + n] = ["".join(pieces)] + [""] * (n - 1)
+        low, high = first + self.size, first + self.size + n
+        chars[low:high] = tokens[low:high] = [0] * n
+        chars[low] = sum(map(len, pieces))
+        tokens[low] = sum(map(len, map(self.bpe.__getitem__, pieces))) >> 2
+        high -= 1
+        while low > 1:
+            low, high = low // 2, high // 2
+            for node in range(low, high + 1):
+                chars[node] = chars[2 * node] + chars[2 * node + 1]
+                tokens[node] = tokens[2 * node] + tokens[2 * node + 1]
 
     def _text(self, first: int, last: int) -> str:
-        return "".join(p for leaf in self.leaves[first:last] for p in leaf)
+        return "".join(self.leaves[first:last])
 
     def edit(self, at: int, cut: int, put: str) -> None:
         """Replace ``cut`` characters at ``at`` by ``put``."""
@@ -93,13 +122,13 @@ class DocumentTree:
                 first, start = self._leaf_at(start - 1)
         # Leaves first..last-1 are replaced; the text behind them starts at ``stop``.
         last, stop = self._leaf_at(end) if end < total else (len(self.leaves), total)
-        last, stop = (last + 1, stop + int(self.chars[last + self.size])) if stop < total else (last, stop)
+        last, stop = (last + 1, stop + self.chars[last + self.size]) if stop < total else (last, stop)
         old = self._text(first, last)
         while True:
             ahead = last
             seen = 0
             while ahead < len(self.leaves) and seen < 3:
-                seen += int(self.chars[ahead + self.size])
+                seen += self.chars[ahead + self.size]
                 ahead += 1
             new = old[:at - start] + put + old[end - start:]
             pieces, length = [], 0
@@ -113,10 +142,7 @@ class DocumentTree:
             old += self._text(last, ahead)
             last = ahead
         self.encoded += len(pieces)
-        self._set(first, pieces)
-        for leaf in range(first + 1, min(last, len(self.leaves))):
-            if self.leaves[leaf]:
-                self._set(leaf, [])
+        self._set(first, last, pieces)
 
     def text(self) -> str:
         return self._text(0, len(self.leaves))
@@ -139,7 +165,7 @@ def edited_token_counts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator):
         import pyarrow as pa
 
-        bpe = coder(path, pattern)
+        bpe = worker_state(f"scanned bpe {path} {pattern}", lambda: ScannedBpe(read_ranks(path), pattern))
         names = ["doc_id", "tokens_before", "tokens_after", "chars_after", "n_pretokens", "n_reencoded"]
         for batch in batches:
             rows = []

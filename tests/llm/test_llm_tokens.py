@@ -181,6 +181,17 @@ def test_edits_keep_counts_equal_to_a_fresh_count(library):
                 assert (tree.text(), tree.n_chars, tree.n_tokens) == (text, len(text), len(library.encode_ordinary(text)))
 
 
+def test_short_merges_without_the_queue_equal_the_library(library):
+    bpe = token_counts.ScannedBpe(byte_bpe.read_ranks(MULTI), PATTERN)
+    rng = random.Random(9)
+    pieces = ["".join(rng.choice("abcdeéß日 ") for _ in range(rng.randint(1, 40))) for _ in range(400)]
+    pieces += ["a" * n for n in range(byte_bpe.INLINE_BYTES - 2, byte_bpe.INLINE_BYTES + 3)] + ["日" * 30, "ab" * 31, " Thentien", "\x00\x01"]
+    for piece in pieces:
+        assert list(bpe.merged(piece.encode())) == library._core_bpe.encode_single_piece(piece.encode())
+    bpe.queue = bpe.leaf = None  # short ones need neither
+    assert [len(bpe.merged(p.encode())) for p in ("a" * 60, " Thentien")] == [len(library._core_bpe.encode_single_piece(p)) for p in (b"a" * 60, b" Thentien")]
+
+
 def test_edits_read_only_their_surroundings():
     bpe = byte_bpe.ByteBpe(byte_bpe.read_ranks(MULTI), PATTERN)
     tree = token_counts.DocumentTree("word " * 5000, bpe)
