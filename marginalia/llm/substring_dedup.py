@@ -23,6 +23,7 @@ results; passages that repeat within one document only are not looked for; an em
 
 from __future__ import annotations
 
+import bisect
 import collections
 import itertools
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..plans.ranks import with_place
 from ..storage import materialize
-from .common import give_back, worker_state
+from .common import give_back
 from .words import grams, hash_words, in_runs
 
 SEED_WORDS = 4
@@ -56,27 +57,36 @@ MARGIN, GROWTH = 128, 8
 FILTER_BITS = 1 << 24
 # Links in one task's group, about; a document's links stay together.
 GROUP_LINKS = 50_000
-# Requests for words of one document that are put into one row; a document asked by many has several rows.
+# Chains whose requests for words of one document are put into one row, about; a document asked by many has several rows.
 LIST_REQUESTS = 256
 
 
-def seeds_of(hashes):
-    """Positions and hashes of the seeds of one text."""
+def seeds_of(hashes, at):
+    """The seeds of many texts, whose words begin at ``at``: the number of the text, the place in it and the hash."""
     import numpy as np
 
     runs = grams(hashes, SEED_WORDS)
-    if not len(runs):
-        return np.zeros(0, np.int64), runs
-    if len(runs) <= WINDOW:
-        at = np.union1d([runs.argmin()], np.flatnonzero(runs < np.uint64((1 << 64) // KEEP)))
-    else:
-        windows = np.lib.stride_tricks.sliding_window_view(runs, WINDOW)
-        at = np.union1d(windows.argmin(1) + np.arange(len(windows)), np.flatnonzero(runs < np.uint64((1 << 64) // KEEP)))
-    return at, runs[at]
-
-
-def seeds(docs: DataFrame) -> DataFrame:
-    """``doc_id, pos, seed``."""
+    end = np.repeat(at[1:], np.diff(at))[:len(runs)]
+    place = np.arange(len(runs))
+    keep = (runs < np.uint64((1 << 64) // KEEP)) & (place + SEED_WORDS <= end)
+    # The smallest of each window, the leftmost of equal ones, from windows of half its length.
+    least, where, width = runs, place, 1
+    while width < WINDOW and len(least) > width:
+        a, b = least[:-width], least[width:]
+        where = np.where(a <= b, where[:-width], where[width:])
+        least, width = np.minimum(a, b), 2 * width
+    if width == WINDOW:
+        keep[where[place[:len(where)] + WINDOW + SEED_WORDS - 1 <= end[:len(where)]]] = True
+    count = np.diff(at) - SEED_WORDS + 1
+    for i in np.flatnonzero((count > 0) & (count < WINDOW)).tolist():  # texts without a whole window
+        keep[at[i] + runs[at[i]:at[i] + count[i]].argmin()] = True
+    pos = np.flatnonzero(keep)
+    text = np.searchsorted(at, pos, "right") - 1
+    return text, pos - at[text], runs[pos]
+
+
+def seeds(docs: DataFrame, once: bool = False) -> DataFrame:
+    """``doc_id, pos, seed``; of equal seeds of one row only the first if ``once``."""
 
     def run(batches: Iterator):
         import numpy as np
@@ -84,12 +94,15 @@ def seeds(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for rows in in_runs(zip(batch.column(0).to_pylist(), (t.as_py() for t in batch.column(1)))):
-                hashes, at = hash_words([text for _, text in rows])
-                found = [seeds_of(hashes[at[i]:at[i + 1]]) for i in range(len(rows))]
-                ids = np.repeat(np.array([doc_id for doc_id, _ in rows], np.int64), [len(p) for p, _ in found])
+                text, pos, seed = seeds_of(*hash_words([text for _, text in rows]))
+                if once:
+                    order = np.argsort(seed, kind="stable")
+                    again = (np.diff(seed[order]) == 0) & (np.diff(text[order]) == 0)
+                    order = np.delete(order, np.flatnonzero(again) + 1)
+                    text, pos, seed = text[order], pos[order], seed[order]
+                ids = np.array([doc_id for doc_id, _ in rows], np.int64)[text]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(ids), pa.array(np.concatenate([p for p, _ in found]).astype(np.int32)),
-                    pa.array(np.concatenate([s for _, s in found]).view(np.int64))], names=["doc_id", "pos", "seed"])
+                    pa.array(ids), pa.array(pos.astype(np.int32)), pa.array(seed.view(np.int64))], names=["doc_id", "pos", "seed"])
         give_back()
 
     given = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
@@ -98,10 +111,11 @@ def seeds(docs: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame) -> DataFrame:
     """``doc_id, pos, from_id, from_pos``: each place of a shared seed and the seed's first place, in another document."""
-    placed = seeds(docs)
-    first = placed.groupBy("seed").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.max("doc_id").alias("z")).filter("f.doc_id < z")
-    first = materialize(first.select("seed", F.col("f.doc_id").alias("from_id"), F.col("f.pos").alias("from_pos")), "seeds")
-    return placed.join(first, "seed").filter("doc_id <> from_id").select("doc_id", "pos", "from_id", "from_pos")
+    # With one row per seed and document, or equal ones, the smallest document has one place; a smallest struct would need sorting.
+    first = seeds(docs, once=True).groupBy("seed").agg(
+        F.min("doc_id").alias("from_id"), F.min_by("pos", "doc_id").alias("from_pos"), F.max("doc_id").alias("z")).filter("from_id < z")
+    first = materialize(first.select("seed", "from_id", "from_pos"), "seeds")
+    return seeds(docs).join(first, "seed").filter("doc_id <> from_id").select("doc_id", "pos", "from_id", "from_pos")
 
 
 def chain(x, y) -> list[list[int]]:
@@ -149,7 +163,7 @@ def chain(x, y) -> list[list[int]]:
 
 
 def _chains(pdf):
-    """The chains of a group's documents, each with the span of its seeds in both documents."""
+    """The chains of a group's documents, with the places of their seeds in both; a row for each pair of documents."""
     import numpy as np
     import pandas as pd
 
@@ -171,7 +185,12 @@ def _chains(pdf):
             rows.append((a[lo], b[lo], n, [x[i] for i in path], [y[i] for i in path]))
     give_back()
     kept = [row for _, of in itertools.groupby(rows, key=lambda r: r[0]) for row in _needed(list(of))]
-    return pd.DataFrame(kept, columns=["doc_id", "from_id", "n", "xs", "ys"])
+    pairs = []
+    for (doc_id, from_id), of in itertools.groupby(sorted(kept, key=lambda r: r[:3]), key=lambda r: r[:2]):
+        of = list(of)
+        pairs.append((doc_id, from_id, [r[2] for r in of], [len(r[3]) for r in of],
+                      list(itertools.chain.from_iterable(r[3] for r in of)), list(itertools.chain.from_iterable(r[4] for r in of))))
+    return pd.DataFrame(pairs, columns=["doc_id", "from_id", "ns", "sizes", "xs", "ys"])
 
 
 def _needed(rows: list[tuple]) -> list[tuple]:
@@ -199,42 +218,55 @@ def _needed(rows: list[tuple]) -> list[tuple]:
     return kept
 
 
+# The chains of a pair of documents: their numbers, how many seeds each has, and the seeds' places, one chain after another.
+CHAINS = "doc_id long, from_id long, ns array<int>, sizes array<int>, xs array<int>, ys array<int>"
+
+
 def chains(linked: DataFrame, groups: int) -> DataFrame:
     group = F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("g")
-    return linked.groupBy(group).applyInPandas(_chains, "doc_id long, from_id long, n int, xs array<int>, ys array<int>")
+    return linked.groupBy(group).applyInPandas(_chains, CHAINS)
 
 
-def _steps(band: int):
-    """What it costs to go on after a difference, by the words skipped on either side; equal numbers first."""
+def _only(frames: Iterator) -> Iterator:
+    """Of each pair's chains those whose numbers are in ``todo``."""
     import numpy as np
 
-    p, q = np.indices((band + 1, band + 1))
-    return (p + q) * 100 + abs(p - q)
+    for frame in frames:
+        rows = []
+        for doc_id, from_id, ns, sizes, xs, ys, todo in zip(*[frame[c] for c in ("doc_id", "from_id", "ns", "sizes", "xs", "ys", "todo")]):
+            asked = np.isin(ns, todo)
+            each = np.repeat(asked, sizes)
+            rows.append((doc_id, from_id, ns[asked], sizes[asked], xs[each], ys[each]))
+        yield type(frame)(rows, columns=["doc_id", "from_id", "ns", "sizes", "xs", "ys"])
 
 
-def _go_on(a, b) -> tuple[int, int] | None:
-    """The nearest places in the band from where four words agree."""
+def _fours(words):
+    """Each four words of 16 bits as one number."""
     import numpy as np
 
-    for band in (BAND, WIDE_BAND):
-        cost = worker_state(f"alignment steps {band}", lambda: _steps(band))
-        same = a[:band + 4, None] == b[None, :band + 4]
-        if min(same.shape) < 4:
-            return None
-        four = same[:-3, :-3] & same[1:-2, 1:-2] & same[2:-1, 2:-1] & same[3:, 3:]
-        at = np.flatnonzero(four)
-        if len(at):
-            p, q = np.divmod(at, four.shape[1])
-            best = cost[p, q].argmin()
-            return int(p[best]), int(q[best])
-    return None
-
-
-def _stretch(a, b) -> list[tuple[int, int, int]]:
+    w = words.astype(np.uint64)
+    n = max(len(w) - 3, 0)
+    return w[:n] | w[1:n + 1] << np.uint64(16) | w[2:n + 2] << np.uint64(32) | w[3:n + 3] << np.uint64(48)
+
+
+def _go_on(a4, b4) -> tuple[int, int] | None:
+    """The nearest places from where four words agree, within the narrow band if there are any, else within the wide one."""
+    same = a4[:WIDE_BAND + 1, None] == b4[None, :WIDE_BAND + 1]
+    p, q = same.nonzero()
+    if not len(p):
+        return None
+    near = (p <= BAND) & (q <= BAND)
+    if near.any():
+        p, q = p[near], q[near]
+    best = ((p + q) * 100 + abs(p - q)).argmin()  # fewest words skipped, and equal numbers first
+    return int(p[best]), int(q[best])
+
+
+def _stretch(a, b, a4, b4) -> list[tuple[int, int, int]]:
     """Places up to which ``a`` and ``b`` go along from their beginnings: words of either, and how many of them agree.
 
     After a difference the words go on side by side if five of the next eight agree, else from the nearest place where
-    four words agree again.
+    four words agree again; ``a4`` and ``b4`` are their fours.
     """
     i = j = agree = 0
     points = [(0, 0, 0)]
@@ -252,7 +284,7 @@ def _stretch(a, b) -> list[tuple[int, int, int]]:
         if int(equal[same + 1:same + 9].sum()) >= 5:
             i, j = i + 1, j + 1
             continue
-        found = _go_on(a[i:], b[j:])
+        found = _go_on(a4[i:], b4[j:])
         if not found:
             return points
         p, q = found
@@ -265,8 +297,15 @@ def _both_ways(left: list, right: list) -> tuple:
     """The places on either side with the most words between of which at least ``SIMILARITY`` agree."""
     import numpy as np
 
-    ends = np.array(right)
     best, most = (left[0], right[0]), 0
+    if len(left) * len(right) <= 64:
+        for point in left:
+            for end in right:
+                n = point[0] + end[0]
+                if n > most and point[2] + end[2] >= SIMILARITY * max(n, point[1] + end[1]):
+                    best, most = (point, end), n
+        return best
+    ends = np.array(right)
     for point in left:
         whole = ends + point
         good = np.flatnonzero(whole[:, 2] >= SIMILARITY * whole[:, :2].max(1))
@@ -287,45 +326,82 @@ def _promising(a, b, at, shift: int) -> bool:
 SEGMENTS = "doc_id long, from_id long, n int, first int, end int, agree int, from_word int, open boolean"
 
 
-def _segments(pdf):
-    """Both sides of each chain of a group's documents, aligned; ``open`` where a side had no more words fetched."""
+def _words_of(words, starts, upto):
+    """Where the words asked for begin within ``words``, and those with their fours."""
     import numpy as np
-    import pandas as pd
 
-    key = ["doc_id", "from_id", "n"]
-    pdf = pdf.drop_duplicates(["own", *key])
-    both = pdf[pdf["own"]].merge(pdf[~pdf["own"]], on=key)
-    # Of a document's chains those with more seeds go first; one well inside a passage that is found says nothing new.
-    both = both.assign(seeds=-both["places_x"].map(len)).sort_values(["doc_id", "seeds", "from_id", "n"], kind="stable")
-    passages: dict[int, bytearray] = {}
-    rows = []
-    for doc_id, from_id, n, xs, ys, x_first, y_first, x_words, y_words, x_total, y_total in zip(*[
-            both[c] for c in (*key, "places_x", "places_y", "first_x", "first_y", "words_x", "words_y", "total_x", "total_y")]):
-        a, b = np.frombuffer(x_words, np.uint16), np.frombuffer(y_words, np.uint16)
-        # Where there is more of either text than was fetched.
-        before, behind = (x_first > 0, y_first > 0), (x_first + len(a) < x_total, y_first + len(b) < y_total)
-        passage = passages.setdefault(doc_id, bytearray(x_total))
-        if passage.find(0, max(int(xs[0]) - BESIDE, 0), min(int(xs[-1]) + SEED_WORDS + BESIDE, x_total)) < 0:
-            continue
-        covered = -1
-        if ys[0] - xs[0] == ys[-1] - xs[-1] and not _promising(a, b, xs - x_first, int(ys[0] - y_first) - int(xs[0] - x_first)):
-            continue
-        for x, y in zip(xs.tolist(), ys.tolist()):
-            if x < covered:
-                continue
-            i, j = x - x_first, y - y_first
-            left, right = _stretch(a[:i][::-1], b[:j][::-1]), _stretch(a[i:], b[j:])
-            edge = before[0] and left[-1][0] >= i or before[1] and left[-1][1] >= j
-            edge |= behind[0] and right[-1][0] >= len(a) - i or behind[1] and right[-1][1] >= len(b) - j
-            left, right = _both_ways(left, right)
-            agree = left[2] + right[2]
-            covered = x + max(right[0], 1)
-            if agree >= SEGMENT_WORDS:
-                rows.append((doc_id, from_id, n, x - left[0], x + right[0], agree, y - left[1], bool(edge)))
-                if left[0] + right[0] > PASSAGE_WORDS:
-                    passage[x - left[0]:x + right[0]] = b"\1" * (left[0] + right[0])
-    give_back()
-    return pd.DataFrame(rows, columns=["doc_id", "from_id", "n", "first", "end", "agree", "from_word", "open"])
+    words = np.frombuffer(words, np.uint16)
+    bases = np.concatenate([[0], np.cumsum(upto - starts)]).tolist()
+    return words, _fours(words), starts.tolist(), bases
+
+
+def _around(places, words, total: int, margin: int):
+    """The words around a chain's places in one document, their fours, and the number of the first."""
+    words, fours, starts, bases = words
+    first, end = max(int(places[0]) - margin, 0), min(int(places[-1]) + SEED_WORDS + margin, total)
+    k = bisect.bisect_right(starts, first) - 1
+    low = bases[k] + first - starts[k]
+    high = low + end - first
+    return words[low:high], fours[low:max(high - 3, low)], first
+
+
+def _segments(margin: int):
+    """Both sides of each chain of a group's documents, aligned; ``open`` where a side had no more words fetched."""
+
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        key = ["doc_id", "from_id"]
+        pdf = pdf.drop_duplicates(["own", *key])
+        own = pdf[pdf["own"]]
+        both = own.merge(pdf.loc[~pdf["own"], [*key, "places", "starts", "upto", "words", "total"]], on=key)
+        pairs = list(zip(*[both[c] for c in ("places_x", "places_y", "starts_x", "starts_y", "upto_x", "upto_y", "words_x", "words_y", "total_x", "total_y")]))
+        # Of a document's chains those with more seeds go first; one well inside a passage that is found says nothing new.
+        order = []
+        for i, (doc_id, from_id, ns, sizes) in enumerate(zip(*[both[c] for c in (*key, "ns", "sizes")])):
+            end = 0
+            for n, size in zip(ns.tolist(), sizes.tolist()):
+                end += size
+                order.append((doc_id, -size, from_id, n, i, end))
+        order.sort()
+        rows = []
+        for doc_id, of in itertools.groupby(order, key=lambda o: o[0]):
+            passage, pair = None, -1
+            for _, size, from_id, n, i, end in of:
+                x_places, y_places, *where, x_bytes, y_bytes, x_total, y_total = pairs[i]
+                xs, ys = x_places[end + size:end], y_places[end + size:end]
+                passage = passage if passage is not None else bytearray(x_total)
+                if passage.find(0, max(int(xs[0]) - BESIDE, 0), min(int(xs[-1]) + SEED_WORDS + BESIDE, x_total)) < 0:
+                    continue
+                if i != pair:  # chains of as many seeds come pair by pair
+                    pair, x_words, y_words = i, _words_of(x_bytes, where[0], where[2]), _words_of(y_bytes, where[1], where[3])
+                a, a4, x_first = _around(xs, x_words, x_total, margin)
+                b, b4, y_first = _around(ys, y_words, y_total, margin)
+                # Where there is more of either text than was fetched.
+                before, behind = (x_first > 0, y_first > 0), (x_first + len(a) < x_total, y_first + len(b) < y_total)
+                covered = -1
+                if ys[0] - xs[0] == ys[-1] - xs[-1] and not _promising(a, b, xs - x_first, int(ys[0] - y_first) - int(xs[0] - x_first)):
+                    continue
+                for x, y in zip(xs.tolist(), ys.tolist()):
+                    if x < covered:
+                        continue
+                    i, j = x - x_first, y - y_first
+                    left = _stretch(a[:i][::-1], b[:j][::-1], a4[:max(i - 3, 0)][::-1], b4[:max(j - 3, 0)][::-1])
+                    right = _stretch(a[i:], b[j:], a4[i:], b4[j:])
+                    edge = before[0] and left[-1][0] >= i or before[1] and left[-1][1] >= j
+                    edge |= behind[0] and right[-1][0] >= len(a) - i or behind[1] and right[-1][1] >= len(b) - j
+                    left, right = _both_ways(left, right)
+                    agree = left[2] + right[2]
+                    covered = x + max(right[0], 1)
+                    if agree >= SEGMENT_WORDS:
+                        rows.append((doc_id, from_id, n, x - left[0], x + right[0], agree, y - left[1], bool(edge)))
+                        if left[0] + right[0] > PASSAGE_WORDS:
+                            passage[x - left[0]:x + right[0]] = b"\1" * (left[0] + right[0])
+        give_back()
+        return pd.DataFrame(rows, columns=["doc_id", "from_id", "n", "first", "end", "agree", "from_word", "open"])
+
+    return run
 
 
 def _runs_of(segments: list, gap: int = 2) -> Iterator[list]:
@@ -346,11 +422,13 @@ def _passages(pdf):
     import pandas as pd
 
     rows = []
-    for doc_id, of in pdf.groupby("doc_id"):
-        segments = list(zip(*[of[c].tolist() for c in ("first", "end", "agree", "from_id", "from_word")]))
-        held = []
-        for _, own in pd.DataFrame(segments).groupby(3):
-            held += [(r[0][0], max(s[1] for s in r), r) for r in _runs_of(list(own.itertuples(index=False, name=None)))]
+    parts = sorted(zip(*[pdf[c].tolist() for c in ("doc_id", "from_id", "first", "end", "agree", "from_word")]))
+    for doc_id, of in itertools.groupby(parts, key=lambda p: p[0]):
+        segments, held = [], []
+        for from_id, own in itertools.groupby(of, key=lambda p: p[1]):
+            own = [(first, end, agree, from_id, from_word) for _, _, first, end, agree, from_word in own]
+            segments += own
+            held += [(r[0][0], max(s[1] for s in r), r) for r in _runs_of(own)]
         held = [h for h in held if h[1] - h[0] > PASSAGE_WORDS]
         # Parts that different documents hold, and that overlap, are one passage.
         joined = [[h for h in run] for run in _runs_of(held, -1)] if held else []
@@ -417,6 +495,21 @@ def _without_overlap(found: DataFrame) -> DataFrame:
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_ids")))).alias("source_ids")).drop("_island")
 
 
+def _windows_of(places, sizes, margin: int, total: int):
+    """Where the words around the chains of a pair begin and end in one document, those that overlap as one."""
+    import numpy as np
+
+    ends = np.cumsum(sizes)
+    first = np.maximum(places[ends - sizes] - margin, 0)
+    end = np.minimum(places[ends - 1] + SEED_WORDS + margin, total)
+    if len(first) > 1:
+        order = np.argsort(first, kind="stable")
+        first, end = first[order], np.maximum.accumulate(end[order])
+        begins = np.flatnonzero(first[1:] > end[:-1]) + 1
+        first, end = first[np.concatenate([[0], begins])], end[np.concatenate([begins - 1, [len(end) - 1]])]
+    return first, end
+
+
 def _cut_words(margin: int):
     """The words that each document's requests ask for, as 16-bit hashes; a row per request."""
 
@@ -424,17 +517,29 @@ def _cut_words(margin: int):
         import numpy as np
         import pyarrow as pa
 
-        names = ["own", "doc_id", "from_id", "n", "places", "first", "words", "total"]
+        schema = pa.schema([("own", pa.bool_()), ("doc_id", pa.int64()), ("from_id", pa.int64()), *[
+            (c, pa.list_(pa.int32())) for c in ("ns", "sizes", "places", "starts", "upto")], ("words", pa.binary()), ("total", pa.int32())])
+
+        def lists(arrays):
+            ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).astype(np.int32)))
+
         for batch in batches:
-            for at in range(batch.num_rows):
-                asked = batch.column(0)[at].values
-                hashes = hash_words([batch.column(1)[at].as_py() or ""])[0].astype(np.uint16)
-                first = np.maximum(asked.field("low").to_numpy() - margin, 0)
-                ends = asked.field("high").to_numpy() + SEED_WORDS + margin
-                words = [hashes[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays([
-                    *[asked.field(n) for n in names[:5]], pa.array(first.astype(np.int32)), pa.array(words, pa.binary()),
-                    pa.array(np.full(len(words), len(hashes), np.int32))], names=names)
+            for rows in in_runs(enumerate(t.as_py() for t in batch.column(1))):
+                hashes, at = hash_words([text for _, text in rows])
+                hashes = hashes.astype(np.uint16)
+                for (row, _), low, high in zip(rows, at.tolist(), at[1:].tolist()):
+                    own, asked = hashes[low:high], batch.column(0)[row].values
+                    places, sizes = asked.field("places"), asked.field("sizes")
+                    starts, upto, words = [], [], []
+                    for i in range(len(asked)):
+                        first, end = _windows_of(places[i].values.to_numpy(), sizes[i].values.to_numpy(), margin, len(own))
+                        starts.append(first)
+                        upto.append(end)
+                        words.append(b"".join([own[a:b].tobytes() for a, b in zip(first.tolist(), end.tolist())]))
+                    yield pa.RecordBatch.from_arrays([
+                        *[asked.field(c).cast(schema.field(c).type) for c in schema.names[:6]], lists(starts), lists(upto), pa.array(words, pa.binary()),
+                        pa.array(np.full(len(words), len(own), np.int32))], schema=schema)
         give_back()
 
     return run
@@ -443,12 +548,12 @@ def _cut_words(margin: int):
 def _requests(found: DataFrame) -> DataFrame:
     """``owner, asked``: which words are wanted of a document, in lists of about ``LIST_REQUESTS``."""
     def one(own: bool, owner: str, places: str):
-        return found.select(F.col(owner).alias("owner"), F.lit(own).alias("own"), "doc_id", "from_id", "n", F.col(places).alias("places"))
+        return found.select(F.col(owner).alias("owner"), F.lit(own).alias("own"), "doc_id", "from_id", "ns", "sizes", F.col(places).alias("places"))
 
     wanted = one(True, "doc_id", "xs").unionByName(one(False, "from_id", "ys"))
-    counts = materialize(wanted.groupBy("owner").agg(F.ceil(F.count(F.lit(1)) / LIST_REQUESTS).alias("lists")), "requests")
-    row = F.struct("own", "doc_id", "from_id", "n", "places", F.get("places", F.lit(0)).alias("low"), F.element_at("places", -1).alias("high"))
-    salt = F.pmod(F.xxhash64("own", "doc_id", "from_id", "n"), "lists")
+    counts = materialize(wanted.groupBy("owner").agg(F.ceil(F.sum(F.size("ns")) / LIST_REQUESTS).alias("lists")), "requests")
+    row = F.struct("own", "doc_id", "from_id", "ns", "sizes", "places")
+    salt = F.pmod(F.xxhash64("own", "doc_id", "from_id"), "lists")
     # Dealt out by owner and list: the join's partitions would gather a document that many ask for in one task.
     dealt = wanted.join(counts, "owner").select("owner", salt.alias("salt"), row.alias("row")).repartition("owner", "salt")
     return dealt.groupBy("owner", "salt").agg(F.collect_list("row").alias("asked")).drop("salt")
@@ -502,14 +607,16 @@ def _found(given: DataFrame) -> DataFrame:
     while True:
         of = texts if margin == MARGIN else _texts_of(texts, asked.select(F.explode(F.array("doc_id", "from_id")).alias("_id")))
         cut = _requests(asked).join(of, F.col("owner") == F.col("_id")).select("asked", "text").mapInArrow(
-            _cut_words(margin), "own boolean, doc_id long, from_id long, n int, places array<int>, first int, words binary, total int")
-        segments = materialize(cut.groupBy(group).applyInPandas(_segments, SEGMENTS), "segments")
+            _cut_words(margin), "own boolean, doc_id long, from_id long, ns array<int>, sizes array<int>, places array<int>, starts array<int>, "
+            "upto array<int>, words binary, total int")
+        segments = materialize(cut.groupBy(group).applyInPandas(_segments(margin), SEGMENTS), "segments")
         # A chain that came to the edge is aligned anew, with more words.
         unfinished = segments.filter("open").select("doc_id", "from_id", "n").distinct()
         parts.append(segments.join(unfinished, ["doc_id", "from_id", "n"], "left_anti"))
         if unfinished.isEmpty():
             break
-        asked = materialize(asked.join(unfinished, ["doc_id", "from_id", "n"], "left_semi"), "chains")
+        todo = unfinished.groupBy("doc_id", "from_id").agg(F.collect_list("n").alias("todo"))
+        asked = materialize(asked.join(todo, ["doc_id", "from_id"]).mapInPandas(_only, CHAINS), "chains")
         margin *= GROWTH
     segments = parts[0]
     for part in parts[1:]:

@@ -8,6 +8,7 @@ import plain
 from pyspark.sql import functions as F
 
 from marginalia.llm import catalog, components, exact_dedup, lang_id, lm_scoring, ngram_join, quality, substring_dedup
+from marginalia.llm.words import grams, hash_words
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -356,6 +357,28 @@ def test_a_long_passage_beside_another_line_is_cut_without_it(spark):
     assert passages_of(substring_dedup.repeated_passages(documents(spark, texts))) == {2: set(range(10, 100))}
 
 
+def test_seeds_of_many_texts_are_those_of_each():
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(n)) for n in (0, 3, 4, 5, 18, 19, 20, 21, 60, 0, 400, 7)]
+    hashes, at = hash_words(texts)
+    expected = []
+    for i, (low, high) in enumerate(zip(at.tolist(), at[1:].tolist())):
+        runs = grams(hashes[low:high], substring_dedup.SEED_WORDS).tolist()
+        least = [runs[k:k + substring_dedup.WINDOW] for k in range(max(len(runs) - substring_dedup.WINDOW, 0) + 1) if runs]
+        kept = {k + w.index(min(w)) for k, w in enumerate(least)} | {k for k, r in enumerate(runs) if r < (1 << 64) // substring_dedup.KEEP}
+        expected += [(i, k, runs[k]) for k in sorted(kept)]
+    assert list(zip(*[c.tolist() for c in substring_dedup.seeds_of(hashes, at)])) == expected
+
+
+def test_chains_of_two_documents_are_one_row(spark):
+    words = [f"w{i}" for i in range(8)]
+    docs = documents(spark, [" ".join(words), " ".join(f"{' '.join(words)} x{i}" for i in range(40))])
+    linked = substring_dedup.links(docs)
+    pairs = substring_dedup.chains(linked, 2).collect()
+    assert len(pairs) == 1 and len(pairs[0].ns) == len(pairs[0].sizes) > 1
+    assert sum(pairs[0].sizes) == len(pairs[0].xs) == len(pairs[0].ys)
+
+
 def test_alignments_go_on_beyond_the_words_fetched_first(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "MARGIN", 4)
     rng = random.Random(24)
