@@ -495,19 +495,23 @@ def _without_overlap(found: DataFrame) -> DataFrame:
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_ids")))).alias("source_ids")).drop("_island")
 
 
-def _windows_of(places, sizes, margin: int, total: int):
-    """Where the words around the chains of a pair begin and end in one document, those that overlap as one."""
+def _windows_of(pair, places, sizes, total, margin: int):
+    """Where the words around chains begin and end, and their pair; those of a pair that overlap as one.
+
+    ``pair`` ascends, ``total`` has the words of each chain's document.
+    """
     import numpy as np
 
     ends = np.cumsum(sizes)
-    first = np.maximum(places[ends - sizes] - margin, 0)
-    end = np.minimum(places[ends - 1] + SEED_WORDS + margin, total)
-    if len(first) > 1:
-        order = np.argsort(first, kind="stable")
-        first, end = first[order], np.maximum.accumulate(end[order])
-        begins = np.flatnonzero(first[1:] > end[:-1]) + 1
-        first, end = first[np.concatenate([[0], begins])], end[np.concatenate([begins - 1, [len(end) - 1]])]
-    return first, end
+    # Each pair has a range of numbers of its own, so that one pass merges the windows of all.
+    base = pair * (total.max(initial=0) + 1)
+    first = np.maximum(places[ends - sizes] - margin, 0) + base
+    order = np.argsort(first, kind="stable")
+    first = first[order]
+    end = np.maximum.accumulate((np.minimum(places[ends - 1] + SEED_WORDS + margin, total) + base)[order])
+    begins = np.flatnonzero(first[1:] > end[:-1]) + 1
+    low, high = np.concatenate([[0], begins]), np.concatenate([begins - 1, [len(end) - 1]])
+    return pair[low], first[low] - base[low], end[high] - base[low]
 
 
 def _cut_words(margin: int):
@@ -520,26 +524,27 @@ def _cut_words(margin: int):
         schema = pa.schema([("own", pa.bool_()), ("doc_id", pa.int64()), ("from_id", pa.int64()), *[
             (c, pa.list_(pa.int32())) for c in ("ns", "sizes", "places", "starts", "upto")], ("words", pa.binary()), ("total", pa.int32())])
 
-        def lists(arrays):
-            ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
-            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).astype(np.int32)))
-
         for batch in batches:
             for rows in in_runs(enumerate(t.as_py() for t in batch.column(1))):
                 hashes, at = hash_words([text for _, text in rows])
                 hashes = hashes.astype(np.uint16)
-                for (row, _), low, high in zip(rows, at.tolist(), at[1:].tolist()):
-                    own, asked = hashes[low:high], batch.column(0)[row].values
-                    places, sizes = asked.field("places"), asked.field("sizes")
-                    starts, upto, words = [], [], []
-                    for i in range(len(asked)):
-                        first, end = _windows_of(places[i].values.to_numpy(), sizes[i].values.to_numpy(), margin, len(own))
-                        starts.append(first)
-                        upto.append(end)
-                        words.append(b"".join([own[a:b].tobytes() for a, b in zip(first.tolist(), end.tolist())]))
-                    yield pa.RecordBatch.from_arrays([
-                        *[asked.field(c).cast(schema.field(c).type) for c in schema.names[:6]], lists(starts), lists(upto), pa.array(words, pa.binary()),
-                        pa.array(np.full(len(words), len(own), np.int32))], schema=schema)
+                lists = batch.column(0).slice(rows[0][0], len(rows))
+                asked = lists.flatten()
+                row = np.repeat(np.arange(len(rows)), lists.value_lengths().to_numpy())
+                chains_of = asked.field("sizes").value_lengths().to_numpy()
+                places, sizes = [asked.field(c).flatten().to_numpy().astype(np.int64) for c in ("places", "sizes")]
+                total = np.diff(at)[row]
+                pair, first, end = _windows_of(np.repeat(np.arange(len(asked)), chains_of), places, sizes, np.repeat(total, chains_of), margin)
+                begin = at[row[pair]]
+                words = [hashes[a:b] for a, b in zip((begin + first).tolist(), (begin + end).tolist())]
+                upto = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+                offsets = upto(np.bincount(pair, minlength=len(asked)))
+                bytes_of = upto(np.bincount(pair, 2 * (end - first), len(asked)))
+                yield pa.RecordBatch.from_arrays([
+                    *[asked.field(c).cast(schema.field(c).type) for c in schema.names[:6]],
+                    *[pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int32))) for v in (first, end)],
+                    pa.Array.from_buffers(pa.binary(), len(asked), [None, bytes_of.buffers()[1], pa.py_buffer(np.concatenate(words))]),
+                    pa.array(total.astype(np.int32))], schema=schema)
         give_back()
 
     return run

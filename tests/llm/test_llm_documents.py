@@ -4,6 +4,7 @@ import random
 import zlib
 
 import duckdb
+import numpy as np
 import plain
 from pyspark.sql import functions as F
 
@@ -379,6 +380,12 @@ def test_chains_of_two_documents_are_one_row(spark):
     assert sum(pairs[0].sizes) == len(pairs[0].xs) == len(pairs[0].ys)
 
 
+def test_windows_of_a_pair_that_overlap_are_one():
+    pair, sizes, total = np.array([0, 0, 0, 1]), np.array([1, 2, 1, 1]), np.array([500, 500, 500, 30])
+    pairs, first, end = substring_dedup._windows_of(pair, np.array([400, 20, 40, 60, 10]), sizes, total, 16)
+    assert list(zip(pairs.tolist(), first.tolist(), end.tolist())) == [(0, 4, 80), (0, 384, 420), (1, 0, 30)]
+
+
 def test_alignments_go_on_beyond_the_words_fetched_first(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "MARGIN", 4)
     rng = random.Random(24)
