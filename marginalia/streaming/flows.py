@@ -21,6 +21,7 @@ from ..plans.ordered_text import PART_BYTES
 from ..plans.routing import route_reviews
 from ..sinks.files import write_reports
 from ..sources.tree import decode_text, read_files, source_file_filter
+from ..storage import materialize
 from .tree_stream import read_tree_stream
 
 SNAPSHOT_EVERY = 50
@@ -50,7 +51,8 @@ def _so_far(spark: SparkSession, deltas: str, snapshots: str, schema: str, batch
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        rows = spark.createDataFrame([], schema)
+        # Known to be empty before it runs, so that joins with it fall away.
+        rows = spark.createDataFrame([], schema).filter(F.lit(False))
     if since:
         rows = rows.unionByName(spark.read.schema(schema).parquet(f"{snapshots}/at={since}"))
     rows = combine(rows)
@@ -76,6 +78,9 @@ def stream_reviews_to_reports(archived: DataFrame, root: str, state: str, order:
         )
         parts = assemble_reports(render_markdown(batch), order, part_bytes)
         known = parts.select("report_path").distinct().join(base, "report_path")
+        if batch_id:
+            # Used three times below. Before the first batch nothing is known, and nothing is to be read for it.
+            known = materialize(known, "known-reports")
         # Sections behind earlier ones start with the separator.
         parts = parts.join(known.select("report_path", F.lit(True).alias("_more")), "report_path", "left").withColumn(
             "markdown",

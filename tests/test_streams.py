@@ -75,6 +75,26 @@ def test_reports_grow_and_a_repeated_batch_changes_nothing(spark, shared, tmp_pa
     assert (tmp_path / "review_output/s/a.md").read_text() == before
 
 
+def test_known_reports_are_found_once_a_batch(spark, shared, tmp_path, monkeypatch):
+    source, state, offsets = shared("in"), shared("ledger"), shared("offsets")
+    write, plans = flows.write_reports, []
+
+    def watched(parts, root, known):
+        plans.append(known._jdf.queryExecution().optimizedPlan().toString())
+        return write(parts, root, known)
+
+    monkeypatch.setattr(flows, "write_reports", watched)
+    rows = [("a", "f", 0)], [("a", "g", 1), ("b", "h", 2)]
+    for some in rows:
+        sections(spark, some).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+        drain(flows.stream_reviews_to_reports(stream, str(tmp_path), state, ["step"]), offsets)
+    assert plans[0].startswith("LocalRelation <empty>")
+    assert not any(step in plans[1] for step in ("Join", "Aggregate")) and "parquet" in plans[1]
+    for r in reports.assemble_reports(reports.render_markdown(sections(spark, sum(rows, []))), ["step"]).collect():
+        assert (tmp_path / r["report_path"]).read_text() == r["markdown"]
+
+
 def test_routing_state_lasts_over_batches(spark, shared, monkeypatch):
     monkeypatch.setattr(flows, "SNAPSHOT_EVERY", 2)
     records = random_records(7, 4, 24, 6)
